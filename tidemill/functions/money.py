@@ -11,9 +11,9 @@ _RATE_TYPE = "decimal(10,4)"
 
 
 def _lookup(key: Column, table: dict, dtype: str) -> Column:
-    chain = F.lit(None).cast(dtype)
-    for name, value in reversed(table.items()):
-        chain = F.when(key == name, F.lit(value).cast(dtype)).otherwise(chain)
+    chain = F
+    for name, value in table.items():
+        chain = chain.when(key == name, F.lit(value).cast(dtype))
     return chain
 
 

@@ -29,7 +29,7 @@ def rule_metrics(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
 def tag_rejections(df: DataFrame, reasons: Sequence[tuple[str, Column]],
                    name: str = "rejection_reason") -> DataFrame:
     """Add the first reason whose condition is true, else null."""
-    chain = F.lit(None).cast("string")
-    for reason, condition in reversed(reasons):
-        chain = F.when(condition, F.lit(reason)).otherwise(chain)
+    chain = F
+    for reason, condition in reasons:
+        chain = chain.when(condition, F.lit(reason))
     return df.withColumn(name, chain)
