@@ -22,6 +22,8 @@ def get_session(app: str = "tidemill", master: str | None = None, **conf: str) -
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    # Recording the Python line of every column expression costs more than planning the query.
+    conf = {"spark.python.sql.dataFrameDebugging.enabled": "false", **conf}
     for key, value in {**_RUNTIME, **conf}.items():
         builder = builder.config(key, value)
     return settle(builder.getOrCreate())
