@@ -94,7 +94,7 @@ def gold_product_perf(spark, d):
     return r.product_performance(silver_sales(spark, d), silver_products(spark, d))
 
 
-_STAGED_COLUMNS = [
+STAGED_COLUMNS = [
     "transaction_id", "transaction_timestamp", "store_id", "product_id", "quantity", "unit_price", "discount",
     "total_amount", "currency", "calculated_total", "fx_rate_to_usd", "total_amount_usd",
 ]
@@ -115,14 +115,14 @@ QUERIES = {
     "gold_daily_sales": gold_daily_sales,
     "gold_monthly_region": gold_monthly_region,
     "gold_product_perf": gold_product_perf,
-    "silver_sales": lambda s, d: staged(s, d).select(_STAGED_COLUMNS),
-    "silver_sales_clean": lambda s, d: r.current_sales(r.accepted(staged(s, d)), SEQUENCE).select(_STAGED_COLUMNS),
+    "silver_sales": lambda s, d: staged(s, d).select(STAGED_COLUMNS),
+    "silver_sales_clean": lambda s, d: r.current_sales(r.accepted(staged(s, d)), SEQUENCE).select(STAGED_COLUMNS),
     "silver_products": lambda s, d: r.stage_products(product_feed(s, d)).drop("ingestion_timestamp"),
     "silver_stores": lambda s, d: r.stage_stores(store_feed(s, d)).drop("ingestion_timestamp"),
-    "scd1_sales": lambda s, d: silver_sales(s, d).select(_STAGED_COLUMNS),
+    "scd1_sales": lambda s, d: silver_sales(s, d).select(STAGED_COLUMNS),
     "scd1_products": lambda s, d: r.current_products(r.stage_products(_two_deliveries(s, d))).drop("ingestion_timestamp"),
     "scd1_stores": lambda s, d: r.current_stores(r.stage_stores(_two_store_deliveries(s, d))).drop("ingestion_timestamp"),
-    "sales_quarantine": lambda s, d: r.quarantine(staged(s, d)).select(*_STAGED_COLUMNS, "rejection_reason"),
+    "sales_quarantine": lambda s, d: r.quarantine(staged(s, d)).select(*STAGED_COLUMNS, "rejection_reason"),
     "quarantine_counts": lambda s, d: r.rejection_counts(r.quarantine(staged(s, d))),
     "gold_reconcile": lambda s, d: r.reconcile(silver_sales(s, d), gold_daily_sales(s, d)),
     "gold_product_reconcile": lambda s, d: r.reconcile_products(silver_sales(s, d), gold_product_perf(s, d)),
@@ -180,7 +180,7 @@ _REASON = """CASE WHEN quantity <= 0 THEN 'INVALID_QUANTITY' WHEN unit_price <=
     WHEN fx_rate_to_usd IS NULL THEN 'UNSUPPORTED_CURRENCY' WHEN product_id IS NULL THEN 'INVALID_PRODUCT_ID'
     WHEN store_id IS NULL THEN 'INVALID_STORE_ID' END"""
 
-_VALUE_COLUMNS = _STAGED_COLUMNS[1:]
+_VALUE_COLUMNS = STAGED_COLUMNS[1:]
 
 
 def _newest(source: str) -> str:
@@ -223,7 +223,7 @@ _PERFORMANCE = """SELECT product_id, product_name, category, brand, CAST(sum(qua
 FROM silver JOIN products USING (product_id) GROUP BY ALL"""
 
 _GOLD = f"WITH {SILVER_SQL}{_DIMS},\ndaily AS ({_DAILY}), monthly AS ({_MONTHLY}), performance AS ({_PERFORMANCE})\n"
-_COLUMNS = ", ".join(_STAGED_COLUMNS)
+_COLUMNS = ", ".join(STAGED_COLUMNS)
 
 ORACLE = {
     "gold_daily_sales": _GOLD + "SELECT * FROM daily",

@@ -1,2 +1,127 @@
-QUERIES = {}
-ORACLE = {}
+"""Streaming jobs over the given tables.
+
+Each query writes a landing folder in the shared scratch folder where the job
+reads files, runs the stream to the end, and returns the stored result without
+the ingestion stamps.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import schemas
+from ..plans import retail as r
+from ..session import scratch_dir
+from ..sources import file_stream, table
+from ..streaming import ingest as bronze
+from ..streaming import retail as stream
+from ..streaming import trips as ride
+from . import retail as retail_inputs
+from . import trips as trip_inputs
+
+STAMPS = ["ingestion_timestamp", "ingestion_date"]
+
+
+def _as_text(df: DataFrame, schema) -> DataFrame:
+    return df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast("string").alias(n) for n in schema.names])
+
+
+def _ingested(spark: SparkSession, feed: DataFrame, schema) -> DataFrame:
+    """Land a feed as CSV files, run the ingestion, read the bronze table back."""
+    work = scratch_dir(spark, "ingest")
+    _as_text(feed, schema).write.option("header", True).csv(f"{work}/landing")
+    bronze.ingest(spark, f"{work}/landing", f"{work}/bronze", f"{work}/checkpoint", schema)
+    return spark.read.parquet(f"{work}/bronze").drop(*STAMPS)
+
+
+def sales(spark, d):
+    feed = retail_inputs.sales_feed(spark, d)
+    whole = {"store_id": "bigint", "product_id": "bigint", "quantity": "int"}
+    fixed = {c: "decimal(12,2)" for c in ("unit_price", "discount", "total_amount")}
+    return _ingested(spark, feed.withColumns({c: F.col(c).cast(t) for c, t in {**whole, **fixed}.items()}).withColumn(
+        "transaction_timestamp", F.date_format("transaction_timestamp", "yyyy-MM-dd")), schemas.SALES_FEED)
+
+
+def products(spark, d):
+    feed = retail_inputs.product_feed(spark, d)
+    return _ingested(spark, feed.withColumn("unit_price", F.col("unit_price").cast("decimal(10,2)")), schemas.PRODUCT_FEED)
+
+
+def stores(spark, d):
+    return _ingested(spark, retail_inputs.store_feed(spark, d), schemas.STORE_FEED)
+
+
+def _trips(spark, d) -> DataFrame:
+    events = table(spark, d, "events")
+    return trip_inputs.as_trips(file_stream(spark, f"{d.rstrip('/')}/events.parquet", events.schema, "parquet"))
+
+
+def bronze_trips(spark, d):
+    work = scratch_dir(spark, "trips")
+    ride.append_valid(_trips(spark, d), f"{work}/bronze", f"{work}/checkpoint")
+    return spark.read.parquet(f"{work}/bronze")
+
+
+def flagged_trips(spark, d):
+    """A stream from the stored output of another stream."""
+    work = scratch_dir(spark, "trips")
+    ride.append_valid(_trips(spark, d), f"{work}/bronze", f"{work}/checkpoint-bronze")
+    stored = spark.read.parquet(f"{work}/bronze").schema
+    valid = file_stream(spark, f"{work}/bronze", stored, "parquet")
+    ride.append_flagged(valid, f"{work}/flagged", f"{work}/checkpoint-flagged")
+    return spark.read.parquet(f"{work}/flagged")
+
+
+def _landed_sales(spark, d, work: str) -> DataFrame:
+    """The sales feed as a stream over several files, in no particular order of time."""
+    feed = retail_inputs.sales_feed(spark, d)
+    feed.hint("rebalance").write.option("maxRecordsPerFile", 1 + feed.count() // 4).parquet(f"{work}/landing")
+    return file_stream(spark, f"{work}/landing", feed.schema, "parquet", files_per_batch=2)
+
+
+def scd1_sales(spark, d):
+    """The type-1 table built by micro-batches; equal to the batch result."""
+    work = scratch_dir(spark, "scd1")
+    feed = _landed_sales(spark, d, work).withWatermark("ingestion_timestamp", "1 day")
+    state = stream.StreamedState(spark, f"{work}/state", ["transaction_id"], retail_inputs.SEQUENCE)
+    state.absorb(r.stage_sales(feed), f"{work}/checkpoint")
+    return state.current().select(retail_inputs.STAGED_COLUMNS)
+
+
+def quarantined(spark, d):
+    work = scratch_dir(spark, "quarantine")
+    stream.append_quarantine(r.stage_sales(_landed_sales(spark, d, work)), f"{work}/out", f"{work}/checkpoint")
+    return spark.read.parquet(f"{work}/out").select(*retail_inputs.STAGED_COLUMNS, "rejection_reason")
+
+
+QUERIES = {
+    "bronze_ingest": sales,
+    "bronze_ingest_products": products,
+    "bronze_ingest_stores": stores,
+    "taxi_bronze_stream": bronze_trips,
+    "taxi_flagged_stream": flagged_trips,
+    "scd1_stream": scd1_sales,
+    "quarantine_stream": quarantined,
+}
+
+_TEXT = "WITH " + retail_inputs.STAGED_SQL
+
+ORACLE = {
+    "bronze_ingest": _TEXT + """SELECT transaction_id, strftime(transaction_timestamp, '%Y-%m-%d') AS transaction_timestamp,
+  CAST(store_id AS VARCHAR) AS store_id, CAST(product_id AS VARCHAR) AS product_id, CAST(quantity AS VARCHAR) AS quantity,
+  CAST(unit_price AS VARCHAR) AS unit_price, CAST(CASE WHEN discount > 0 THEN discount END AS VARCHAR) AS discount,
+  CAST(total_amount AS VARCHAR) AS total_amount, currency, 'us_retail_csv' AS source_system FROM feed""",
+    "bronze_ingest_products": """SELECT CAST(p_partkey AS VARCHAR) AS product_id, upper(p_name) AS product_name, p_type AS category,
+  lower(p_brand) AS brand, CAST(CAST(CASE WHEN p_size = 1 THEN 0 ELSE p_retailprice END AS DECIMAL(10,2)) AS VARCHAR) AS unit_price,
+  'USD' AS currency, 'us_retail_csv' AS source_system FROM part""",
+    "bronze_ingest_stores": """SELECT CAST(s_suppkey AS VARCHAR) AS store_id, upper(s_name) AS store_name,
+  CAST(NULL AS VARCHAR) AS city, CAST(NULL AS VARCHAR) AS state, lower(n_name) AS country, lower(r_name) AS region,
+  'us_retail_csv' AS source_system
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+    # The streamed results equal the batch ones, so they share the SQL.
+    "taxi_bronze_stream": trip_inputs.ORACLE["taxi_bronze"],
+    "taxi_flagged_stream": trip_inputs.ORACLE["taxi_flagged"],
+    "scd1_stream": retail_inputs.ORACLE["scd1_sales"],
+    "quarantine_stream": retail_inputs.ORACLE["sales_quarantine"],
+}

@@ -37,6 +37,10 @@ _HISTORY = T.StructType([
 ])
 
 
+def _schema_of(entry) -> T.StructType:
+    return T.StructType.fromJson(json.loads(entry["schema_json"]))
+
+
 class VersionedTable:
     """Handle on one table root; holds no state but the path and the partition columns."""
 
@@ -67,32 +71,34 @@ class VersionedTable:
         return self._entry(None)["version"]
 
     def schema(self, version: int | None = None) -> T.StructType:
-        return T.StructType.fromJson(json.loads(self._entry(version)["schema_json"]))
+        return _schema_of(self._entry(version))
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """Partition values, the write that holds them, and their row count."""
         return self._manifest(self._entry(version))
 
+    def read(self, version: int | None = None, with_files: bool = False) -> DataFrame:
+        """The rows of a version, the newest by default.
+
+        The semi join is on partition columns only, so it prunes folders, and
+        filters on partition columns reach the scan.
+        """
+        return self._read(self._entry(version), with_files)
+
     def _manifest(self, entry) -> DataFrame:
         # Picked by a filter rather than by path: pruning folders by a join asks for a filtered side.
-        schema = T.StructType.fromJson(json.loads(entry["schema_json"]))
+        schema = _schema_of(entry)
         shape = T.StructType([schema[c] for c in self.partition_by] + [
             T.StructField("rows", T.LongType()), T.StructField("write", T.IntegerType()),
             T.StructField("version", T.IntegerType())])
         stored = self.spark.read.schema(shape).parquet(f"{self.root}/manifest")
         return stored.where(F.col("version") == entry["version"]).drop("version")
 
-    def read(self, version: int | None = None, with_files: bool = False) -> DataFrame:
-        """The rows of a version, the newest by default.
-
-        The semi join is on partition columns only, so it prunes folders, and
-        filters on partition columns reach the scan.
-        """
-        entry = self._entry(version)
-        schema = T.StructType.fromJson(json.loads(entry["schema_json"]))
+    def _read(self, entry, with_files: bool = False) -> DataFrame:
+        schema = _schema_of(entry)
         if not entry["writes"]:
-            empty = schema.add("file_path", "string").add("file_size", "bigint") if with_files else schema
-            return self.spark.createDataFrame([], empty)
+            located = [T.StructField("file_path", T.StringType()), T.StructField("file_size", T.LongType())]
+            return self.spark.createDataFrame([], T.StructType(schema.fields + (located if with_files else [])))
         full = T.StructType(schema.fields + [T.StructField("write", T.IntegerType())])
         rows = (self.spark.read.schema(full).option("basePath", f"{self.root}/data")
                 .parquet(*[f"{self.root}/data/write={w}" for w in entry["writes"]]))
@@ -120,7 +126,10 @@ class VersionedTable:
 
     def detail(self, version: int | None = None) -> DataFrame:
         """Files, bytes and rows of each partition."""
-        per_file = self.read(version, with_files=True).groupBy(*self.partition_by, "file_path").agg(
+        return self._detail(self._entry(version))
+
+    def _detail(self, entry) -> DataFrame:
+        per_file = self._read(entry, with_files=True).groupBy(*self.partition_by, "file_path").agg(
             F.first("file_size").alias("file_size"), F.count(F.lit(1)).alias("rows"))
         return per_file.groupBy(*self.partition_by).agg(
             F.count(F.lit(1)).alias("files"), F.sum("file_size").alias("bytes"), F.sum("rows").alias("rows"))
@@ -133,7 +142,7 @@ class VersionedTable:
     def append(self, df: DataFrame) -> int:
         """Add rows; new columns join the schema and read as null in older rows."""
         before = self._entry(None)
-        schema = self.schema(before["version"])
+        schema = _schema_of(before)
         added = [f for f in df.schema.fields if f.name not in schema.names]
         merged = T.StructType(schema.fields + added)
         rows = df.select(*[
@@ -143,55 +152,54 @@ class VersionedTable:
 
     def update(self, where: Column, values: Mapping[str, Column], label: str) -> int:
         """Set columns where the predicate is true; a null predicate changes nothing."""
-        def change(rows: DataFrame) -> DataFrame:
-            return rows.select(*[
-                F.when(where, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c)
-                for c in rows.columns])
-        return self._rewrite("UPDATE", label, where, change)
+        before = self._entry(None)
+        touched = self._read(before).where(where)
+        return self._replace("UPDATE", label, before, touched, lambda rows: rows.select(*[
+            F.when(where, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c)
+            for c in rows.columns]))
 
     def delete(self, where: Column, label: str) -> int:
         """Drop rows where the predicate is true; a null predicate keeps the row."""
-        return self._rewrite("DELETE", label, where,
+        before = self._entry(None)
+        touched = self._read(before).where(where)
+        return self._replace("DELETE", label, before, touched,
                              lambda rows: rows.where(~F.coalesce(where, F.lit(False))))
 
     def merge(self, batch: DataFrame, keys: Sequence[str], on_insert: Mapping[str, Column] | None = None) -> int:
         """Upsert a batch that holds each key once; partitions without one of its keys are left alone."""
-        touched = self.read().join(batch.select(*keys), list(keys), "left_semi").select(*self.partition_by).distinct()
-        return self._replace("MERGE", ", ".join(keys), touched,
-                             lambda rows: upsert(rows, batch, keys, on_insert), self._spread)
+        before = self._entry(None)
+        touched = self._read(before).join(batch.select(*keys), list(keys), "left_semi")
+        return self._replace("MERGE", ", ".join(keys), before, touched,
+                             lambda rows: upsert(rows, batch, keys, on_insert))
 
     def compact(self) -> int:
         """Rewrite partitions whose rows come from several files into fewer files."""
-        crowded = self.detail().where("files > 1").select(*self.partition_by)
-        return self._replace("OPTIMIZE", None, crowded, lambda rows: rows, self._spread)
+        before = self._entry(None)
+        return self._replace("OPTIMIZE", None, before, self._detail(before).where("files > 1"), lambda rows: rows)
 
     def cluster(self, column: str) -> int:
         """Rewrite every partition in ranges of a column, so file statistics can skip on it."""
+        before = self._entry(None)
         order = [*self.partition_by, column]
-        return self._replace(
-            "CLUSTER", column, self.manifest().select(*self.partition_by).distinct(), lambda rows: rows,
-            lambda rows: rows.repartitionByRange(*order).sortWithinPartitions(*order))
+        rows = self._read(before).repartitionByRange(*order).sortWithinPartitions(*order)
+        return self._commit("CLUSTER", column, rows, _schema_of(before), None, before)
 
     def _spread(self, df: DataFrame) -> DataFrame:
         # Rebalancing gathers each partition's rows but splits one that is too large for a task.
         return df.hint("rebalance", *self.partition_by)
 
-    def _rewrite(self, operation: str, label: str, where: Column, change) -> int:
-        touched = self.read().where(where).select(*self.partition_by).distinct()
-        return self._replace(operation, label, touched, change, self._spread)
-
-    def _replace(self, operation: str, label: str | None, touched: DataFrame, change, layout) -> int:
-        before = self._entry(None)
-        manifest = self._manifest(before)
-        # One row per partition, the size of a partition listing; written because it is used twice.
+    def _replace(self, operation: str, label: str | None, before, touched: DataFrame, change) -> int:
+        """Rewrite the partitions the touched rows lie in and keep the others."""
         version = before["version"] + 1
+        # One row per partition, the size of a partition listing; stored because it is used twice.
+        touched = touched.select(*self.partition_by).distinct()
         touched.write.mode("overwrite").parquet(f"{self.root}/touched/version={version}")
-        stored = touched.schema.add("version", "int")
+        stored = T.StructType(touched.schema.fields + [T.StructField("version", T.IntegerType())])
         touched = self.spark.read.schema(stored).parquet(f"{self.root}/touched").where(F.col("version") == version)
-        rows = self.read(before["version"])
+        rows, manifest = self._read(before), self._manifest(before)
         rows = rows.join(touched, self._same_partition(rows, touched), "left_semi")
         kept = manifest.join(touched, self._same_partition(manifest, touched), "left_anti")
-        return self._commit(operation, label, layout(change(rows)), self.schema(before["version"]), kept, before)
+        return self._commit(operation, label, self._spread(change(rows)), _schema_of(before), kept, before)
 
     def _commit(self, operation: str, label: str | None, rows: DataFrame, schema: T.StructType,
                 kept: DataFrame | None, before) -> int:

@@ -97,8 +97,8 @@ def sales_ly(facts: DataFrame) -> DataFrame:
     return same_day_last_year(date_spine(daily), daily, "total_sales", "sales_ly").select("date", "total_sales", "sales_ly")
 
 
-def _by_year(facts: DataFrame, *by: str) -> DataFrame:
-    return facts.groupBy(F.year("date").alias("year"), *by).agg(
+def by_product_year(facts: DataFrame) -> DataFrame:
+    return facts.groupBy(F.year("date").alias("year"), "product_key").agg(
         F.sum("sales_amount").cast(_TYPES["sales_amount"]).alias("total_sales"))
 
 
@@ -141,7 +141,7 @@ def target_status(facts: DataFrame, products: DataFrame, targets: DataFrame) ->
 
     Bands are ours: from 100 % on target, from 90 % near, below that missed.
     """
-    actual = (_by_year(facts, "product_key").join(products.select("product_key", "category"), "product_key")
+    actual = (by_product_year(facts).join(products.select("product_key", "category"), "product_key")
               .groupBy("year", "category").agg(F.sum("total_sales").cast("decimal(38,4)").alias("actual")))
     met = safe_divide(F.col("actual"), F.col("target"))
     return targets.join(actual, ["year", "category"], "left").select(
