@@ -54,7 +54,7 @@ def stores(spark, d):
 
 def _trips(spark, d) -> DataFrame:
     events = table(spark, d, "events")
-    return trip_inputs.as_trips(file_stream(spark, f"{d.rstrip('/')}/events.parquet", events.schema, "parquet"))
+    return trip_inputs.as_trips(file_stream(spark, d, events.schema, "parquet", name_pattern="events.parquet"))
 
 
 def bronze_trips(spark, d):
@@ -75,7 +75,7 @@ def flagged_trips(spark, d):
 
 def _landed_sales(spark, d, work: str) -> DataFrame:
     """The sales feed as a stream over several files, in no particular order of time."""
-    feed = retail_inputs.sales_feed(spark, d)
+    feed = retail_inputs.sales_feed(spark, d).withColumn("ingestion_timestamp", F.col("ingestion_timestamp").cast("timestamp"))
     feed.hint("rebalance").write.option("maxRecordsPerFile", 1 + feed.count() // 4).parquet(f"{work}/landing")
     return file_stream(spark, f"{work}/landing", feed.schema, "parquet", files_per_batch=2)
 

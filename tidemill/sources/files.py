@@ -49,9 +49,11 @@ def json_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv",
-                files_per_batch: int | None = None) -> DataFrame:
+                files_per_batch: int | None = None, name_pattern: str | None = None) -> DataFrame:
     """A stream over the files of a folder; each file is picked up once per checkpoint."""
     reader = spark.readStream.schema(schema)
+    if name_pattern:
+        reader = reader.option("pathGlobFilter", name_pattern)
     if fmt == "csv":
         reader = reader.option("header", True)
     if files_per_batch:
