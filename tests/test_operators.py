@@ -97,7 +97,7 @@ def test_count_check(spark, rows):
 def test_reconcile_reports_deltas(spark, rows):
     src = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     drv = spark.createDataFrame([("a", 1), ("c", 5)], "k string, v int")
-    totals = op.compare_totals({"v": (src, F.sum("v"), drv, F.sum("v"))})
+    totals = op.compare_totals(src, drv, {"v": (F.sum("v"), F.sum("v"))})
     assert [(m, int(s), int(d), int(x)) for m, s, d, x in rows(totals)] == [("v", 3, 6, -3)]
     per_key = {r.k: int(r.delta) for r in op.compare_per_key(src, drv, "k", "v").collect()}
     assert per_key == {"a": 0, "b": 2, "c": -5}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import retail as r
+from ..session import stored
 from ..sources import table
 
 # A line is a change of the transaction named by its order and line number; the
@@ -25,9 +26,9 @@ def sales_feed(spark: SparkSession, d: str) -> DataFrame:
         both = _rate("l_tax", cents) & _rate("l_discount", cents)
         return F.when(~both, value)
 
-    flags = F.concat("l_returnflag", "l_linestatus")
-    currency = (F.when(flags == "AF", "USD").when(flags == "AO", "INR").when(flags == "NF", "EUR")
-                .when(flags == "NO", "GBP").when(flags == "RF", "JPY"))
+    names = {"AF": "USD", "AO": "INR", "NF": "EUR", "NO": "GBP", "RF": "JPY"}
+    currency = F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]),
+                                F.concat("l_returnflag", "l_linestatus"))
     zero_price = _rate("l_tax", 0.07) & _rate("l_discount", 0.07)
     return li.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("transaction_id"),
@@ -100,8 +101,24 @@ STAGED_COLUMNS = [
 ]
 
 
+def kept_sales(spark, d):
+    """The current sales as a stored table, for checks that read it more than once."""
+    columns = ["transaction_id", "transaction_timestamp", "store_id", "product_id", "quantity", "total_amount_usd"]
+    return stored(silver_sales(spark, d).select(columns), "silver_sales")
+
+
+def reconciled(spark, d):
+    sales = kept_sales(spark, d)
+    return r.reconcile(sales, r.daily_sales(sales, silver_stores(spark, d)))
+
+
+def reconciled_products(spark, d):
+    sales = kept_sales(spark, d)
+    return r.reconcile_products(sales, r.product_performance(sales, silver_products(spark, d)))
+
+
 def layer_counts(spark, d):
-    sales, products, stores = silver_sales(spark, d), silver_products(spark, d), silver_stores(spark, d)
+    sales, products, stores = kept_sales(spark, d), silver_products(spark, d), silver_stores(spark, d)
     return r.layer_counts(
         {"bronze_sales_transactions": sales_feed(spark, d), "bronze_product_master": product_feed(spark, d),
          "bronze_store_region": store_feed(spark, d)},
@@ -124,10 +141,10 @@ QUERIES = {
     "scd1_stores": lambda s, d: r.current_stores(r.stage_stores(_two_store_deliveries(s, d))).drop("ingestion_timestamp"),
     "sales_quarantine": lambda s, d: r.quarantine(staged(s, d)).select(*STAGED_COLUMNS, "rejection_reason"),
     "quarantine_counts": lambda s, d: r.rejection_counts(r.quarantine(staged(s, d))),
-    "gold_reconcile": lambda s, d: r.reconcile(silver_sales(s, d), gold_daily_sales(s, d)),
-    "gold_product_reconcile": lambda s, d: r.reconcile_products(silver_sales(s, d), gold_product_perf(s, d)),
+    "gold_reconcile": reconciled,
+    "gold_product_reconcile": reconciled_products,
     "orphan_sales": lambda s, d: r.orphan_sales(
-        silver_sales(s, d), silver_stores(s, d), silver_products(s, d)),
+        kept_sales(s, d), silver_stores(s, d), silver_products(s, d)),
     "layer_counts": layer_counts,
 }
 

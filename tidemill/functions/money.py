@@ -11,10 +11,9 @@ _RATE_TYPE = "decimal(10,4)"
 
 
 def _lookup(key: Column, table: dict, dtype: str) -> Column:
-    chain = F
-    for name, value in table.items():
-        chain = chain.when(key == name, F.lit(value).cast(dtype))
-    return chain
+    """Value of a fixed table; a map names the key once, so pushing a filter down does not copy it per entry."""
+    entries = [part for name, value in table.items() for part in (F.lit(name), F.lit(value).cast(dtype))]
+    return F.try_element_at(F.create_map(*entries), key)
 
 
 def discount_percent(promo: Column) -> Column:

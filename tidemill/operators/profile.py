@@ -42,10 +42,12 @@ def describe_exact(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     targets = [(c, p) for c in filled for p in PERCENTS]
     label = {t: f"t{i}" for i, t in enumerate(targets)}
     slack = {c: 4 / _ACCURACY + 2 / moments[c]["count"] for c in filled}
-    bounds = df.agg(*[
-        F.percentile_approx(v[c], [max(0.0, p - slack[c]), min(1.0, p + slack[c])], _ACCURACY).alias(label[c, p])
-        for c, p in targets
+    sketched = df.agg(*[
+        F.percentile_approx(v[c], [q for p in PERCENTS for q in (max(0.0, p - slack[c]), min(1.0, p + slack[c]))],
+                            _ACCURACY).alias(c)
+        for c in filled
     ]).first()
+    bounds = {label[c, p]: sketched[c][2 * i:2 * i + 2] for c in filled for i, p in enumerate(PERCENTS)}
     below = df.agg(*[F.count_if(v[c] < bounds[label[c, p]][0]).alias(label[c, p]) for c, p in targets]).first()
 
     inside = {(c, p): v[c].between(*bounds[label[c, p]]) for c, p in targets}

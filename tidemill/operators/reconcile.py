@@ -3,29 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def compare_totals(measures: Mapping[str, tuple[DataFrame, Column, DataFrame, Column]],
+def compare_totals(source: DataFrame, derived: DataFrame, measures: Mapping[str, tuple[Column, Column]],
                    dtype: str = "decimal(38,2)") -> DataFrame:
     """Rows (measure, source_value, derived_value, delta), one per measure.
 
-    Each side is a global aggregate, so only one row per side and measure moves.
+    A measure names the aggregate over the source and the one over the derived
+    table. Each side is read once, and one row per side moves.
     """
-    def side(name: str, df: DataFrame, total: Column, column: str) -> DataFrame:
-        other = "derived_value" if column == "source_value" else "source_value"
-        return df.agg(total.cast(dtype).alias(column)).select(
-            F.lit(name).alias("measure"), column, F.lit(None).cast(dtype).alias(other))
-
-    rows = [part for name, (source, s, derived, d) in measures.items()
-            for part in (side(name, source, s, "source_value"), side(name, derived, d, "derived_value"))]
-    both = reduce(DataFrame.unionByName, rows).groupBy("measure").agg(
+    def side(df: DataFrame, which: int, column: str) -> DataFrame:
+        totals = df.agg(*[pair[which].cast(dtype).alias(name) for name, pair in measures.items()])
+        rows = F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).alias(column)) for n in measures])).alias("r")
+        return totals.select(rows).select("r.*")
+
+    both = side(source, 0, "source_value").unionByName(
+        side(derived, 1, "derived_value"), allowMissingColumns=True).groupBy("measure").agg(
         F.max("source_value").alias("source_value"), F.max("derived_value").alias("derived_value"))
-    return both.withColumn("delta", (F.coalesce("source_value", F.lit(0))
-                                     - F.coalesce("derived_value", F.lit(0))).cast(dtype))
+    return both.withColumn("delta", _difference(dtype))
+
+
+def _difference(dtype: str) -> Column:
+    zero = F.lit(0)
+    return (F.coalesce("source_value", zero) - F.coalesce("derived_value", zero)).cast(dtype)
 
 
 def compare_per_key(source: DataFrame, derived: DataFrame, key: str, value: str,
@@ -35,10 +38,10 @@ def compare_per_key(source: DataFrame, derived: DataFrame, key: str, value: str,
     Both inputs are already one row per key, tagged and added up in a single
     aggregation instead of joined.
     """
-    zero = F.lit(None).cast(dtype)
-    tagged = source.select(key, F.col(value).cast(dtype).alias("source_value"), zero.alias("derived_value")).unionByName(
-        derived.select(key, zero.alias("source_value"), F.col(value).cast(dtype).alias("derived_value")))
+    def side(df: DataFrame, column: str) -> DataFrame:
+        return df.select(key, F.col(value).cast(dtype).alias(column))
+
+    tagged = side(source, "source_value").unionByName(side(derived, "derived_value"), allowMissingColumns=True)
     both = tagged.groupBy(key).agg(F.sum("source_value").cast(dtype).alias("source_value"),
                                    F.sum("derived_value").cast(dtype).alias("derived_value"))
-    return both.withColumn("delta", (F.coalesce("source_value", F.lit(0))
-                                     - F.coalesce("derived_value", F.lit(0))).cast(dtype))
+    return both.withColumn("delta", _difference(dtype))

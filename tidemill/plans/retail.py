@@ -176,9 +176,9 @@ def reconcile(sales: DataFrame, daily: DataFrame) -> DataFrame:
     Deltas are reported rather than equality: sales of unknown stores are in the
     first and not in the second.
     """
-    return compare_totals({
-        "revenue_usd": (sales, F.sum("total_amount_usd"), daily, F.sum("total_revenue_usd")),
-        "transactions": (sales, F.count_distinct("transaction_id"), daily, F.sum("total_transactions")),
+    return compare_totals(sales, daily, {
+        "revenue_usd": (F.sum("total_amount_usd"), F.sum("total_revenue_usd")),
+        "transactions": (F.count_distinct("transaction_id"), F.sum("total_transactions")),
     })
 
 

@@ -124,11 +124,10 @@ def check_fact_match(fact: DataFrame, staged: DataFrame, days: DataFrame) -> Dat
     A late order in the file makes a mismatch, as only one day's facts are
     counted; ``stg_valid_same_day`` is an extra column that tells the two apart.
     """
-    valid = valid_orders(clean_orders(staged))
-    whole = valid.agg(F.count_distinct("order_id").alias("stg_valid"))
-    newest = latest_per_key(valid.select("order_id", "ts_utc"), ["order_id"], [F.col("ts_utc").desc_nulls_last()])
+    newest = valid_orders(clean_orders(staged)).groupBy("order_id").agg(F.max("ts_utc").alias("ts_utc"))
     same_day = newest.groupBy(F.to_date("ts_utc").alias("process_date")).agg(
         F.count(F.lit(1)).alias("stg_valid_same_day"))
+    whole = same_day.agg(F.coalesce(F.sum("stg_valid_same_day"), F.lit(0)).alias("stg_valid"))
     facts = fact.groupBy(F.to_date("order_timestamp").alias("process_date")).agg(F.count(F.lit(1)).alias("fact"))
     zero = F.lit(0).cast("long")
     return (days.join(facts, "process_date", "left").join(same_day, "process_date", "left")
