@@ -89,6 +89,19 @@ def test_compact_and_cluster_keep_the_rows(table, spark, rows):
     assert rows(table.read(0)) == rows(spark.createDataFrame(DATA, ORDERS))
 
 
+def test_cluster_splits_copies_of_one_customer(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"), ["country"])
+    t.create(spark.range(4000).select(
+        F.lit("AU").alias("country"), F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("customer_id")))
+    # Merging of small shuffle partitions would hide how the rows were ranged.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    t.cluster("customer_id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    per_file = t.read(with_files=True).groupBy("file_path").count().collect()
+    assert t.read().count() == 4000 and t.read().where("customer_id = 7").count() == 3000
+    assert max(r["count"] for r in per_file) < 2000
+
+
 def test_merge(table, spark):
     batch = spark.createDataFrame([(3, 1, "UK", D2, 1.0, "MOVED"), (7, 1, "IN", D1, 1.0, "NEW")], ORDERS)
     for _ in range(2):

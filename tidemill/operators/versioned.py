@@ -37,6 +37,9 @@ _HISTORY = T.StructType([
 ])
 
 
+_FILE = ("file_path", "file_size")
+
+
 def _schema_of(entry) -> T.StructType:
     return T.StructType.fromJson(json.loads(entry["schema_json"]))
 
@@ -83,7 +86,7 @@ class VersionedTable:
         The semi join is on partition columns only, so it prunes folders, and
         filters on partition columns reach the scan.
         """
-        return self._read(self._entry(version), with_files)
+        return self._read(self._entry(version), _FILE if with_files else ())
 
     def _manifest(self, entry) -> DataFrame:
         # Picked by a filter rather than by path: pruning folders by a join asks for a filtered side.
@@ -94,16 +97,15 @@ class VersionedTable:
         stored = self.spark.read.schema(shape).parquet(f"{self.root}/manifest")
         return stored.where(F.col("version") == entry["version"]).drop("version")
 
-    def _read(self, entry, with_files: bool = False) -> DataFrame:
+    def _read(self, entry, about_file: Sequence[str] = ()) -> DataFrame:
         schema = _schema_of(entry)
         if not entry["writes"]:
-            located = [T.StructField("file_path", T.StringType()), T.StructField("file_size", T.LongType())]
-            return self.spark.createDataFrame([], T.StructType(schema.fields + (located if with_files else [])))
+            about = [T.StructField(c, T.StringType() if c == "file_path" else T.LongType()) for c in about_file]
+            return self.spark.createDataFrame([], T.StructType(schema.fields + about))
         full = T.StructType(schema.fields + [T.StructField("write", T.IntegerType())])
         rows = (self.spark.read.schema(full).option("basePath", f"{self.root}/data")
                 .parquet(*[f"{self.root}/data/write={w}" for w in entry["writes"]]))
-        files = [F.col("_metadata.file_path"), F.col("_metadata.file_size")] if with_files else []
-        rows = rows.select(*schema.names, "write", *files)
+        rows = rows.select(*schema.names, "write", *[F.col(f"_metadata.{c}") for c in about_file])
         # A version made of its own write alone has nothing to sieve out.
         if entry["writes"] != [entry["version"]]:
             live = self._manifest(entry)
@@ -129,7 +131,7 @@ class VersionedTable:
         return self._detail(self._entry(version))
 
     def _detail(self, entry) -> DataFrame:
-        per_file = self._read(entry, with_files=True).groupBy(*self.partition_by, "file_path").agg(
+        per_file = self._read(entry, _FILE).groupBy(*self.partition_by, "file_path").agg(
             F.first("file_size").alias("file_size"), F.count(F.lit(1)).alias("rows"))
         return per_file.groupBy(*self.partition_by).agg(
             F.count(F.lit(1)).alias("files"), F.sum("file_size").alias("bytes"), F.sum("rows").alias("rows"))
@@ -178,10 +180,16 @@ class VersionedTable:
         return self._replace("OPTIMIZE", None, before, self._detail(before).where("files > 1"), lambda rows: rows)
 
     def cluster(self, column: str) -> int:
-        """Rewrite every partition in ranges of a column, so file statistics can skip on it."""
+        """Rewrite every partition in ranges of a column, so file statistics can skip on it.
+
+        The place of a row in its old file ends the range key: rows that share
+        the column's value, even whole copies, can then go to several tasks.
+        """
         before = self._entry(None)
         order = [*self.partition_by, column]
-        rows = self._read(before).repartitionByRange(*order).sortWithinPartitions(*order)
+        place = F.xxhash64("file_path", "row_index")
+        rows = (self._read(before, ("file_path", "row_index")).repartitionByRange(*order, place)
+                .sortWithinPartitions(*order).drop("file_path", "row_index"))
         return self._commit("CLUSTER", column, rows, _schema_of(before), None, before)
 
     def _spread(self, df: DataFrame) -> DataFrame:

@@ -20,6 +20,9 @@ _RUNTIME = {
 }
 
 
+_START_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
 def get_session(app: str = "tidemill", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings above; a cluster supplies its own master."""
     builder = SparkSession.builder.appName(app)
@@ -36,6 +39,10 @@ def settle(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else created."""
     for key, value in _RUNTIME.items():
         spark.conf.set(key, value)
+    if not spark.sparkContext.master.startswith("local") and not spark.conf.get(_START_PARTITIONS, None):
+        # Shuffles start wide enough for the cluster; adaptive execution merges what turns out small.
+        width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+        spark.conf.set(_START_PARTITIONS, str(width))
     return spark
 
 
