@@ -79,7 +79,7 @@ _SALES = """WITH sales AS (
   FROM lineitem),
 priced AS (
   SELECT *, CAST(CASE promo_code WHEN 'DISC10' THEN 0.10 WHEN 'DISC5' THEN 0.05 ELSE 0 END AS DECIMAL(5,4)) AS discount,
-    CAST(total * (1 - CASE promo_code WHEN 'DISC10' THEN 0.10 WHEN 'DISC5' THEN 0.05 ELSE 0.00 END) AS DECIMAL(20,6)) AS effective_price
+    CAST(total * (1 - CASE promo_code WHEN 'DISC10' THEN 0.10 WHEN 'DISC5' THEN 0.05 ELSE 0.00 END) AS DECIMAL(18,6)) AS effective_price
   FROM sales)
 """
 _FILLED = """SELECT * REPLACE (coalesce(promo_code, 'NONE') AS promo_code, coalesce(customer_id, 0) AS customer_id) FROM """

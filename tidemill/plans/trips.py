@@ -30,18 +30,23 @@ def violations_left(trips: DataFrame) -> DataFrame:
     return valid_trips(trips).agg(F.count_if(F.col("trip_distance") <= 0).alias("dropped_rows"))
 
 
+def _week(trips: DataFrame) -> Column:
+    """Monday of the pickup's week, in the type of the pickup time."""
+    pickup = "tpep_pickup_datetime"
+    return F.date_trunc("week", pickup).cast(trips.schema[pickup].dataType).alias("week")
+
+
 def flagged_rides(trips: DataFrame) -> DataFrame:
     """Dear rides within one zip or over a short distance."""
     dear = F.col("fare_amount") > 50
     same_zip = F.col("pickup_zip") == F.col("dropoff_zip")
     return trips.where((same_zip & dear) | ((F.col("trip_distance") < 5) & dear)).select(
-        F.date_trunc("week", "tpep_pickup_datetime").alias("week"),
-        F.col("pickup_zip").alias("zip"), "fare_amount", "trip_distance")
+        _week(trips), F.col("pickup_zip").alias("zip"), "fare_amount", "trip_distance")
 
 
 def weekly_stats(trips: DataFrame) -> DataFrame:
     """Average fare and distance per week, oldest first; ``total_rides`` is an extra column."""
-    return trips.groupBy(F.date_trunc("week", "tpep_pickup_datetime").alias("week")).agg(
+    return trips.groupBy(_week(trips)).agg(
         exact_mean(F.col("fare_amount")).alias("avg_amount"),
         exact_mean(F.col("trip_distance")).alias("avg_distance"),
         F.count(F.lit(1)).alias("total_rides"),
