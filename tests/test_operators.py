@@ -78,6 +78,14 @@ def test_upsert_leaves_the_target_unshuffled_for_a_small_batch(spark, tmp_path):
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
 
 
+def test_broadcast_only_after_counting(spark):
+    facts = spark.range(100).withColumnRenamed("id", "k")
+    def plan(limit):
+        dim = op.broadcast_if_small(spark.range(50).withColumnRenamed("id", "k"), limit)
+        return facts.join(dim, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(50) and "strategy=broadcast" not in plan(49)
+
+
 def test_rules_count_null_as_violation(spark, rows):
     df = spark.createDataFrame([(1.0,), (0.0,), (None,), (-1.0,)], "d double")
     rules = {"positive": F.col("d") > 0, "present": F.col("d").isNotNull()}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans import warehouse as w
+from ..session import stored
 from ..sources import process_dates, table
 
 # The warehouse as of this day is the target; what happened from it on is the batch.
@@ -97,7 +98,7 @@ def upserted_orders(spark, d):
     rows = order_file(spark, d)
     before = w.stage_orders(rows.where(F.col("l_shipdate") < _at(CUT)).drop("l_shipdate"))
     after = w.stage_orders(rows.where(F.col("l_shipdate") >= _at(CUT)).drop("l_shipdate"))
-    fact = w.fact_rows(before).withColumn("created_at", _at(LOADED))
+    fact = stored(w.fact_rows(before).withColumn("created_at", _at(LOADED)), "fact_orders")
     return _utc(w.upsert_orders(fact, after, _at(NOW)))
 
 

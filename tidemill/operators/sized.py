@@ -1,0 +1,18 @@
+"""Broadcast behind a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_ROWS = 200_000
+
+
+def broadcast_if_small(dim: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """Mark a narrow dimension for broadcast once counting shows it has few enough rows.
+
+    Spark's own size estimate multiplies the inputs of a joined dimension and
+    would shuffle the facts for a few hundred rows. A larger dimension is
+    returned as it is and joined the usual way.
+    """
+    return F.broadcast(dim) if dim.limit(max_rows + 1).count() <= max_rows else dim

@@ -170,6 +170,10 @@ class VersionedTable:
     def merge(self, batch: DataFrame, keys: Sequence[str], on_insert: Mapping[str, Column] | None = None) -> int:
         """Upsert a batch that holds each key once; partitions without one of its keys are left alone."""
         before = self._entry(None)
+        # Read four times below, and each time it must be the same rows.
+        incoming = f"{self.root}/incoming/version={before['version'] + 1}"
+        batch.write.mode("overwrite").parquet(incoming)
+        batch = self.spark.read.schema(batch.schema).parquet(incoming)
         touched = self._read(before).join(batch.select(*keys), list(keys), "left_semi")
         return self._replace("MERGE", ", ".join(keys), before, touched,
                              lambda rows: upsert(rows, batch, keys, on_insert))

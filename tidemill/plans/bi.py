@@ -1,6 +1,7 @@
 """Star-schema measures.
 
-Facts are added up on the keys a measure needs before any dimension is joined.
+Measures that need one dimension add the facts up on its key first; those that
+need several join the dimensions, small ones by broadcast, and add up once.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import safe_divide
 from ..operators.calendar import date_spine, growth, running_total_by_year, same_day_last_year
+from ..operators.sized import broadcast_if_small
 
 MEASURES = {"sales_amount": "total_sales", "profit": "total_profit", "quantity": "total_quantity"}
 _TYPES = {"sales_amount": "decimal(38,4)", "profit": "decimal(38,4)", "quantity": "bigint"}
@@ -31,16 +33,14 @@ def totals(facts: DataFrame) -> DataFrame:
 def star(facts: DataFrame, products: DataFrame, customers: DataFrame, regions: DataFrame) -> DataFrame:
     """The three measures by year, category, customer segment and region.
 
-    The dimensions that are usually small come first: where they fit a broadcast
-    the facts are cut down to one row per customer and attribute before anything
-    is shuffled for the customer join. A key without a dimension row keeps its
+    Dimensions that are small after a count are broadcast, so the facts are
+    shuffled at most for the large ones. A key without a dimension row keeps its
     facts under a null attribute.
     """
-    described = (facts.join(products.select("product_key", "category"), "product_key", "left")
-                 .join(regions.select("region_key", "region"), "region_key", "left"))
-    per_customer = described.groupBy(F.year("date").alias("year"), "category", "region", "customer_key").agg(*measures())
-    return (per_customer.join(customers.select("customer_key", "segment"), "customer_key", "left")
-            .groupBy("year", "category", "segment", "region").agg(*_again()))
+    return (facts.join(broadcast_if_small(products.select("product_key", "category")), "product_key", "left")
+            .join(broadcast_if_small(regions.select("region_key", "region")), "region_key", "left")
+            .join(broadcast_if_small(customers.select("customer_key", "segment")), "customer_key", "left")
+            .groupBy(F.year("date").alias("year"), "category", "segment", "region").agg(*measures()))
 
 
 def by_category(facts: DataFrame, products: DataFrame) -> DataFrame:
@@ -64,11 +64,9 @@ def filtered_sales(facts: DataFrame, products: DataFrame, regions: DataFrame, ye
         regions = regions.where(F.col("region") == region)
     if category is not None:
         products = products.where(F.col("category") == category)
-    by_keys = facts.groupBy(F.year("date").alias("year"), F.month("date").alias("month"),
-                            "product_key", "region_key").agg(*measures())
-    return (by_keys.join(products.select("product_key", "category"), "product_key")
-            .join(regions.select("region_key", "region"), "region_key")
-            .groupBy("year", "month", "region", "category").agg(*_again()))
+    return (facts.join(broadcast_if_small(products.select("product_key", "category")), "product_key")
+            .join(broadcast_if_small(regions.select("region_key", "region")), "region_key")
+            .groupBy(F.year("date").alias("year"), F.month("date").alias("month"), "region", "category").agg(*measures()))
 
 
 def sales_trend(facts: DataFrame, regions: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from ..operators.checks import anomaly_records, count_check, low_volume
 from ..operators.latest import latest_per_key
 from ..operators.upsert import upsert
 from ..operators.versioned import VersionedTable
+from ..session import stored
 from ..sources import json_records, landing_path, read_csv_text, write_anomalies
 
 MIN_ORDERS = 10  # fixed value: fewer facts than this on a day is a low-volume day
@@ -40,6 +41,8 @@ def load_staging(df: DataFrame, path: str) -> int:
 
 
 # Dimensions ------------------------------------------------------------------
+#
+# An upsert reads its batch three times, so the deduplicated batch is stored first.
 
 def customer_rows(staged: DataFrame) -> DataFrame:
     """One row per customer with a key; a repeated key is settled by the column order."""
@@ -53,11 +56,11 @@ def product_rows(staged: DataFrame) -> DataFrame:
 
 
 def upsert_customers(dim: DataFrame, staged: DataFrame, now: Column | None = None) -> DataFrame:
-    return upsert(dim, customer_rows(staged), ["customer_id"], {"created_at": _now(now)})
+    return upsert(dim, stored(customer_rows(staged), "batch"), ["customer_id"], {"created_at": _now(now)})
 
 
 def upsert_products(dim: DataFrame, staged: DataFrame, now: Column | None = None) -> DataFrame:
-    return upsert(dim, product_rows(staged), ["product_id"], {"created_at": _now(now)})
+    return upsert(dim, stored(product_rows(staged), "batch"), ["product_id"], {"created_at": _now(now)})
 
 
 def _now(now: Column | None) -> Column:
@@ -104,7 +107,7 @@ def fact_rows(staged: DataFrame) -> DataFrame:
 
 
 def upsert_orders(fact: DataFrame, staged: DataFrame, now: Column | None = None) -> DataFrame:
-    return upsert(fact, fact_rows(staged), ["order_id"], {"created_at": _now(now)})
+    return upsert(fact, stored(fact_rows(staged), "batch"), ["order_id"], {"created_at": _now(now)})
 
 
 # Checks ----------------------------------------------------------------------
