@@ -26,7 +26,7 @@ def test_json_shapes(spark, tmp_path, text, ids):
     assert got.columns == schemas.ORDER_FILE.names
 
 
-@pytest.mark.parametrize("text", ['{"order_id": "O1"}\n{"order_id": \n', '[{"order_id": "O1"}, {"order_id"'])
+@pytest.mark.parametrize("text", ['{"order_id": "O1"}\n{"order_id": \n', '{\n "order_id": "O1"\n}\n{\n "order_id": "O2"\n}\n', '[{"order_id": "O1"}, {"order_id"'])
 def test_bad_json_raises(spark, tmp_path, text):
     path = tmp_path / "orders.json"
     path.write_text(text)

@@ -7,7 +7,7 @@ written once per session and input folder, in the shared scratch folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import VersionedTable
@@ -74,15 +74,14 @@ def layout(spark, d):
     stored = orders_at(spark, d, CLUSTERED)
     files = stored.read(CLUSTERED, with_files=True).groupBy("country", "order_date", "file_path").agg(
         F.min("customer_id").alias("lo"), F.max("customer_id").alias("hi"), F.count(F.lit(1)).alias("rows"))
-    # Files of one partition in customer order may share only the boundary customer.
-    overlaps = files.alias("a").join(files.alias("b"), ["country", "order_date"]).where(
-        (F.col("a.file_path") != F.col("b.file_path")) & (F.col("a.lo") < F.col("b.hi")) & (F.col("b.lo") < F.col("a.hi")))
-    after = files.groupBy("country").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("files"))
-    crossing = overlaps.groupBy("country").agg(F.count(F.lit(1)).alias("crossing"))
+    # In customer order a file may share only the boundary customer with those before it.
+    earlier = Window.partitionBy("country", "order_date").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    after = files.withColumn("reached", F.max("hi").over(earlier)).groupBy("country").agg(
+        F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("files"), F.count_if(F.col("reached") > F.col("lo")).alias("crossing"))
     before = stored.detail(DELETED).groupBy("country").agg(F.sum("files").alias("files_before"))
-    return after.join(before, "country").join(crossing, "country", "left").select(
+    return after.join(before, "country").select(
         "country", "rows", (F.col("files") <= F.col("files_before")).alias("fewer_or_same_files"),
-        (F.coalesce("crossing", F.lit(0)) == 0).alias("disjoint_ranges"))
+        (F.col("crossing") == 0).alias("disjoint_ranges"))
 
 
 QUERIES = {

@@ -15,4 +15,4 @@ def broadcast_if_small(dim: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     would shuffle the facts for a few hundred rows. A larger dimension is
     returned as it is and joined the usual way.
     """
-    return F.broadcast(dim) if dim.limit(max_rows + 1).count() <= max_rows else dim
+    return F.broadcast(dim) if dim.count() <= max_rows else dim

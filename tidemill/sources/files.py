@@ -39,12 +39,16 @@ def json_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     streams its elements. Malformed input raises.
     """
     text = T.StructType([T.StructField(n, T.StringType()) for n in schema.names])
-    line = F.trim("value")
-    first = spark.read.text(path).where(line != "").select(
-        (line.startswith("{") & F.try_parse_json(line).isNotNull()).alias("whole_object")).first()
+    lines, line = spark.read.text(path), F.trim("value")
+    opens = line.startswith("{")
+    first = lines.where(line != "").select(
+        opens.alias("object"), (opens & F.try_parse_json(line).isNotNull()).alias("whole")).first()
     if first is None:
         return spark.createDataFrame([], text)
-    return (spark.read.schema(text).option("multiLine", not first["whole_object"])
+    if first["object"] and not first["whole"] and lines.where(F.col("value").startswith("{")).count() > 1:
+        # Read as one document, everything after the first object would be lost.
+        raise ValueError(f"several objects over several lines: {path}")
+    return (spark.read.schema(text).option("multiLine", not first["whole"])
             .option("mode", "FAILFAST").json(path))
 
 
