@@ -19,9 +19,10 @@ from .linking import components
 from .tokens import Words, chunks, mix, randoms
 
 #: Cells of the frequency sketch: its size is fixed, whatever the data.
-CELLS = 1 << 16
-#: The order has eight classes of frequency, kept in the top bits of an n-gram's key.
-CLASS_SHIFT = 61
+CELLS = 1 << 18
+#: Classes of frequency, by a cell's weight over the usual one; an n-gram's key is its class and then 60 bits of hash.
+CLASSES = (1.25, 1.5, 2, 3, 5, 10, 30)
+CLASS_SHIFT = 60
 FRAGMENTS = 8
 
 
@@ -31,7 +32,7 @@ def _shingles(column: pa.Array, n: int) -> tuple[Words, np.ndarray, np.ndarray]:
 
 
 def frequency_classes(docs: DataFrame, text: str, n: int) -> np.ndarray:
-    """A class per cell of n-gram hashes: 0 for cells of usual weight, one more for each doubling above twice that.
+    """A class per cell of n-gram hashes: 0 for cells of usual weight, higher for heavier ones.
 
     Counted over all n-grams of all documents into CELLS cells. The classes only order n-grams, so that those of a
     very common passage come last; what is found does not depend on them.
@@ -49,7 +50,7 @@ def frequency_classes(docs: DataFrame, text: str, n: int) -> np.ndarray:
     total = np.zeros(CELLS)
     total[sums["cell"].to_numpy(np.int64)] = sums["n"].to_numpy()
     usual = max(float(np.median(total)), 1.0)
-    return np.clip(np.floor(np.log2(np.maximum(total, 1) / usual)), 0, 7).astype(np.uint64)
+    return np.searchsorted(np.array(CLASSES) * usual, total, "right").astype(np.uint64)
 
 
 def _sets(column: pa.Array, n: int, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +104,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """
     def bound(a: pa.Array, m: pa.Array, b: pa.Array, n: pa.Array) -> pa.Array:
         most = np.zeros(len(a), np.int64)
-        x, y = a.flatten().to_numpy().view(np.uint64), b.flatten().to_numpy().view(np.uint64)
+        x, y = a.flatten().to_numpy(), b.flatten().to_numpy()
         xo, yo = np.concatenate([[0], np.cumsum(a.value_lengths())]), np.concatenate([[0], np.cumsum(b.value_lengths())])
         for i, (m1, n1) in enumerate(zip(m.to_pylist(), n.to_pylist())):
             p, q = x[xo[i]:xo[i + 1]], y[yo[i]:yo[i + 1]]
@@ -120,6 +121,16 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("most", most).where(F.col("most") >= _needed(F.col("m"), F.col("n"), percent)).select("a", "b", "m", "n")
 
 
+def _countable(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """As ``_possible``, for pairs that come with ``shared``, the exact overlap of their prefixes."""
+    ends = nodes.select("node", "size", (F.col("size") - F.size("prefix")).alias("rest"), F.element_at("prefix", -1).alias("last"))
+    left = ends.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("rest").alias("rest_a"), F.col("last").alias("last_a"))
+    right = ends.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("rest").alias("rest_b"), F.col("last").alias("last_b"))
+    both = pairs.join(left, "a").join(right, "b")
+    beyond = F.when(F.col("last_a") <= F.col("last_b"), F.col("rest_a")).otherwise(F.col("rest_b"))
+    return both.where(F.col("shared") + beyond >= _needed(F.col("m"), F.col("n"), percent)).select("a", "b", "m", "n")
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text: str, n: int, percent: int, classes: np.ndarray) -> DataFrame:
     """The pairs (a, b, m, n) that are similar: overlaps counted per fragment and added up."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,14 +195,14 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     group = F.coalesce(F.col("component"), F.col("node"))
     named = buckets.select("token", "node", "size").join(names, "node", "left").select("token", "node", "size", group.alias("group"))
     mixed = named.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("token")
-    left = named.join(mixed, "token")
-    pairs = left.alias("l").join(left.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.group") != F.col("r.group"))
+    apart = named.join(mixed, "token")
+    met = apart.alias("l").join(apart.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.group") != F.col("r.group"))
         & (100 * F.least("l.size", "r.size") >= percent * F.greatest("l.size", "r.size")))
-    pairs = pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    rest = stored(_possible(pairs, nodes, percent), "possible")
+    counted = met.groupBy(F.col("l.node").alias("a"), F.col("r.node").alias("b")).agg(F.count("*").alias("shared"))
+    pairs = _countable(counted, nodes, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    rest = stored(pairs, "possible")
     if rest.limit(1).count():
-        links = stored(links.union(_linked(rest, docs, nodes, key, text, n, percent, classes)), "links")
-        names = components(links)
+        names = components(links.union(_linked(rest, docs, nodes, key, text, n, percent, classes)))
     members = filled.join(sets.drop("copies"), ["d1", "d2"]).join(names, "node", "left").select("key", "hash", "size", F.coalesce("component", "node").alias("group"))
     least = members.groupBy("group").agg(F.min("key").alias("component_id"))
     joined = members.join(least, "group").select("key", "hash", "size", "component_id", "group")
