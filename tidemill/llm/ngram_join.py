@@ -121,16 +121,6 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("most", most).where(F.col("most") >= _needed(F.col("m"), F.col("n"), percent)).select("a", "b", "m", "n")
 
 
-def _countable(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """As ``_possible``, for pairs that come with ``shared``, the exact overlap of their prefixes."""
-    ends = nodes.select("node", "size", (F.col("size") - F.size("prefix")).alias("rest"), F.element_at("prefix", -1).alias("last"))
-    left = ends.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("rest").alias("rest_a"), F.col("last").alias("last_a"))
-    right = ends.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("rest").alias("rest_b"), F.col("last").alias("last_b"))
-    both = pairs.join(left, "a").join(right, "b")
-    beyond = F.when(F.col("last_a") <= F.col("last_b"), F.col("rest_a")).otherwise(F.col("rest_b"))
-    return both.where(F.col("shared") + beyond >= _needed(F.col("m"), F.col("n"), percent)).select("a", "b", "m", "n")
-
-
 def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text: str, n: int, percent: int, classes: np.ndarray) -> DataFrame:
     """The pairs (a, b, m, n) that are similar: overlaps counted per fragment and added up."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +172,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     filled = rows.where("size > 0")
     sets = filled.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.count("*").alias("copies"))
     nodes = stored(rows.join(sets.select("node"), F.col("row") == F.col("node")).select("node", "key", "hash", "size", "prefix"), "nodes")
-    tokens = nodes.select(F.explode("prefix").alias("token"), "node", "size")
+    ends = [(F.col("size") - F.size("prefix")).alias("rest"), F.element_at("prefix", -1).alias("last")]
+    tokens = nodes.select(F.posexplode("prefix").alias("place", "token"), "node", "size", *ends)
     shared = tokens.groupBy("token").agg(F.min("node").alias("lead"), F.count("*").alias("many"), F.min("size").alias("low")).where("many > 1").drop("many")
     buckets = stored(tokens.join(shared.select("token", "lead"), "token"), "buckets")
 
@@ -193,13 +184,20 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     links = stored(_linked(tried, docs, nodes, key, text, n, percent, classes), "links")
     names = components(links)
     group = F.coalesce(F.col("component"), F.col("node"))
-    named = buckets.select("token", "node", "size").join(names, "node", "left").select("token", "node", "size", group.alias("group"))
+    named = buckets.drop("lead").join(names, "node", "left").withColumn("group", group).drop("component")
     mixed = named.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("token")
     apart = named.join(mixed, "token")
-    met = apart.alias("l").join(apart.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.group") != F.col("r.group"))
-        & (100 * F.least("l.size", "r.size") >= percent * F.greatest("l.size", "r.size")))
-    counted = met.groupBy(F.col("l.node").alias("a"), F.col("r.node").alias("b")).agg(F.count("*").alias("shared"))
-    pairs = _countable(counted, nodes, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    l, r = (apart.select([F.col(c).alias(f"{c}_{side}") for c in apart.columns]) for side in "ab")
+    need = _needed(F.col("size_a"), F.col("size_b"), percent)
+    # At most all before the earlier place, the n-gram itself, and all of the shorter rest.
+    reach = F.least("place_a", "place_b") + 1 + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) - 1
+    met = l.join(r, (F.col("token_a") == F.col("token_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("group_a") != F.col("group_b")) & (reach >= need))
+    sides = [f"{c}_{side}" for side in "ab" for c in ("node", "size", "rest", "last")]
+    # The shared n-grams of the prefixes are all that both sets have up to the earlier of the two ends.
+    beyond = F.when(F.col("last_a") <= F.col("last_b"), F.col("rest_a")).otherwise(F.col("rest_b"))
+    counted = met.groupBy(*sides).agg(F.count("*").alias("shared")).where(F.col("shared") + beyond >= need)
+    pairs = counted.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("size_a").alias("m"), F.col("size_b").alias("n"))
+    pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
     rest = stored(pairs, "possible")
     if rest.limit(1).count():
         names = components(links.union(_linked(rest, docs, nodes, key, text, n, percent, classes)))
