@@ -24,6 +24,10 @@ CELLS = 1 << 18
 CLASSES = (1.25, 1.5, 2, 3, 5, 10, 30)
 CLASS_SHIFT = 60
 FRAGMENTS = 8
+#: Longs of a set's parity sketch: each n-gram flips one bit, so two sketches differ in no more bits than the sets in n-grams.
+SKETCH = 4
+#: Bits of the filter that keeps texts nobody asks for out of the shuffle, whatever the data.
+FILTER_BITS = 1 << 22
 
 
 def _shingles(column: pa.Array, n: int) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -80,8 +84,21 @@ def _digest(key: np.ndarray, bounds: np.ndarray, seed: int) -> np.ndarray:
     return (sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64)
 
 
+def _parity(key: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """The longs of each row's parity sketch."""
+    bit = np.uint64(1) << (key & np.uint64(63))
+    which = (key >> np.uint64(6)) % np.uint64(SKETCH)
+    longs = []
+    for j in range(SKETCH):
+        flips = np.concatenate([[np.uint64(0)], np.bitwise_xor.accumulate(np.where(which == j, bit, np.uint64(0)))])
+        longs.append((flips[bounds[1:]] ^ flips[bounds[:-1]]).view(np.int64))
+    return longs
+
+
 def _signatures(docs: DataFrame, key: str, text: str, n: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """Per row: key, hash of the text, size of the set, 128-bit digest of the set, and the prefix."""
+    """Per row: key, hash of the text, size of the set, its 128-bit digest and parity sketch, and the prefix."""
+    sketch = [f"s{j}" for j in range(SKETCH)]
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             keys, bounds = _sets(batch["text"], n, classes)
@@ -89,12 +106,13 @@ def _signatures(docs: DataFrame, key: str, text: str, n: int, percent: int, clas
             first = _prefix(sizes, percent)
             at = np.repeat(bounds[:-1] - np.concatenate([[0], np.cumsum(first)[:-1]]), first) + np.arange(int(first.sum()))
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first)]).astype(np.int32)), pa.array(keys[at].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch["key"], batch["hash"], pa.array(sizes), pa.array(_digest(keys, bounds, 1)), pa.array(_digest(keys, bounds, 2)), prefix],
-                                             ["key", "hash", "size", "d1", "d2", "prefix"])
+            digests = [pa.array(_digest(keys, bounds, seed)) for seed in (1, 2)]
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["hash"], pa.array(sizes), *digests, *[pa.array(x) for x in _parity(keys, bounds)], prefix],
+                                             ["key", "hash", "size", "d1", "d2", *sketch, "prefix"])
 
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col(text).cast("string").alias("text"))
     kind = docs.schema[key].dataType.simpleString()
-    return rows.mapInArrow(sign, f"key {kind}, hash bigint, size bigint, d1 bigint, d2 bigint, prefix array<bigint>").withColumn("row", F.monotonically_increasing_id())
+    return rows.mapInArrow(sign, f"key {kind}, hash bigint, size bigint, d1 bigint, d2 bigint, {', '.join(c + ' bigint' for c in sketch)}, prefix array<bigint>").withColumn("row", F.monotonically_increasing_id())
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -121,6 +139,15 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("most", most).where(F.col("most") >= _needed(F.col("m"), F.col("n"), percent)).select("a", "b", "m", "n")
 
 
+def _filter(rows: DataFrame, hash_: str) -> np.ndarray:
+    """A bit per possible value of the low bits of a hash, set where ``rows`` have one; the join that follows decides."""
+    cells = rows.groupBy(F.expr(f"cast(({hash_} & {FILTER_BITS - 1}) >> 6 as int)").alias("cell")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast({hash_} & 63 as int))")).alias("bits")).toPandas()  # FILTER_BITS / 64 rows at most.
+    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64).view(np.uint64)
+    return bits
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text: str, n: int, percent: int, classes: np.ndarray) -> DataFrame:
     """The pairs (a, b, m, n) that are similar: overlaps counted per fragment and added up."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +172,15 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text:
 
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = nodes.join(asked, "node").select(F.col("key").alias("__tidemill_key"), F.col("hash").alias("__tidemill_hash"), "node")
+    wanted = stored(wanted, "wanted")
+    bits = _filter(wanted, "__tidemill_hash")
+
+    def asked_for(hashes: pa.Array) -> pa.Array:
+        low = hashes.to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(FILTER_BITS - 1)
+        return pa.array((bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1)
+
     texts = docs.select(F.col(key).alias("__tidemill_k"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("__tidemill_h"))
+    texts = texts.where(F.arrow_udf(asked_for, "boolean")("__tidemill_h"))
     found = texts.join(wanted, (F.col("__tidemill_h") == F.col("__tidemill_hash")) & F.col("__tidemill_k").eqNullSafe(F.col("__tidemill_key")))
     segments = stored(found.select("node", "text").mapInArrow(cut, "node bigint, fragment bigint, segment array<bigint>").dropDuplicates(["node", "fragment"]), "segments")
     left = segments.select(F.col("node").alias("a"), "fragment", F.col("segment").alias("p"))
@@ -164,17 +199,18 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     rows share a component, and null keys come last: a group of null keys has a null component. Empty tables stay empty.
 
     Equal sets become one node. Nodes that share an n-gram of their prefixes are candidates; of such a bucket all meet
-    its first node, and once the links found are joined up only pairs of still separate groups remain to be compared.
-    So a group of thousands of near copies costs a few pairs per member, and no link between separate groups is missed.
+    its first node, and once the links found are joined up only pairs of still separate groups remain. Those leave the
+    join only if place and parity sketch allow enough overlap. So near copies that do link cost a few pairs per member,
+    and no link between separate groups is missed.
     """
+    sketch = [f"s{j}" for j in range(SKETCH)]
     classes = frequency_classes(docs, text, n)
     rows = stored(_signatures(docs, key, text, n, percent, classes), "signatures")
     filled = rows.where("size > 0")
     sets = filled.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.count("*").alias("copies"))
-    nodes = stored(rows.join(sets.select("node"), F.col("row") == F.col("node")).select("node", "key", "hash", "size", "prefix"), "nodes")
-    ends = [(F.col("size") - F.size("prefix")).alias("rest"), F.element_at("prefix", -1).alias("last")]
-    tokens = nodes.select(F.posexplode("prefix").alias("place", "token"), "node", "size", *ends)
-    shared = tokens.groupBy("token").agg(F.min("node").alias("lead"), F.count("*").alias("many"), F.min("size").alias("low")).where("many > 1").drop("many")
+    nodes = stored(rows.join(sets.select("node"), F.col("row") == F.col("node")).select("node", "key", "hash", "size", *sketch, "prefix"), "nodes")
+    tokens = nodes.select(F.posexplode("prefix").alias("place", "token"), "node", "size")
+    shared = tokens.groupBy("token").agg(F.min("node").alias("lead"), F.count("*").alias("many")).where("many > 1").drop("many")
     buckets = stored(tokens.join(shared.select("token", "lead"), "token"), "buckets")
 
     sized = nodes.select(F.col("node").alias("lead"), F.col("size").alias("lead_size"))
@@ -186,19 +222,16 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     group = F.coalesce(F.col("component"), F.col("node"))
     named = buckets.drop("lead").join(names, "node", "left").withColumn("group", group).drop("component")
     mixed = named.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("token")
-    apart = named.join(mixed, "token")
+    apart = named.join(mixed, "token").join(nodes.select("node", *sketch), "node")
     l, r = (apart.select([F.col(c).alias(f"{c}_{side}") for c in apart.columns]) for side in "ab")
     need = _needed(F.col("size_a"), F.col("size_b"), percent)
-    # At most all before the earlier place, the n-gram itself, and all of the shorter rest.
-    reach = F.least("place_a", "place_b") + 1 + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) - 1
-    met = l.join(r, (F.col("token_a") == F.col("token_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("group_a") != F.col("group_b")) & (reach >= need))
-    sides = [f"{c}_{side}" for side in "ab" for c in ("node", "size", "rest", "last")]
-    # The shared n-grams of the prefixes are all that both sets have up to the earlier of the two ends.
-    beyond = F.when(F.col("last_a") <= F.col("last_b"), F.col("rest_a")).otherwise(F.col("rest_b"))
-    counted = met.groupBy(*sides).agg(F.count("*").alias("shared")).where(F.col("shared") + beyond >= need)
-    pairs = counted.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("size_a").alias("m"), F.col("size_b").alias("n"))
-    pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    rest = stored(pairs, "possible")
+    # The first n-gram that two similar sets share has enough left behind it in both.
+    reach = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    apart_bits = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in sketch[1:]), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
+    met = l.join(r, (F.col("token_a") == F.col("token_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("group_a") != F.col("group_b")) & (reach >= need)
+                 & (apart_bits <= F.col("size_a") + F.col("size_b") - 2 * need))
+    pairs = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    rest = stored(_possible(pairs, nodes, percent), "possible")
     if rest.limit(1).count():
         names = components(links.union(_linked(rest, docs, nodes, key, text, n, percent, classes)))
     members = filled.join(sets.drop("copies"), ["d1", "d2"]).join(names, "node", "left").select("key", "hash", "size", F.coalesce("component", "node").alias("group"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import settle, stored
-from . import decontam, mixing, ngram_join, quality, secrets, sharding, urls, warc
+from . import decontam, mixing, ngram_join, quality, secrets, sharding, suffix, urls, warc
 from .sql import ORACLE
 
 
@@ -93,8 +93,13 @@ def op9_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(_table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op10_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated byte strings."""
+    return suffix.cut_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 _ALL = (op1_distribution_divergence, op2_spaced_seeds, op4_window_entropy, op5_temporal_lists, op6_feistel_shards,
-        op7_entropy_balancing, op8_warc_ranges, op9_vertical_jaccard)
+        op7_entropy_balancing, op8_warc_ranges, op9_vertical_jaccard, op10_suffix_sort)
 
 
 def _settled(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
