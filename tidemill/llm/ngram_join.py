@@ -19,13 +19,15 @@ from .linking import components
 from .tokens import Words, chunks, mix, randoms
 
 #: Cells of the frequency sketch: its size is fixed, whatever the data.
-CELLS = 1 << 18
+CELLS = 1 << 20
 #: Classes of frequency, by a cell's weight over the usual one; an n-gram's key is its class and then 60 bits of hash.
 CLASSES = (1.25, 1.5, 2, 3, 5, 10, 30)
 CLASS_SHIFT = 60
 FRAGMENTS = 8
+#: Bytes of text that a task turns into n-grams at a time.
+CHUNK = 1 << 20
 #: Longs of a set's parity sketch: each n-gram flips one bit, so two sketches differ in no more bits than the sets in n-grams.
-SKETCH = 4
+SKETCH = 8
 #: Bits of the filter that keeps texts nobody asks for out of the shuffle, whatever the data.
 FILTER_BITS = 1 << 22
 
@@ -43,24 +45,27 @@ def frequency_classes(docs: DataFrame, text: str, n: int) -> np.ndarray:
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", CHUNK):
             _, value, _ = _shingles(batch["text"], n)
             cells += np.bincount((value % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-        used = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(cells[used])], ["cell", "n"])
-
-    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "cell bigint, n bigint")
-    sums = rows.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # CELLS rows at most.
-    total = np.zeros(CELLS)
-    total[sums["cell"].to_numpy(np.int64)] = sums["n"].to_numpy()
+        # Two cells to a row, the second in the upper half of the number.
+        packed = cells[::2] + (cells[1::2] << 32)
+        used = np.flatnonzero(packed)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(packed[used])], ["cell", "n"])
+
+    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "cell int, n bigint")
+    sums = rows.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # CELLS / 2 rows at most.
+    packed = np.zeros(CELLS // 2, np.uint64)
+    packed[sums["cell"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64).view(np.uint64)
+    total = np.stack([packed & np.uint64(0xFFFFFFFF), packed >> np.uint64(32)], 1).ravel()
     usual = max(float(np.median(total)), 1.0)
-    return np.searchsorted(np.array(CLASSES) * usual, total, "right").astype(np.uint64)
+    return np.searchsorted(np.array(CLASSES) * usual, total, "right").astype(np.uint8)
 
 
 def _sets(column: pa.Array, n: int, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram keys of each row in the global order, rows one after the other, and where each row starts."""
     words, value, row = _shingles(column, n)
-    key = (classes[(value % np.uint64(CELLS)).astype(np.int64)] << np.uint64(CLASS_SHIFT)) | (value >> np.uint64(64 - CLASS_SHIFT))
+    key = (classes[(value % np.uint64(CELLS)).astype(np.int64)].astype(np.uint64) << np.uint64(CLASS_SHIFT)) | (value >> np.uint64(64 - CLASS_SHIFT))
     order = np.lexsort((key, row))
     key, row = key[order], row[order]
     new = np.ones(len(key), bool)
@@ -100,7 +105,7 @@ def _signatures(docs: DataFrame, key: str, text: str, n: int, percent: int, clas
     sketch = [f"s{j}" for j in range(SKETCH)]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", CHUNK):
             keys, bounds = _sets(batch["text"], n, classes)
             sizes = np.diff(bounds)
             first = _prefix(sizes, percent)
@@ -152,7 +157,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text:
     """The pairs (a, b, m, n) that are similar: overlaps counted per fragment and added up."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = np.uint64((1 << CLASS_SHIFT) // (FRAGMENTS - 1) + 1)
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", CHUNK):
             keys, bounds = _sets(batch["text"], n, classes)
             number = np.minimum(keys // width, np.uint64(FRAGMENTS - 1)).astype(np.int64)
             mark = number + FRAGMENTS * np.repeat(np.arange(batch.num_rows), np.diff(bounds))
@@ -198,9 +203,9 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     the smallest key reachable by links. Rows without words or text link with nothing and name themselves, repeated
     rows share a component, and null keys come last: a group of null keys has a null component. Empty tables stay empty.
 
-    Equal sets become one node. Nodes that share an n-gram of their prefixes are candidates; of such a bucket all meet
-    its first node, and once the links found are joined up only pairs of still separate groups remain. Those leave the
-    join only if place and parity sketch allow enough overlap. So near copies that do link cost a few pairs per member,
+    Equal sets become one node. Nodes that share an n-gram of their prefixes are candidates; first each meets
+    the leading node of a bucket, and once the links found are joined up only pairs of still separate groups remain.
+    Those leave the join only if place and parity sketch allow enough overlap. So near copies that do link cost a few pairs per member,
     and no link between separate groups is missed.
     """
     sketch = [f"s{j}" for j in range(SKETCH)]
@@ -214,7 +219,9 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     buckets = stored(tokens.join(shared.select("token", "lead"), "token"), "buckets")
 
     sized = nodes.select(F.col("node").alias("lead"), F.col("size").alias("lead_size"))
-    stars = buckets.where("lead <> node").groupBy("lead", "node", "size").agg(F.count("*").alias("tokens")).join(sized, "lead")
+    # Each node meets the first node with which it shares most.
+    stars = buckets.where("lead <> node").groupBy("lead", "node", "size").agg(F.count("*").alias("tokens"))
+    stars = stars.groupBy("node", "size").agg(F.max_by("lead", F.struct("tokens", -F.col("lead"))).alias("lead")).join(sized, "lead")
     stars = stars.where(100 * F.least("size", "lead_size") >= percent * F.greatest("size", "lead_size"))
     tried = stored(_possible(stars.select(F.col("lead").alias("a"), F.col("node").alias("b")), nodes, percent), "possible")
     links = stored(_linked(tried, docs, nodes, key, text, n, percent, classes), "links")
