@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .bits import bits_of, is_set
 from .tokens import ALNUM, Words, chunks, mix, randoms
 
 #: Fixed masks: 1 takes a word into the hash, 0 ignores it. Each passes a different spacing of replaced words.
@@ -54,15 +55,6 @@ def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     return cutout.mapInArrow(cut, f"item {kind}, item_words binary, seed array<bigint>, offset array<bigint>").withColumn("number", F.monotonically_increasing_id())
 
 
-def _filter(seeds: DataFrame) -> np.ndarray:
-    """A bit per possible value of the low bits of a seed hash, set where the benchmark has one."""
-    cells = seeds.groupBy(F.expr(f"cast((seed & {FILTER_BITS - 1}) >> 6 as int)").alias("cell")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(seed & 63 as int))")).alias("bits")).toPandas()  # FILTER_BITS / 64 rows at most.
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    bits[cells["cell"].to_numpy()] = cells["bits"].to_numpy(np.int64).view(np.uint64)
-    return bits
-
-
 def _overlap(doc: np.ndarray, item: np.ndarray, shift: int, window: int, share: float) -> tuple[int, int, int] | None:
     """Range of document words that match the item at this shift but for replaced words, and the matches in it.
 
@@ -94,15 +86,14 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, keys: list[str], text:
     """
     items = stored(_items(benchmark, item, item_text), "items")
     seeds = items.select("number", F.explode(F.arrays_zip("seed", "offset")).alias("s")).select("number", "s.seed", "s.offset")
-    bits = _filter(seeds)
+    bits = bits_of(seeds, "seed", FILTER_BITS)
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "__tidemill_text"):
             words = Words(batch["__tidemill_text"], ALNUM, lower=True)
             value, at = _seeds(words)
-            low = value & np.uint64(FILTER_BITS - 1)
-            hit = (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
+            hit = is_set(bits, value)
             value, at = value[hit], at[hit]
             order = np.argsort(at, kind="stable")
             value, at = value[order].view(np.int64), at[order]

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .bits import texts_of
 from .linking import components
 from .tokens import Words, chunks, mix, randoms
 
@@ -28,8 +29,6 @@ FRAGMENTS = 8
 CHUNK = 1 << 20
 #: Longs of a set's parity sketch: each n-gram flips one bit, so two sketches differ in no more bits than the sets in n-grams.
 SKETCH = 8
-#: Bits of the filter that keeps texts nobody asks for out of the shuffle, whatever the data.
-FILTER_BITS = 1 << 22
 
 
 def _shingles(column: pa.Array, n: int) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -144,15 +143,6 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("most", most).where(F.col("most") >= _needed(F.col("m"), F.col("n"), percent)).select("a", "b", "m", "n")
 
 
-def _filter(rows: DataFrame, hash_: str) -> np.ndarray:
-    """A bit per possible value of the low bits of a hash, set where ``rows`` have one; the join that follows decides."""
-    cells = rows.groupBy(F.expr(f"cast(({hash_} & {FILTER_BITS - 1}) >> 6 as int)").alias("cell")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast({hash_} & 63 as int))")).alias("bits")).toPandas()  # FILTER_BITS / 64 rows at most.
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    bits[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64).view(np.uint64)
-    return bits
-
-
 def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text: str, n: int, percent: int, classes: np.ndarray) -> DataFrame:
     """The pairs (a, b, m, n) that are similar: overlaps counted per fragment and added up."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,17 +166,9 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text:
         return pa.array(shared)
 
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = nodes.join(asked, "node").select(F.col("key").alias("__tidemill_key"), F.col("hash").alias("__tidemill_hash"), "node")
-    wanted = stored(wanted, "wanted")
-    bits = _filter(wanted, "__tidemill_hash")
-
-    def asked_for(hashes: pa.Array) -> pa.Array:
-        low = hashes.to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(FILTER_BITS - 1)
-        return pa.array((bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1)
-
-    texts = docs.select(F.col(key).alias("__tidemill_k"), F.col(text).cast("string").alias("text"), F.xxhash64(text).alias("__tidemill_h"))
-    texts = texts.where(F.arrow_udf(asked_for, "boolean")("__tidemill_h"))
-    found = texts.join(wanted, (F.col("__tidemill_h") == F.col("__tidemill_hash")) & F.col("__tidemill_k").eqNullSafe(F.col("__tidemill_key")))
+    wanted = stored(nodes.join(asked, "node").select(F.col("key").alias("id"), "hash", "node"), "wanted")
+    texts = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).cast("string").alias("text"))
+    found = texts_of(texts, wanted)
     segments = stored(found.select("node", "text").mapInArrow(cut, "node bigint, fragment bigint, segment array<bigint>").dropDuplicates(["node", "fragment"]), "segments")
     left = segments.select(F.col("node").alias("a"), "fragment", F.col("segment").alias("p"))
     right = segments.select(F.col("node").alias("b"), "fragment", F.col("segment").alias("q"))

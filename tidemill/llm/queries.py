@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import settle, stored
-from . import decontam, mixing, ngram_join, quality, secrets, sharding, suffix, urls, warc
+from . import decontam, mixing, ngram_join, passages, quality, secrets, sharding, suffix, urls, warc
 from .sql import ORACLE
 
 
@@ -28,6 +28,11 @@ def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), ["doc_id"])
 
 
+def op3_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share a passage, with its places and class."""
+    return passages.shared_passages(_table(spark, sf_dir, "documents"))
+
+
 def op4_window_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
     docs = _table(spark, sf_dir, "documents")
@@ -98,7 +103,7 @@ def op10_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.cut_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
-_ALL = (op1_distribution_divergence, op2_spaced_seeds, op4_window_entropy, op5_temporal_lists, op6_feistel_shards,
+_ALL = (op1_distribution_divergence, op2_spaced_seeds, op3_compact_windows, op4_window_entropy, op5_temporal_lists, op6_feistel_shards,
         op7_entropy_balancing, op8_warc_ranges, op9_vertical_jaccard, op10_suffix_sort)
 
 

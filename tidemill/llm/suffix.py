@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .bits import bits_of, is_set, texts_of
 from .tokens import chunks, mix, utf8, window_min
 
 LENGTH, GRAM = 200, 72
-#: Bits of the filters that keep lone anchors and untouched texts out of the shuffles, whatever the data.
+#: Bits of the filter that keeps most lone anchors out of the shuffle, whatever the data.
 FILTER_BITS = 1 << 25
 #: An anchor with more different surroundings than this is settled string by string instead of in one group.
 GROUP = 4096
@@ -208,32 +209,6 @@ def repeated_starts(data: np.ndarray, bounds: np.ndarray, anchor: np.ndarray, gr
     return items[order], offsets[order]
 
 
-def _set_bits(rows: DataFrame, hash_: str) -> np.ndarray:
-    """A bit per possible value of the low bits of a hash, set where ``rows`` have one; the join that follows decides."""
-    cells = rows.groupBy(F.expr(f"cast(({hash_} & {FILTER_BITS - 1}) >> 6 as int)").alias("cell")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast({hash_} & 63 as int))")).alias("bits"))
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    found = cells.toPandas()  # FILTER_BITS / 64 rows at most.
-    bits[found["cell"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
-    return bits
-
-
-def _is_set(bits: np.ndarray, value: np.ndarray) -> np.ndarray:
-    low = value & np.uint64(FILTER_BITS - 1)
-    return (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
-
-
-def _texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` (id, hash, ...) joined with the texts of their documents."""
-    bits = _set_bits(rows, "hash")
-
-    def asked_for(hashes: pa.Array) -> pa.Array:
-        return pa.array(_is_set(bits, hashes.to_numpy(zero_copy_only=False).view(np.uint64)))
-
-    texts = docs.where(F.arrow_udf(asked_for, "boolean")("hash")).withColumnsRenamed({"id": "text_id", "hash": "text_hash"})
-    return texts.join(rows, (F.col("text_hash") == F.col("hash")) & F.col("text_id").eqNullSafe(F.col("id"))).drop("text_id", "text_hash")
-
-
 def _ranges(items: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of consecutive starts of the same item: item, first and last start."""
     new = np.ones(len(items), bool)
@@ -255,7 +230,7 @@ def repeats(docs: DataFrame, id_kind: str) -> DataFrame:
                 if keep is None:
                     yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64))], ["gram"])
                     continue
-                k = np.flatnonzero(_is_set(keep, gram))
+                k = np.flatnonzero(is_set(keep, gram))
                 base, rows = bounds[row[k]], pa.array(row[k])
                 yield pa.RecordBatch.from_arrays(
                     [batch["id"].take(rows), batch["hash"].take(rows)] + [pa.array((x[k] - base).astype(np.int32)) for x in (place, lo, hi)]
@@ -264,7 +239,7 @@ def repeats(docs: DataFrame, id_kind: str) -> DataFrame:
 
     grams = docs.select("text").mapInArrow(scan(None), "gram bigint")
     twice = stored(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
-    anchors = docs.mapInArrow(scan(_set_bits(twice, "gram")), anchor_columns)
+    anchors = docs.mapInArrow(scan(bits_of(twice, "gram", FILTER_BITS)), anchor_columns)
     anchors = stored(anchors.join(twice, "gram", "left_semi"), "anchors")
 
     around = stored(anchors.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("hash", "id", "place", "lo", "hi")).alias("one")), "around")
@@ -277,7 +252,7 @@ def repeats(docs: DataFrame, id_kind: str) -> DataFrame:
     found_columns = f"id {id_kind}, hash bigint, lo int, hi int"
     names = [c.split()[0] for c in found_columns.split(", ")]
     grouped = open_.groupBy("id", "hash").agg(F.collect_list(F.struct("gram", "place", "lo", "hi", "kinds")).alias("own"))
-    with_text = _texts_of(docs, grouped)
+    with_text = texts_of(docs, grouped)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 1 << 20):
@@ -376,7 +351,7 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).cast("string").alias("text"))
     id_kind = docs.schema[key].dataType.simpleString()
     spans = repeats(rows, id_kind).groupBy("id", "hash").agg(F.collect_list(F.struct("lo", "hi")).alias("own"))
-    touched = _texts_of(rows, stored(spans, "spans")).dropDuplicates(["id", "hash"])
+    touched = texts_of(rows, stored(spans, "spans")).dropDuplicates(["id", "hash"])
 
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 4 << 20):
