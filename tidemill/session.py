@@ -16,6 +16,8 @@ _RUNTIME = {
     # HotSpot never compiles methods above 8000 bytes; beyond that, generated code without
     # whole-stage fusion, which is split into small methods, runs several times faster.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Long texts: a batch for a Python task stays at a few megabytes.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
 }
 
