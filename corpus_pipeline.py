@@ -15,21 +15,25 @@ SHARDS = 8
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and do not stray from their language."""
+    settle(spark)
     return quality.assess(docs).where("quality.kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest id."""
+    settle(spark)
     return ngram_join.one_per_group(docs, n=SHINGLE, percent=PERCENT).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    settle(spark)
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them, some not at all."""
+    settle(spark)
     mixed = mixing.mix(docs, F.col("source"), mixing.words_in(F.col("text")), F.xxhash64("doc_id", "text"))
     repeated = mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return repeated.select(*docs.columns)
@@ -37,6 +41,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their shard and their slot in it."""
+    settle(spark)
     return sharding.shard(docs, [F.col("doc_id"), F.xxhash64(*docs.columns)], SHARDS)
 
 
@@ -49,7 +54,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each result is written to the shared folder and read by the next stage."""
-    settle(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_dir(spark, name.replace(" ", "-"))

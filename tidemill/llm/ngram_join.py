@@ -26,7 +26,7 @@ CLASSES = (1.25, 1.5, 2, 3, 5, 10, 30)
 CLASS_SHIFT = 60
 FRAGMENTS = 8
 #: Bytes of text that a task turns into n-grams at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Longs of a set's parity sketch: each n-gram flips one bit, so two sketches differ in no more bits than the sets in n-grams.
 SKETCH = 8
 

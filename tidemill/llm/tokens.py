@@ -40,7 +40,7 @@ def _places(n: int) -> np.ndarray:
     return _PLACE
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each piece has at most ``limit`` bytes of text, or a single row."""
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
