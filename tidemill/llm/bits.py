@@ -12,9 +12,9 @@ def bits_of(rows: DataFrame, hash_: str, size: int) -> np.ndarray:
     """A bit per possible value of the low bits of a hash, set where ``rows`` have one; ``size`` bits, whatever the data."""
     cells = rows.groupBy(F.expr(f"cast(({hash_} & {size - 1}) >> 6 as int)").alias("cell")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast({hash_} & 63 as int))")).alias("bits"))
-    found = cells.toPandas()  # size / 64 rows at most.
+    found = cells.toArrow()  # size / 64 rows at most.
     bits = np.zeros(size // 64, np.uint64)
-    bits[found["cell"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    bits[found["cell"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return bits
 
 

@@ -53,9 +53,9 @@ def frequency_classes(docs: DataFrame, text: str, n: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(packed[used])], ["cell", "n"])
 
     rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "cell int, n bigint")
-    sums = rows.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # CELLS / 2 rows at most.
+    sums = rows.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS / 2 rows at most.
     packed = np.zeros(CELLS // 2, np.uint64)
-    packed[sums["cell"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64).view(np.uint64)
+    packed[sums["cell"].to_numpy()] = sums["n"].to_numpy().view(np.uint64)
     total = np.stack([packed & np.uint64(0xFFFFFFFF), packed >> np.uint64(32)], 1).ravel()
     usual = max(float(np.median(total)), 1.0)
     return np.searchsorted(np.array(CLASSES) * usual, total, "right").astype(np.uint8)
