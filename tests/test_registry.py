@@ -1,6 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
 import os
+import re
 
 import pytest
 
@@ -18,7 +19,8 @@ def con():
 
 def test_sql_has_a_query_for_each_entry():
     assert set(registry.oracle_sql()) <= set(registry.queries())
-    assert set(registry.queries()) - set(registry.oracle_sql()) == {"lake_detail"}
+    text = {name for name in registry.queries() if re.match(r"op\d+_|pipeline$", name)}
+    assert set(registry.queries()) - set(registry.oracle_sql()) - text == {"lake_detail"}
 
 
 @pytest.mark.parametrize("name", registry.queries())
