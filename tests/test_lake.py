@@ -133,3 +133,12 @@ def test_typed_orders_and_describe(spark, rows):
 
 def test_missing_table(spark, tmp_path):
     assert not VersionedTable(spark, str(tmp_path / "none"), ["a"]).exists()
+
+
+def test_create_again_keeps_old_versions(spark, tmp_path, rows):
+    table = VersionedTable(spark, str(tmp_path / "t"), ["p"])
+    table.create(spark.createDataFrame([(1, "a"), (2, "b")], "x int, p string"))
+    table.append(spark.createDataFrame([(3, "a")], "x int, p string"))
+    assert table.create(spark.createDataFrame([(9, "c")], "x int, p string")) == 2
+    assert rows(table.read()) == [(9, "c")]
+    assert rows(table.read(0)) == [(1, "a"), (2, "b")] and table.read(1).count() == 3

@@ -41,3 +41,15 @@ def test_run_is_incremental_and_repeatable(spark, tmp_path, rows):
     assert daily() == [("2025-01-05", "WEST", 2, 2, 20.0), ("2025-01-06", "EAST", 1, 1, 9.9)]
     log = spark.read.schema(schemas.QUALITY_LOG).parquet(f"{store}/pipeline_data_quality_log")
     assert log.where("table_name = 'gold_product_performance'").count() == 3
+
+
+def test_feeds_without_files(spark, tmp_path):
+    landing, store = tmp_path / "landing", str(tmp_path / "store")
+    deliver(landing / "sales", "1.csv", schemas.SALES_FEED, SALES)
+    (landing / "products").mkdir()
+    (landing / "stores").mkdir()
+    metrics = {(m.table_name, m.metric_type): m.metric_value for m in medallion.run(spark, str(landing), store).collect()}
+    assert metrics["silver_sales_transactions", "record_count"] == 3 and metrics["silver_product_master", "record_count"] == 0
+    deliver(landing / "stores", "1.csv", schemas.STORE_FEED, "S1,main,LA,CA,usa,west\n")
+    medallion.run(spark, str(landing), store)
+    assert spark.read.parquet(f"{store}/gold/gold_daily_sales_summary").count() == 1

@@ -78,12 +78,31 @@ def test_upsert_leaves_the_target_unshuffled_for_a_small_batch(spark, tmp_path):
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
 
 
-def test_broadcast_only_after_counting(spark):
-    facts = spark.range(100).withColumnRenamed("id", "k")
-    def plan(limit):
-        dim = op.broadcast_if_small(spark.range(50).withColumnRenamed("id", "k"), limit)
-        return facts.join(dim, "k")._jdf.queryExecution().optimizedPlan().toString()
-    assert "strategy=broadcast" in plan(50) and "strategy=broadcast" not in plan(49)
+def test_upsert_in_one_pass_moves_each_side_once(spark, tmp_path, rows):
+    spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"), F.lit("old").alias("at")).write.parquet(str(tmp_path / "t"))
+    target = spark.read.parquet(str(tmp_path / "t"))
+    batch = spark.range(40, 60).select(F.col("id").alias("k"), F.when(F.col("id") != 41, -F.col("id")).alias("v"))
+    insert = {"at": F.lit("new")}
+    want = rows(op.upsert(target, batch, ["k"], insert))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = op.upsert(target, batch, ["k"], insert, one_pass=True)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert rows(got) == want and (41, None, "old") in want and (59, -59, "new") in want
+        assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_scd1_ties_keep_rows_whole(spark):
+    data = [("k", 1, 2, "10.00", "a"), ("k", 1, 1, "30.00", "b"), ("k", 0, 9, "99.00", "z")]
+    df = spark.createDataFrame(data, "k string, seq int, q int, p string, n string")
+    columns = ["q", "p", "n"]
+    first = {tuple(r) for r in op.scd1(df, ["k"], ["seq"], columns).collect()}
+    again = {tuple(r) for r in op.scd1(df.orderBy("q"), ["k"], ["seq"], columns).collect()}
+    assert first == again and first <= {("k", 2, "10.00", "a"), ("k", 1, "30.00", "b")}
+    assert op.scd1(df, ["k"], ["seq"], columns, F.col("q")).first()["p"] == "10.00"
 
 
 def test_rules_count_null_as_violation(spark, rows):

@@ -34,6 +34,25 @@ def test_bad_json_raises(spark, tmp_path, text):
         sources.json_records(spark, str(path), schemas.ORDER_FILE).collect()
 
 
+@pytest.mark.parametrize("text", [
+    '  {\n  "order_id": "O1"\n  }\n  {\n  "order_id": "O2"\n  }\n', '{\n"order_id": "O1"\n},{\n"order_id": "O2"\n}',
+    '{"order_id": "O1"} {"order_id": "O2"}\n{"order_id": "O3"}\n', '[{"order_id": "O1"}]\n[{"order_id": "O2"}]\n',
+    '[{"order_id": "O1"}] {"order_id": "O2"}', '{"order_id": "O1"}] {"order_id": "O2"}\n', '[1, {"order_id": "O2"}]', '"x"'])
+def test_json_with_more_than_one_document_raises(spark, tmp_path, text):
+    (tmp_path / "o.json").write_text(text)
+    with pytest.raises(Exception):
+        sources.json_records(spark, str(tmp_path / "o.json"), schemas.ORDER_FILE).collect()
+
+
+def test_json_shape_is_decided_for_each_file(spark, tmp_path):
+    (tmp_path / "in put").mkdir()
+    for name, text in {"a": '[{"order_id": "O1"},\n {"order_id": "O2"}]', "b": '{"order_id": "O3"}\n\n{"order_id": "O4"}\n',
+                       "c": '{\n "order_id": "O5"\n}\n', "d": "", "e": "[]", "f f%1": '{"order_id": "O6"}'}.items():
+        (tmp_path / "in put" / f"{name}.json").write_text(text)
+    got = sources.json_records(spark, str(tmp_path / "in put"), schemas.ORDER_FILE)
+    assert sorted(r.order_id for r in got.collect()) == [f"O{i}" for i in range(1, 7)] and got.count() == 6
+
+
 def test_json_keeps_numbers_as_written(spark, tmp_path):
     path = tmp_path / "o.json"
     path.write_text(ARRAY)

@@ -108,3 +108,15 @@ def test_trip_streams_chain(spark, tmp_path):
     valid = file_stream(spark, str(tmp_path / "valid"), df.schema, "parquet")
     trips.append_flagged(valid, str(tmp_path / "flagged"), str(tmp_path / "cp2"))
     assert spark.read.parquet(str(tmp_path / "flagged")).count() == 4
+
+
+def test_two_checkpoints_keep_both_feeds(spark, tmp_path, rows):
+    state = retail.StreamedState(spark, str(tmp_path / "state"), ["k"], ["seq"], spark.createDataFrame([], CHANGES).schema)
+    assert state.current().count() == 0
+    for name in ("a", "b"):
+        df = spark.createDataFrame([(name, 1, 1, name)], CHANGES)
+        land(df, str(tmp_path / name), 1)
+        state.absorb(file_stream(spark, str(tmp_path / name), df.schema, "parquet"), str(tmp_path / f"checkpoint-{name}"))
+    assert rows(state.current()) == [("a", 1, 1, "a"), ("b", 1, 1, "b")]
+    state.compact()
+    assert state.current().count() == 2

@@ -110,3 +110,14 @@ def test_run_day_is_idempotent_and_backfills(spark, tmp_path):
     found = {(r.kind, str(r.date)): (r.fact, r.stg_valid, r.warning) for r in anomalies.collect()}
     assert found == {("dq_mismatch", "2025-12-07"): (2, 3, None), ("low_volume", "2025-12-06"): (None, None, "LOW ORDER COUNT"),
                      ("low_volume", "2025-12-07"): (None, None, "LOW ORDER COUNT")}
+
+
+def test_days_without_facts_and_files_of_several_days(spark, rows):
+    files = staged(spark, order("1"), order("2", ts="2025-12-06T23:00:00Z"), order("3", ts="2025-12-06T10:00:00Z")).withColumn(
+        "file_date", F.when(F.col("order_id") == "3", F.lit(date(2025, 12, 6))).otherwise(F.lit(date(2025, 12, 7))))
+    days = spark.createDataFrame([(date(2025, 12, n),) for n in (5, 6, 7)], "process_date date")
+    facts = w.fact_rows(files)
+    assert rows(w.volume_branch(facts, 1, days).select("process_date", "fact", "branch")) == [
+        (date(2025, 12, 5), 0, "warn_low_volume"), (date(2025, 12, 6), 2, "normal_completion"), (date(2025, 12, 7), 1, "normal_completion")]
+    assert rows(w.check_fact_match(facts, files, days, "file_date")) == [
+        (date(2025, 12, 5), 0, 0, 0, True), (date(2025, 12, 6), 2, 1, 1, False), (date(2025, 12, 7), 1, 2, 1, False)]

@@ -90,14 +90,11 @@ QUERIES = {
     "lake_prune_one": lambda s, d: p.of_country(orders_at(s, d, WRITTEN).read(WRITTEN), "UK"),
     "lake_prune_two": lambda s, d: p.of_country_and_day(orders_at(s, d, WRITTEN).read(WRITTEN), "AU", "1998-07-01"),
     "lake_partitions": lambda s, d: orders_at(s, d, WRITTEN).partitions(WRITTEN),
-    "lake_detail": lambda s, d: orders_at(s, d, WRITTEN).detail(WRITTEN),
     "lake_update_status": _version(UPDATED),
     "lake_time_travel": lambda s, d: orders_at(s, d, CANCELLED).read(UPDATED),
     "lake_schema_evolution": _version(APPENDED),
-    "lake_schema": lambda s, d: p.describe(orders_at(s, d, APPENDED).read(APPENDED)),
     "lake_update_cancel": _version(CANCELLED),
     "lake_delete": _version(DELETED),
-    "lake_history": lambda s, d: orders_at(s, d, CLUSTERED).history(),
     "lake_layout": layout,
 }
 
@@ -126,19 +123,8 @@ ORACLE = {
     "lake_update_status": _LAKE + "SELECT * FROM v1",
     "lake_time_travel": _LAKE + "SELECT * FROM v1",
     "lake_schema_evolution": _LAKE + "SELECT * FROM v2",
-    "lake_schema": """SELECT * FROM (VALUES (0, 'order_id', 'bigint'), (1, 'order_timestamp', 'timestamp_ntz'),
-  (2, 'customer_id', 'bigint'), (3, 'country', 'string'), (4, 'amount', 'double'), (5, 'currency', 'string'),
-  (6, 'status', 'string'), (7, 'order_date', 'date'), (8, 'payment_method', 'string'), (9, 'coupon_code', 'string'))
-  t(position, column_name, data_type)""",
     "lake_update_cancel": _LAKE + "SELECT * FROM v3",
     "lake_delete": _LAKE + "SELECT * FROM v4",
-    "lake_history": _LAKE + """, n AS (SELECT (SELECT count(*) FROM base) AS b, (SELECT count(*) FROM v4) AS d)
-SELECT 0 AS version, 'WRITE' AS operation, CAST(NULL AS VARCHAR) AS predicate, CAST(NULL AS BIGINT) AS rows_before, b AS rows_after FROM n
-UNION ALL SELECT 1, 'UPDATE', 'status = ''CREATED'' AND country = ''AU''', b, b FROM n
-UNION ALL SELECT 2, 'APPEND', NULL, b, 2 * b FROM n
-UNION ALL SELECT 3, 'UPDATE', 'amount > 900', 2 * b, 2 * b FROM n
-UNION ALL SELECT 4, 'DELETE', 'amount < 100', 2 * b, d FROM n
-UNION ALL SELECT 5, 'CLUSTER', 'customer_id', d, d FROM n""",
     "lake_layout": _LAKE + """SELECT country, count(*) AS rows, TRUE AS fewer_files, TRUE AS disjoint_ranges
 FROM v4 GROUP BY country""",
 }

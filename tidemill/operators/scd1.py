@@ -1,8 +1,9 @@
 """Type-1 state per key that ignores null updates.
 
 Each column keeps its own newest non-null value. A change row is therefore
-folded into one ``struct(sequence, value)`` per column, and two states merge by
-taking the larger struct. That merge is associative, commutative and idempotent:
+folded into one ``struct(sequence, tie, value)`` per column, and two states merge by
+taking the larger struct. The tie belongs to the whole row, so among rows of equal
+sequence one row goes before the others in all its columns. That merge is associative, commutative and idempotent:
 it combines on the map side (a hot key shrinks to one row per task), it accepts
 batches in any order, and replaying a batch changes nothing.
 """
@@ -11,17 +12,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def fold_changes(df: DataFrame, keys: Sequence[str], sequence_by: Sequence[str],
-                 columns: Sequence[str] | None = None) -> DataFrame:
-    """One state row per key from raw change rows."""
+                 columns: Sequence[str] | None = None, tie: Column | None = None) -> DataFrame:
+    """One state row per key from raw change rows; ``tie`` orders rows of equal sequence, by default a hash of the row."""
     columns = columns or [c for c in df.columns if c not in keys]
     sequence = [F.col(s).alias(f"s{i}") for i, s in enumerate(sequence_by)]
+    tie = F.xxhash64(*df.columns) if tie is None else tie
     stamped = df.select(*keys, *[
-        F.when(F.col(c).isNotNull(), F.struct(*sequence, F.col(c).alias("value"))).alias(c)
+        F.when(F.col(c).isNotNull(), F.struct(*sequence, tie.alias("tie"), F.col(c).alias("value"))).alias(c)
         for c in columns
     ])
     return merge_changes(stamped, keys)
@@ -40,6 +42,6 @@ def current_rows(states: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def scd1(df: DataFrame, keys: Sequence[str], sequence_by: Sequence[str],
-         columns: Sequence[str] | None = None) -> DataFrame:
+         columns: Sequence[str] | None = None, tie: Column | None = None) -> DataFrame:
     """Batch form: the current row of every key."""
-    return current_rows(fold_changes(df, keys, sequence_by, columns), keys)
+    return current_rows(fold_changes(df, keys, sequence_by, columns, tie), keys)

@@ -139,7 +139,9 @@ class VersionedTable:
     # Writing -----------------------------------------------------------------
 
     def create(self, df: DataFrame) -> int:
-        return self._commit("WRITE", None, self._spread(df), df.schema, kept=None, before=None)
+        """Write the table; an existing one gets a new version with these rows alone, and keeps its older versions."""
+        before = self._entry(None) if self.exists() else None
+        return self._commit("WRITE", None, self._spread(df), df.schema, kept=None, before=before)
 
     def append(self, df: DataFrame) -> int:
         """Add rows; new columns join the schema and read as null in older rows."""

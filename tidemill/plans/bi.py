@@ -1,7 +1,7 @@
 """Star-schema measures.
 
-Measures that need one dimension add the facts up on its key first; those that
-need several join the dimensions, small ones by broadcast, and add up once.
+The facts are added up on the keys of the dimensions first, so that joins see
+sums and a hot key shrinks on the map side.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions import safe_divide
 from ..operators.calendar import date_spine, growth, running_total_by_year, same_day_last_year
-from ..operators.sized import broadcast_if_small
 
 MEASURES = {"sales_amount": "total_sales", "profit": "total_profit", "quantity": "total_quantity"}
 _TYPES = {"sales_amount": "decimal(38,4)", "profit": "decimal(38,4)", "quantity": "bigint"}
@@ -30,17 +29,21 @@ def totals(facts: DataFrame) -> DataFrame:
     return facts.agg(*measures())
 
 
-def star(facts: DataFrame, products: DataFrame, customers: DataFrame, regions: DataFrame) -> DataFrame:
+def star(facts: DataFrame, products: DataFrame, customers: DataFrame, regions: DataFrame,
+         customer_key: str = "customer_key") -> DataFrame:
     """The three measures by year, category, customer segment and region.
 
-    Dimensions that are small after a count are broadcast, so the facts are
-    shuffled at most for the large ones. A key without a dimension row keeps its
-    facts under a null attribute.
+    The segment is joined to the facts, as customers are too many to add up on; with
+    ``customer_key`` they may be keyed by another column, such as the order. The facts are
+    then added up on the keys of the other dimensions, and only sums meet those.
+    A key without a dimension row keeps its facts under a null attribute.
     """
-    return (facts.join(broadcast_if_small(products.select("product_key", "category")), "product_key", "left")
-            .join(broadcast_if_small(regions.select("region_key", "region")), "region_key", "left")
-            .join(broadcast_if_small(customers.select("customer_key", "segment")), "customer_key", "left")
-            .groupBy(F.year("date").alias("year"), "category", "segment", "region").agg(*measures()))
+    keyed = (facts.join(customers.select(customer_key, "segment"), customer_key, "left")
+             .groupBy(F.year("date").alias("year"), "segment", "product_key", "region_key").agg(*measures()))
+    return (keyed.join(products.select("product_key", "category"), "product_key", "left")
+            .groupBy("year", "category", "segment", "region_key").agg(*_again())
+            .join(regions.select("region_key", "region"), "region_key", "left")
+            .groupBy("year", "category", "segment", "region").agg(*_again()))
 
 
 def by_category(facts: DataFrame, products: DataFrame) -> DataFrame:
@@ -64,9 +67,11 @@ def filtered_sales(facts: DataFrame, products: DataFrame, regions: DataFrame, ye
         regions = regions.where(F.col("region") == region)
     if category is not None:
         products = products.where(F.col("category") == category)
-    return (facts.join(broadcast_if_small(products.select("product_key", "category")), "product_key")
-            .join(broadcast_if_small(regions.select("region_key", "region")), "region_key")
-            .groupBy(F.year("date").alias("year"), F.month("date").alias("month"), "region", "category").agg(*measures()))
+    keyed = facts.groupBy(F.year("date").alias("year"), F.month("date").alias("month"), "product_key", "region_key").agg(*measures())
+    return (keyed.join(products.select("product_key", "category"), "product_key")
+            .groupBy("year", "month", "region_key", "category").agg(*_again())
+            .join(regions.select("region_key", "region"), "region_key")
+            .groupBy("year", "month", "region", "category").agg(*_again()))
 
 
 def sales_trend(facts: DataFrame, regions: DataFrame) -> DataFrame:

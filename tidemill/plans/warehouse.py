@@ -14,7 +14,6 @@ from ..operators.checks import anomaly_records, count_check, low_volume
 from ..operators.latest import latest_per_key
 from ..operators.upsert import upsert
 from ..operators.versioned import VersionedTable
-from ..session import stored
 from ..sources import json_records, landing_path, read_csv_text, write_anomalies
 
 MIN_ORDERS = 10  # fixed value: fewer facts than this on a day is a low-volume day
@@ -41,8 +40,6 @@ def load_staging(df: DataFrame, path: str) -> int:
 
 
 # Dimensions ------------------------------------------------------------------
-#
-# An upsert reads its batch three times, so the deduplicated batch is stored first.
 
 def customer_rows(staged: DataFrame) -> DataFrame:
     """One row per customer with a key; a repeated key is settled by the column order."""
@@ -56,11 +53,11 @@ def product_rows(staged: DataFrame) -> DataFrame:
 
 
 def upsert_customers(dim: DataFrame, staged: DataFrame, now: Column | None = None) -> DataFrame:
-    return upsert(dim, stored(customer_rows(staged), "batch"), ["customer_id"], {"created_at": _now(now)})
+    return upsert(dim, customer_rows(staged), ["customer_id"], {"created_at": _now(now)}, one_pass=True)
 
 
 def upsert_products(dim: DataFrame, staged: DataFrame, now: Column | None = None) -> DataFrame:
-    return upsert(dim, stored(product_rows(staged), "batch"), ["product_id"], {"created_at": _now(now)})
+    return upsert(dim, product_rows(staged), ["product_id"], {"created_at": _now(now)}, one_pass=True)
 
 
 def _now(now: Column | None) -> Column:
@@ -69,8 +66,8 @@ def _now(now: Column | None) -> Column:
 
 # Fact ------------------------------------------------------------------------
 
-def clean_orders(staged: DataFrame) -> DataFrame:
-    """Typed columns, UTC time, and USD where the currency is blank."""
+def clean_orders(staged: DataFrame, *also: str) -> DataFrame:
+    """Typed columns, UTC time, and USD where the currency is blank; ``also`` names columns to carry along."""
     return staged.select(
         F.col("order_id").cast("string").alias("order_id"),
         as_timestamp(F.col("order_timestamp"), staged.schema["order_timestamp"].dataType).alias("ts_utc"),
@@ -78,7 +75,7 @@ def clean_orders(staged: DataFrame) -> DataFrame:
         F.col("product_id").cast("string").alias("product_id"),
         to_int_half_even(F.col("quantity")).alias("quantity"),
         F.col("total_amount").cast(schemas.MONEY).alias("total_amount"),
-        blank_to(F.col("currency"), "USD").alias("currency"), "status")
+        blank_to(F.col("currency"), "USD").alias("currency"), "status", *also)
 
 
 def is_valid() -> Column:
@@ -107,7 +104,7 @@ def fact_rows(staged: DataFrame) -> DataFrame:
 
 
 def upsert_orders(fact: DataFrame, staged: DataFrame, now: Column | None = None) -> DataFrame:
-    return upsert(fact, stored(fact_rows(staged), "batch"), ["order_id"], {"created_at": _now(now)})
+    return upsert(fact, fact_rows(staged), ["order_id"], {"created_at": _now(now)}, one_pass=True)
 
 
 # Checks ----------------------------------------------------------------------
@@ -121,28 +118,37 @@ def check_null_keys(fact: DataFrame) -> DataFrame:
     return count_check(fact, "fact_no_null_fks", "count>0", missing)
 
 
-def check_fact_match(fact: DataFrame, staged: DataFrame, days: DataFrame) -> DataFrame:
-    """Facts of each process day against the distinct valid orders of the whole staging table.
+def check_fact_match(fact: DataFrame, staged: DataFrame, days: DataFrame, file_date: str | None = None) -> DataFrame:
+    """Facts of each process day against the distinct valid orders of that day's file.
 
-    A late order in the file makes a mismatch, as only one day's facts are
-    counted; ``stg_valid_same_day`` is an extra column that tells the two apart.
+    ``file_date`` names the staging column with the day of the file; without it,
+    staging holds one file, which counts for every day. An order in the file
+    that belongs to another day, or has no time, makes a mismatch;
+    ``stg_valid_same_day`` is an extra column that tells the two apart.
     """
-    newest = valid_orders(clean_orders(staged)).groupBy("order_id").agg(F.max("ts_utc").alias("ts_utc"))
-    same_day = newest.groupBy(F.to_date("ts_utc").alias("process_date")).agg(
-        F.count(F.lit(1)).alias("stg_valid_same_day"))
-    whole = same_day.agg(F.coalesce(F.sum("stg_valid_same_day"), F.lit(0)).alias("stg_valid"))
     facts = fact.groupBy(F.to_date("order_timestamp").alias("process_date")).agg(F.count(F.lit(1)).alias("fact"))
-    zero = F.lit(0).cast("long")
-    return (days.join(facts, "process_date", "left").join(same_day, "process_date", "left")
-            .select("process_date", F.coalesce("fact", zero).alias("fact"), whole.scalar().alias("stg_valid"),
+    also = [file_date] if file_date else []
+    newest = valid_orders(clean_orders(staged, *also)).groupBy("order_id", *also).agg(F.max("ts_utc").alias("ts_utc"))
+    day, zero, one = F.to_date("ts_utc"), F.lit(0).cast("long"), F.lit(1)
+    if file_date:
+        valid = newest.groupBy(F.col(file_date).alias("process_date")).agg(
+            F.count(one).alias("stg_valid"), F.count_if(day == F.col(file_date)).alias("stg_valid_same_day"))
+        whole = F.coalesce("stg_valid", zero)
+    else:
+        valid = newest.groupBy(day.alias("process_date")).agg(F.count(one).alias("stg_valid_same_day"))
+        whole = valid.agg(F.coalesce(F.sum("stg_valid_same_day"), zero)).scalar()
+    return (days.join(facts, "process_date", "left").join(valid, "process_date", "left")
+            .select("process_date", F.coalesce("fact", zero).alias("fact"), whole.alias("stg_valid"),
                     F.coalesce("stg_valid_same_day", zero).alias("stg_valid_same_day"))
             .withColumn("passed", F.col("fact") == F.col("stg_valid")))
 
 
-def volume_branch(fact: DataFrame, threshold: int = MIN_ORDERS) -> DataFrame:
-    """Facts per day and the branch they lead to."""
+def volume_branch(fact: DataFrame, threshold: int = MIN_ORDERS, days: DataFrame | None = None) -> DataFrame:
+    """Facts per process day and the branch they lead to; a day of ``days`` without facts counts zero."""
     daily = fact.where(F.col("order_timestamp").isNotNull()).groupBy(
         F.to_date("order_timestamp").alias("process_date")).agg(F.count(F.lit(1)).alias("fact"))
+    if days is not None:
+        daily = days.join(daily, "process_date", "left").select("process_date", F.coalesce("fact", F.lit(0).cast("long")).alias("fact"))
     return low_volume(daily, "fact", threshold)
 
 

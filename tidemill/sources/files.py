@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,25 +31,46 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+#: Closes the list a text is wrapped in; a text that ends the list itself cannot put it there.
+_END = "\0end"
+
+
+def _elements(text: Column) -> Column:
+    """The JSON values a text holds, as text and with the closing mark; null if it is malformed."""
+    return F.from_json(F.concat(F.lit("["), text, F.lit(',"\\u0000end"]')), "array<string>")
+
+
+def _only(text: Column) -> Column:
+    """The one JSON value a text holds, or null if it is malformed or holds more."""
+    found = _elements(text)
+    return F.when((F.size(found) == 2) & (F.get(found, F.lit(1)) == _END), F.get(found, F.lit(0)))
+
+
 def json_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Flat JSON records as text columns: an array, one object, or one object per line.
 
-    The first line with content tells the shape of a file. Lines are split among
-    tasks; an array or a single object is read by one task per file, which
-    streams its elements. Malformed input raises.
+    The shape is decided for each file. A file whose lines with content are all whole
+    objects is read by line, split among tasks; any other file must hold
+    one object or one array of objects and is read by one task. Everything else
+    raises, so no record is lost. Names of files of the second kind go
+    to the driver, as any listing of files does.
     """
     text = T.StructType([T.StructField(n, T.StringType()) for n in schema.names])
-    lines, line = spark.read.text(path), F.trim("value")
-    opens = line.startswith("{")
-    first = lines.where(line != "").select(
-        opens.alias("object"), (opens & F.try_parse_json(line).isNotNull()).alias("whole")).first()
-    if first is None:
-        return spark.createDataFrame([], text)
-    if first["object"] and not first["whole"] and lines.where(F.col("value").startswith("{")).count() > 1:
-        # Read as one document, everything after the first object would be lost.
-        raise ValueError(f"several objects over several lines: {path}")
-    return (spark.read.schema(text).option("multiLine", not first["whole"])
-            .option("mode", "FAILFAST").json(path))
+    file, strict = F.col("_metadata.file_path"), {"mode": "FAILFAST"}
+    lines = spark.read.text(path).where(F.col("value").rlike(r"\S"))
+    by_line = lines.groupBy(file.alias("file")).agg(F.bool_and(F.coalesce(_only(F.col("value")).startswith("{"), F.lit(False))).alias("by_line"))
+    whole = [r["file"] for r in by_line.where("NOT by_line").collect()]
+    if whole:
+        lines = lines.where(~file.isin(whole))
+    records = lines.select(F.col("value").alias("record"))
+    if whole:
+        held = spark.read.text(path, wholetext=True).where(file.isin(whole)).select(file.alias("file"), _only(F.col("value")).alias("value"))
+        listed = F.when(F.col("value").startswith("{"), F.array("value")).when(
+            F.col("value").startswith("["), F.from_json("value", "array<string>"))
+        listed = F.when(F.forall(listed, lambda e: F.coalesce(e.startswith("{"), F.lit(False))), listed)
+        bad = F.raise_error(F.concat(F.lit("neither one object, one array of objects, nor an object per line: "), F.col("file")))
+        records = records.union(held.select(F.explode(F.coalesce(listed, bad.cast("array<string>"))).alias("record")))
+    return records.select(F.from_json("record", text, strict).alias("r")).select("r.*")
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv",

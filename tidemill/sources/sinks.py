@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -34,6 +36,16 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def ensure_table(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    """Make an empty folder where a parquet table is yet to come, so that it can be read and streamed from."""
+    try:
+        spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        spark.createDataFrame([], schema).limit(0).write.mode("append").partitionBy(schema.names[-1]).parquet(path)
+
+
 def write_anomalies(records: DataFrame, path: str) -> None:
     """Anomaly records as JSON under kind=/date=; writing a day again replaces that day."""
     (records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..plans import retail as r
-from ..sources import append_rows, file_stream
+from ..sources import append_rows, ensure_table, file_stream
 from .ingest import FEEDS, ingest_all
 from .retail import StreamedState, append_quarantine
 
@@ -25,8 +25,13 @@ _STAMPS = [T.StructField("ingestion_timestamp", T.TimestampType()), T.StructFiel
            T.StructField("ingestion_date", T.DateType())]
 
 
+def _bronze_shape(table: str) -> T.StructType:
+    return T.StructType(FEEDS[table][1].fields + _STAMPS)
+
+
 def _bronze_stream(spark: SparkSession, store: str, table: str) -> DataFrame:
-    schema = T.StructType(FEEDS[table][1].fields + _STAMPS)
+    schema = _bronze_shape(table)
+    ensure_table(spark, f"{store}/bronze/{table}", schema)  # a feed may have no file yet
     stream = file_stream(spark, f"{store}/bronze/{table}", schema, "parquet")
     return stream.withWatermark("ingestion_timestamp", "1 day") if table == "bronze_sales_transactions" else stream
 
@@ -39,14 +44,15 @@ def _rewrite(df: DataFrame, path: str) -> DataFrame:
 def run(spark: SparkSession, landing: str, store: str) -> DataFrame:
     """Process what is new under ``landing``; returns the metric rows it logged.
 
-    Rows of one micro-batch carry one ingestion time; among them the larger
-    value of a column wins.
+    Rows of one micro-batch carry one ingestion time; among them a hash of the
+    row decides which goes first. A feed may have no file yet.
     """
     ingest_all(spark, landing, f"{store}/bronze", f"{store}/checkpoints/bronze")
     silver = {}
     for bronze, (name, key, stage) in SILVER.items():
-        state = StreamedState(spark, f"{store}/state/{name}", [key], ["ingestion_timestamp"])
-        state.absorb(stage(_bronze_stream(spark, store, bronze)), f"{store}/checkpoints/{name}")
+        changes = stage(_bronze_stream(spark, store, bronze))
+        state = StreamedState(spark, f"{store}/state/{name}", [key], ["ingestion_timestamp"], changes.schema)
+        state.absorb(changes, f"{store}/checkpoints/{name}")
         silver[name] = _rewrite(state.current(), f"{store}/silver/{name}")
     staged = r.stage_sales(_bronze_stream(spark, store, "bronze_sales_transactions"))
     quarantine = f"{store}/silver/silver_sales_quarantine"
@@ -57,8 +63,9 @@ def run(spark: SparkSession, landing: str, store: str) -> DataFrame:
         "gold_monthly_revenue_by_region": r.monthly_revenue(sales, stores),
         "gold_product_performance": r.product_performance(sales, products),
     }.items()}
-    bronze = {name: spark.read.parquet(f"{store}/bronze/{name}") for name in SILVER}
+    bronze = {name: spark.read.schema(_bronze_shape(name)).parquet(f"{store}/bronze/{name}") for name in SILVER}
     rejected = T.StructType(staged.schema.fields + [T.StructField("rejection_reason", T.StringType())])
+    ensure_table(spark, quarantine, rejected)
     metrics = r.layer_counts(bronze, silver, gold).unionByName(
         r.rejection_counts(spark.read.schema(rejected).parquet(quarantine)))
     append_rows(r.stamp_run(metrics), f"{store}/pipeline_data_quality_log")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.scd1 import current_rows, fold_changes, merge_changes
@@ -19,44 +21,58 @@ def drop_replayed(bronze: DataFrame, keys: Sequence[str], time: str = "ingestion
 
 
 class StreamedState:
-    """Type-1 state of a keyed stream, kept as one folded delta per micro-batch.
-
-    A batch is reduced to one row per key and written to ``batch=N``; nothing
-    already stored is read or rewritten. Reading merges the deltas. As the merge
-    ignores order and repetition, a replayed batch (same folder, overwritten)
-    or late files leave the same result. ``compact`` folds the deltas seen so
-    far into one, to be run between streams.
+    """Type-1 state of keyed streams, kept as one folded delta per micro-batch.
+
+    A batch is reduced to one row per key and written to ``feed=ID/batch=N``, where
+    ID is the stream's id in its checkpoint; nothing already stored is read or
+    rewritten, and a second feed or a new checkpoint has its own folder. Reading
+    merges the deltas. As the merge ignores order and repetition, a replayed batch
+    (same folder, overwritten) or late files leave the same result. ``compact``
+    folds the deltas seen so far into one, to be run between streams. With ``shape``,
+    the schema of the changes, a state without deltas reads as an empty table.
     """
 
-    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], sequence_by: Sequence[str]):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], sequence_by: Sequence[str],
+                 shape: T.StructType | None = None):
+        self.spark, self.root, self.shape = spark, root.rstrip("/"), shape
         self.keys, self.sequence_by = list(keys), list(sequence_by)
 
     def absorb(self, changes: DataFrame, checkpoint: str) -> StreamingQuery:
         """Run the stream of changes into the state."""
+        known = []
+
         def store(batch: DataFrame, number: int) -> None:
+            if not known:  # the checkpoint holds the id before the first batch
+                known.append(self.spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"])
             fold_changes(batch, self.keys, self.sequence_by).write.mode("overwrite").parquet(
-                f"{self._generation()}/batch={number}")
+                f"{self._generation()}/feed={known[0]}/batch={number}")
         return write_stream(changes, checkpoint, each_batch=store)
 
     def current(self) -> DataFrame:
-        deltas = self.spark.read.parquet(self._generation()).drop("batch")
-        return current_rows(merge_changes(deltas, self.keys), self.keys)
+        return current_rows(self._merged(), self.keys)
 
     def compact(self) -> None:
         """Write the merged state as the first delta of the next generation, then switch to it."""
-        here, number = self._generation(), self._number() + 1
-        merged = merge_changes(self.spark.read.parquet(here).drop("batch"), self.keys)
-        merged.write.mode("overwrite").parquet(f"{self.root}/generation={number}/batch=-1")
+        number = self._number() + 1
+        self._merged().write.mode("overwrite").parquet(f"{self.root}/generation={number}/feed=folded/batch=0")
         self.spark.createDataFrame([(number,)], "number int").coalesce(1).write.mode("append").parquet(
             f"{self.root}/switches")
 
+    def _merged(self) -> DataFrame:
+        try:
+            deltas = self.spark.read.parquet(self._generation()).drop("feed", "batch")
+        except AnalysisException as missing:  # no change yet
+            if missing.getCondition() != "PATH_NOT_FOUND" or self.shape is None:
+                raise
+            deltas = fold_changes(self.spark.createDataFrame([], self.shape), self.keys, self.sequence_by)
+        return merge_changes(deltas, self.keys)
+
     def _number(self) -> int:
         switches = f"{self.root}/switches"
         try:
             return self.spark.read.schema("number int").parquet(switches).agg({"number": "max"}).first()[0]
-        except Exception as missing:  # never compacted
-            if "PATH_NOT_FOUND" not in str(missing):
+        except AnalysisException as missing:  # never compacted
+            if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
             return 0
 
