@@ -226,10 +226,11 @@ FROM clean WHERE customer_id IS NULL OR product_id IS NULL
 UNION ALL SELECT 'fact_no_null_fks_loaded', count(*), 'count>0', count(*) = 0
 FROM fact WHERE customer_id IS NULL OR product_id IS NULL""",
     "dq_fact_match": f"""WITH {_CLEAN.replace("l_linestatus AS status, l_shipdate", "l_linestatus AS status, l_shipdate, l_linenumber")},
-facts AS (SELECT CAST(ts_utc AS DATE) AS process_date, count(*) AS n FROM valid GROUP BY 1),
-files AS (SELECT CAST(l_shipdate AS DATE) + CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END AS process_date,
-  count(DISTINCT order_id || '-' || l_linenumber) AS n, count(DISTINCT CASE WHEN l_linenumber <> 7 AND ts_utc IS NOT NULL THEN
-  order_id || '-' || l_linenumber END) AS same FROM valid GROUP BY 1),
+filed AS (SELECT CAST(l_shipdate AS DATE) + CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END AS process_date, order_id, l_linenumber,
+  max(ts_utc) AS ts FROM valid GROUP BY ALL),
+facts AS (SELECT CAST(ts AS DATE) AS process_date, count(*) AS n
+  FROM (SELECT max(ts) AS ts FROM filed GROUP BY order_id, l_linenumber) GROUP BY 1),
+files AS (SELECT process_date, count(*) AS n, count_if(CAST(ts AS DATE) = process_date) AS same FROM filed GROUP BY 1),
 days AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS process_date FROM lineitem)
 SELECT process_date, coalesce(facts.n, 0) AS fact, coalesce(files.n, 0) AS stg_valid,
   coalesce(files.same, 0) AS stg_valid_same_day, coalesce(facts.n, 0) = coalesce(files.n, 0) AS passed
