@@ -60,6 +60,13 @@ def test_json_keeps_numbers_as_written(spark, tmp_path):
     assert [(r.quantity, r.total_amount) for r in got] == [("2", "39.98"), ("abc", None)]
 
 
+def test_json_lines_keep_every_digit_beside_other_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"order_id": "O1", "total_amount": 12345678901234567.890}\n')
+    (tmp_path / "b.json").write_text('[{"order_id": "O2", "total_amount": 1.5}]')
+    got = sources.json_records(spark, str(tmp_path), schemas.ORDER_FILE).collect()
+    assert sorted((r.order_id, r.total_amount) for r in got) == [("O1", "12345678901234567.890"), ("O2", "1.5")]
+
+
 def test_csv_inferred_declared_and_text(spark, tmp_path):
     path = tmp_path / "c.csv"
     path.write_text("product_id,product_name,category,unit_price\n007,Pen,Office,2.50\n008,,Office,\n")

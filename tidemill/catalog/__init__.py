@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import settle
-from . import bi, lake, retail, sales, streams, trips, warehouse
+from . import bi, files, lake, retail, sales, streams, trips, warehouse
 
-_MODULES = (retail, warehouse, sales, trips, bi, lake, streams)
+_MODULES = (retail, warehouse, sales, trips, bi, lake, files, streams)
 
 
 def _settled(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -51,7 +51,7 @@ def json_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 
     The shape is decided for each file. A file whose lines with content are all whole
     objects is read by line, split among tasks; any other file must hold
-    one object or one array of objects and is read by one task. Everything else
+    one object or one array of objects and is read by one task, fractions as doubles. Everything else
     raises, so no record is lost. Names of files of the second kind go
     to the driver, as any listing of files does.
     """
@@ -60,17 +60,18 @@ def json_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     lines = spark.read.text(path).where(F.col("value").rlike(r"\S"))
     by_line = lines.groupBy(file.alias("file")).agg(F.bool_and(F.coalesce(_only(F.col("value")).startswith("{"), F.lit(False))).alias("by_line"))
     whole = [r["file"] for r in by_line.where("NOT by_line").collect()]
-    if whole:
-        lines = lines.where(~file.isin(whole))
-    records = lines.select(F.col("value").alias("record"))
-    if whole:
-        held = spark.read.text(path, wholetext=True).where(file.isin(whole)).select(file.alias("file"), _only(F.col("value")).alias("value"))
-        listed = F.when(F.col("value").startswith("{"), F.array("value")).when(
-            F.col("value").startswith("["), F.from_json("value", "array<string>"))
-        listed = F.when(F.forall(listed, lambda e: F.coalesce(e.startswith("{"), F.lit(False))), listed)
-        bad = F.raise_error(F.concat(F.lit("neither one object, one array of objects, nor an object per line: "), F.col("file")))
-        records = records.union(held.select(F.explode(F.coalesce(listed, bad.cast("array<string>"))).alias("record")))
-    return records.select(F.from_json("record", text, strict).alias("r")).select("r.*")
+    # The reader keeps numbers as written; the filter on file names drops whole files from its listing.
+    records = spark.read.schema(text).options(**strict).json(path)
+    if not whole:
+        return records
+    value, one = F.col("value"), _only(F.col("value"))
+    held = spark.read.text(path, wholetext=True).where(file.isin(whole)).select(file.alias("file"), "value", one.alias("one"))
+    objects = F.forall(F.from_json("one", "array<string>"), lambda e: F.coalesce(e.startswith("{"), F.lit(False)))
+    listed = F.when(F.col("one").startswith("{"), F.array(F.from_json(value, text, strict))).when(
+        F.col("one").startswith("[") & objects, F.from_json(value, T.ArrayType(text), strict))
+    bad = F.raise_error(F.concat(F.lit("neither one object, one array of objects, nor an object per line: "), F.col("file")))
+    found = held.select(F.explode(F.coalesce(listed, bad.cast(T.ArrayType(text)))).alias("r")).select("r.*")
+    return records.where(~file.isin(whole)).union(found)
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv",
