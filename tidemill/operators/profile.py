@@ -6,74 +6,79 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PERCENTS = (0.25, 0.5, 0.75)
-_ACCURACY = 100_000
+#: Parts into which a round cuts each range that holds a wanted rank.
+PARTS = 1024
+_LARGEST, _SMALLEST = 1.7e308, 5e-324
+
+
+def _part(v: Column, low: float, high: float) -> Column:
+    """The part of low..high that holds ``v``, rising with ``v``; the ends are in different parts."""
+    a, b = max(low, -_LARGEST) / 2, min(high, _LARGEST) / 2
+    place = (v / 2 - a) / max(b - a, _SMALLEST) * PARTS
+    inner = F.floor(F.least(F.greatest(place, F.lit(0.0)), F.lit(PARTS - 1.0))).cast("int")
+    return F.when(v >= high, PARTS - 1).when(v <= low, 0).otherwise(inner)
+
+
+def _ranked(df: DataFrame, values: dict[str, Column], wanted: dict[tuple[str, int], tuple[float, float]]) -> dict[tuple[str, int], float]:
+    """The value at each (column, rank), ranks from 1, within the (least, largest) value of its column.
+
+    Every round counts the rows in PARTS equal parts of each range in question, and goes on with the part that holds the
+    rank, from its least to its largest value, until these are one. A task and the driver see a count per part and
+    range at most, whatever the size of the data; the filter on the ranges reaches the files.
+    """
+    found, below = {}, dict.fromkeys(wanted, 0)
+    while wanted:
+        found |= {t: low for t, (low, high) in wanted.items() if low == high}
+        wanted = {t: r for t, r in wanted.items() if t not in found}
+        if not wanted:
+            break
+        ranges = sorted({(c, *r) for (c, _), r in wanted.items()})
+        inside = [values[c].between(low, high) for c, low, high in ranges]
+        hits = F.explode(F.array_compact(F.array(*[
+            F.when(hit, F.struct(F.lit(i).alias("range"), _part(values[c], low, high).alias("part"), values[c].alias("value")))
+            for i, (hit, (c, low, high)) in enumerate(zip(inside, ranges))]))).alias("h")
+        counts = (df.where(reduce(lambda a, b: a | b, inside)).select(hits).groupBy("h.range", "h.part")
+                  .agg(F.count(F.lit(1)).alias("n"), F.min("h.value").alias("low"), F.max("h.value").alias("high")))
+        parts: list[list] = [[] for _ in ranges]
+        for row in sorted(counts.collect()):  # PARTS rows per range at most.
+            parts[row["range"]].append(row)
+        for (c, rank), range_ in wanted.items():
+            for row in parts[ranges.index((c, *range_))]:
+                if below[c, rank] + row["n"] >= rank:
+                    wanted[c, rank] = (row["low"], row["high"])
+                    break
+                below[c, rank] += row["n"]
+    return found
 
 
 def describe_exact(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, std, min, quartiles and max per column, one row each.
 
-    Quartiles are exact and interpolated, yet no task holds a column. A sketch
-    brackets each quartile between two values a few ranks in a hundred thousand
-    apart; one aggregate counts the rows below each bracket; a last scan, whose
-    filter reaches the files, adds up the distinct values inside the brackets,
-    and only those are put in order. The driver sees one row per aggregate. A
-    bracket that misses its rank raises instead of giving a near value.
+    Quartiles are exact and interpolated, yet no task holds a column and no sketch grows with the number of tasks.
+    Nulls and NaN are not counted; a column without values has only nulls beside its count.
     """
-    v = {c: F.col(c).cast("double") for c in columns}
+    v = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
     moments = df.agg(*[
         F.struct(F.count(v[c]).alias("count"), F.avg(v[c]).alias("mean"), F.stddev_samp(v[c]).alias("std"),
                  F.min(v[c]).alias("min"), F.max(v[c]).alias("max")).alias(c)
         for c in columns
     ]).first()
-    spark = df.sparkSession
-    rows = spark.createDataFrame(
-        [(c, *moments[c]) for c in columns],
-        "column string, count bigint, mean double, std double, min double, max double")
-    names = [f"p{int(p * 100)}" for p in PERCENTS]
-    final = ["column", "count", "mean", "std", "min", *names, "max"]
-    filled = [c for c in columns if moments[c]["count"]]
-    if not filled:
-        return rows.select([F.lit(None).cast("double").alias(x) if x in names else x for x in final])
-
-    targets = [(c, p) for c in filled for p in PERCENTS]
-    label = {t: f"t{i}" for i, t in enumerate(targets)}
-    slack = {c: 4 / _ACCURACY + 2 / moments[c]["count"] for c in filled}
-    sketched = df.agg(*[
-        F.percentile_approx(v[c], [q for p in PERCENTS for q in (max(0.0, p - slack[c]), min(1.0, p + slack[c]))],
-                            _ACCURACY).alias(c)
-        for c in filled
-    ]).first()
-    bounds = {label[c, p]: sketched[c][2 * i:2 * i + 2] for c in filled for i, p in enumerate(PERCENTS)}
-    below = df.agg(*[F.count_if(v[c] < bounds[label[c, p]][0]).alias(label[c, p]) for c, p in targets]).first()
+    places = {(c, p): (moments[c]["count"] - 1) * p + 1 for c in columns if moments[c]["count"] for p in PERCENTS}
+    wanted = {(c, rank): (moments[c]["min"], moments[c]["max"]) for (c, _), h in places.items() for rank in (math.floor(h), math.ceil(h))}
+    at = _ranked(df, v, wanted)
 
-    inside = {(c, p): v[c].between(*bounds[label[c, p]]) for c, p in targets}
-    hits = F.explode(F.array_compact(F.array(*[
-        F.when(inside[t], F.struct(F.lit(label[t]).alias("target"), v[t[0]].alias("value"))) for t in targets
-    ]))).alias("h")
-    per_value = (df.where(reduce(lambda a, b: a | b, inside.values())).select(hits)
-                 .groupBy("h.target", "h.value").agg(F.count(F.lit(1)).alias("n")))
+    def quartile(c: str, p: float) -> float | None:
+        if (c, p) not in places:
+            return None
+        h = places[c, p]
+        a, b = at[c, math.floor(h)], at[c, math.ceil(h)]
+        return a if a == b else a + (b - a) * (h - math.floor(h))
 
-    wanted = []
-    for c, p in targets:
-        h = (moments[c]["count"] - 1) * p + 1
-        wanted.append((label[c, p], c, p, below[label[c, p]], math.floor(h), math.ceil(h), h - math.floor(h)))
-    ranks = spark.createDataFrame(
-        wanted, "target string, column string, p double, below bigint, lo bigint, hi bigint, w double")
-    upto = F.sum("n").over(Window.partitionBy("target").orderBy("value"))
-    ordered = (per_value.withColumn("upto", upto).join(ranks, "target")
-               .withColumn("upto", F.col("upto") + F.col("below"))
-               .withColumn("start", F.col("upto") - F.col("n") + 1))
-
-    def value_at(rank: str):
-        return F.max(F.when(F.col(rank).between(F.col("start"), F.col("upto")), F.col("value")))
-
-    picked = ordered.groupBy("column", "p", "w").agg(value_at("lo").alias("a"), value_at("hi").alias("b"))
-    quartile = F.when(F.col("a").isNull() | F.col("b").isNull(), F.raise_error(F.lit("quartile outside its bracket"))) \
-        .otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("w"))
-    wide = picked.withColumn("q", quartile).groupBy("column").agg(*[
-        F.max(F.when(F.col("p") == p, F.col("q"))).alias(name) for p, name in zip(PERCENTS, names)])
-    return rows.join(wide, "column", "left").select(*final)
+    names = [f"p{int(p * 100)}" for p in PERCENTS]
+    rows = [(c, *moments[c][:4], *[quartile(c, p) for p in PERCENTS], moments[c]["max"]) for c in columns]
+    shape = ", ".join(f"{x} double" for x in ("mean", "std", "min", *names, "max"))
+    return df.sparkSession.createDataFrame(rows, f"column string, count bigint, {shape}")
