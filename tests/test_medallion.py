@@ -27,8 +27,12 @@ def test_run_is_incremental_and_repeatable(spark, tmp_path, rows):
     assert metrics["bronze_sales_transactions", "record_count"] == metrics["silver_sales_transactions", "record_count"] == 3
     assert metrics["silver_sales_quarantine", "rejected_INVALID_QUANTITY"] == 1
 
+    def files():
+        return {f for layer in ("bronze", "silver", "gold", "state", "built") for f in (tmp_path / "store" / layer).rglob("*.parquet")}
+
+    before = files()
     medallion.run(spark, str(landing), store)
-    assert daily() == [("2025-01-05", "WEST", 2, 2, 20.0)]
+    assert files() == before and daily() == [("2025-01-05", "WEST", 2, 2, 20.0)]
     assert spark.read.parquet(f"{store}/bronze/bronze_sales_transactions").count() == 3
     assert spark.read.parquet(f"{store}/silver/silver_sales_quarantine").count() == 1
 
@@ -53,3 +57,27 @@ def test_feeds_without_files(spark, tmp_path):
     deliver(landing / "stores", "1.csv", schemas.STORE_FEED, "S1,main,LA,CA,usa,west\n")
     medallion.run(spark, str(landing), store)
     assert spark.read.parquet(f"{store}/gold/gold_daily_sales_summary").count() == 1
+
+
+def test_only_changed_tables_are_written(spark, tmp_path):
+    landing, store = tmp_path / "landing", str(tmp_path / "store")
+    deliver(landing / "sales", "1.csv", schemas.SALES_FEED, SALES)
+    deliver(landing / "products", "1.csv", schemas.PRODUCT_FEED, "P1,galaxy TAB,tablets,ACME,735,USD\n")
+    deliver(landing / "stores", "1.csv", schemas.STORE_FEED, "S1,main,LA,CA,usa,west\n")
+    medallion.run(spark, str(landing), store)
+
+    def files(table):
+        return set((tmp_path / "store" / table).rglob("part-*"))
+
+    tables = ("silver/silver_sales_transactions", "silver/silver_store_region", "gold/gold_daily_sales_summary", "gold/gold_product_performance")
+    before = [files(t) for t in tables]
+    deliver(landing / "stores", "2.csv", schemas.STORE_FEED, "S9,far,NY,NY,usa,east\n")
+    medallion.run(spark, str(landing), store)
+    assert [files(t) == b for t, b in zip(tables, before)] == [True, False, False, True]
+
+    # A write that broke off left nothing in the notes; the table comes back with the next run.
+    notes = spark.read.parquet(f"{store}/built").where("name <> 'gold/gold_product_performance'").collect()
+    spark.createDataFrame(notes).write.mode("overwrite").parquet(f"{store}/built")
+    spark.createDataFrame([(1,)], "broken int").limit(0).write.mode("overwrite").parquet(f"{store}/gold/gold_product_performance")
+    medallion.run(spark, str(landing), store)
+    assert spark.read.parquet(f"{store}/gold/gold_product_performance").count() == 1

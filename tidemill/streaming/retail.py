@@ -28,8 +28,9 @@ class StreamedState:
     rewritten, and a second feed or a new checkpoint has its own folder. Reading
     merges the deltas. As the merge ignores order and repetition, a replayed batch
     (same folder, overwritten) or late files leave the same result. ``compact``
-    folds the deltas seen so far into one, to be run between streams. With ``shape``,
-    the schema of the changes, a state without deltas reads as an empty table.
+    folds the deltas seen so far into one, to be run between streams; ``fold`` does so
+    if there are any new ones. With ``shape``, the schema of the changes, a state
+    without deltas reads as an empty table.
     """
 
     def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], sequence_by: Sequence[str],
@@ -58,6 +59,17 @@ class StreamedState:
         self.spark.createDataFrame([(number,)], "number int").coalesce(1).write.mode("append").parquet(
             f"{self.root}/switches")
 
+    def fold(self) -> int:
+        """Compact if deltas came since the last time; the generation, which names the content of the state."""
+        try:
+            fresh = self.spark.read.parquet(self._generation()).where("feed <> 'folded'")
+            if fresh.limit(1).count():
+                self.compact()
+        except AnalysisException as missing:  # no change yet
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+        return self._number()
+
     def _merged(self) -> DataFrame:
         try:
             deltas = self.spark.read.parquet(self._generation()).drop("feed", "batch")
