@@ -129,6 +129,41 @@ def test_passages(spark, documents):
     assert passages.shared_passages(documents([])).count() == 0
 
 
+def tokens_of(words):
+    return np.array([hash(tuple(words[i:i + passages.SHINGLE])) & (1 << 62) - 1 for i in range(len(words) - passages.SHINGLE + 1)], np.uint64)
+
+
+def near_places(a, b):
+    """Places of the windows of LEAST tokens that are near one of the other side, over all pairs of windows."""
+    width, inside = passages.LEAST, (np.zeros(len(a), bool), np.zeros(len(b), bool))
+    for i in range(len(a) - width + 1):
+        x = set(a[i:i + width].tolist())
+        for j in range(len(b) - width + 1):
+            y = set(b[j:j + width].tolist())
+            if len(x & y) >= passages.SHARE * len(x | y):
+                inside[0][i:i + width] = inside[1][j:j + width] = True
+    return inside
+
+
+def test_passages_with_errors():
+    words = prose(300, 300, 10 ** 6)
+    a, b = tokens_of(words), tokens_of([w if i % 30 else f"x{i}" for i, w in enumerate(words)])
+    for x, y in ((a, b), (tokens_of(words[:60]), tokens_of([*words[:20], "x", *words[21:60]]))):
+        found, want = passages.common_passages(x, y), near_places(x, y)
+        for side in (0, 2):
+            got = np.zeros(len(want[side // 2]), bool)
+            for f in found:
+                got[f[side]:f[side + 1]] = True
+            # Stray tokens at the ends may go.
+            assert want[side // 2].any() and int((want[side // 2] != got).sum()) <= 2 * passages.SHINGLE
+
+
+def test_passage_twice_in_a_document():
+    passage = prose(310, 60, 10 ** 6)
+    a, b = tokens_of(passage), tokens_of([*passage, *prose(311, 80, 10 ** 6), *passage])
+    assert passages.common_passages(a, b) == [(0, 56, 0, 56), (0, 56, 140, 196)] and len(passages.common_passages(b, a)) == 2
+
+
 def test_compact_windows():
     rng = np.random.default_rng(5)
     value, row = rng.integers(0, 1 << 63, 400).astype(np.uint64), np.repeat([0, 1, 2], [150, 30, 220])
