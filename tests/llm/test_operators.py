@@ -129,6 +129,25 @@ def test_passages(spark, documents):
     assert passages.shared_passages(documents([])).count() == 0
 
 
+def test_passage_chains(spark, documents):
+    rows = []
+    for chain in range(12):
+        a = prose(400 + chain, 60, 10 ** 6)
+        b = [*a[:20], f"x{chain}", *a[21:]]
+        rows += [(10 * chain + i, " ".join(t)) for i, t in enumerate([a, b, [*b[:40], f"y{chain}", *b[41:]]])]
+    # The same text under two ids is two documents, whose passage is found without any third.
+    rows += [(900, " ".join(prose(500, 70))), (901, " ".join(prose(500, 70)))]
+    # A template that all hold and that alone is no passage.
+    line = " ".join(prose(600, 20, 10 ** 6))
+    rows += [(1000 + i, " ".join([*prose(601 + i, 60, 10 ** 6), line, *prose(701 + i, 60, 10 ** 6)])) for i in range(10)]
+    sets = sets_of(rows, passages.SHINGLE)
+    want = {rows[i][0] for i, a in enumerate(sets) if any(i != j and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets))}
+    got = {r.doc_id: r.class_id for r in passages.shared_passages(documents(rows)).collect()}
+    assert len(want) == 38 and set(got) <= want and {900, 901} <= set(got)
+    linked = [c for c in range(12) if {got.get(10 * c + i) for i in range(3)} == {10 * c}]
+    assert len(linked) >= 10
+
+
 def tokens_of(words):
     return np.array([hash(tuple(words[i:i + passages.SHINGLE])) & (1 << 62) - 1 for i in range(len(words) - passages.SHINGLE + 1)], np.uint64)
 
