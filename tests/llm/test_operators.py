@@ -183,6 +183,17 @@ def test_passage_twice_in_a_document():
     assert passages.common_passages(a, b) == [(0, 56, 0, 56), (0, 56, 140, 196)] and len(passages.common_passages(b, a)) == 2
 
 
+def test_passage_at_several_places(spark, documents):
+    passage = prose(320, 60, 10 ** 6)
+    twice = [*passage, *prose(321, 80, 10 ** 6), *passage]
+    # Either document can be the first of a signature.
+    rows = [(i, " ".join(t)) for i, t in enumerate([passage, twice, [*prose(322, 20, 10 ** 6), *twice]])]
+    got = {r.doc_id: r for r in passages.shared_passages(documents(rows[:2])).collect()}
+    assert (got[0].spans, got[1].spans, got[1].n_words) == ("0:60", "0:60,140:200", 120)
+    got = {r.doc_id: r for r in passages.shared_passages(documents([rows[0], rows[2]])).collect()}
+    assert (got[0].spans, got[2].spans, got[2].n_words) == ("0:60", "20:80,160:220", 120)
+
+
 def test_compact_windows():
     rng = np.random.default_rng(5)
     value, row = rng.integers(0, 1 << 63, 400).astype(np.uint64), np.repeat([0, 1, 2], [150, 30, 220])
