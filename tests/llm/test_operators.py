@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,6 +195,24 @@ def test_passage_at_several_places(spark, documents):
     assert (got[0].spans, got[2].spans, got[2].n_words) == ("0:60", "20:80,160:220", 120)
 
 
+def test_passage_recall():
+    found, near, n = 0, 0, 400
+    for k in range(n):
+        passage = prose(5000 + k, 50, 10 ** 6)
+        sides = [prose(6000 + k, 40, 10 ** 6) + passage + prose(7000 + k, 40, 10 ** 6),
+                 prose(8000 + k, 40, 10 ** 6) + passage[:10] + [f"x{k}"] + passage[11:] + prose(9000 + k, 40, 10 ** 6)]
+        batch = pa.record_batch([pa.array([" ".join(s) for s in sides])], ["text"])
+        met = []
+        for which, (row, value, l, c, d, r) in enumerate(passages._windows(batch)):
+            first = {v: i for i, v in enumerate(value.tolist()) if not row[i]}
+            met += [(which, l[first[v]], r[first[v]], l[i], r[i]) for i, v in enumerate(value.tolist()) if row[i] and v in first]
+        a, b = (tokens_of(s) for s in sides)
+        near += len(set(tokens_of(sides[0][40:90]).tolist()) & set(tokens_of(sides[1][40:90]).tolist())) >= 41
+        regions = zip(*passages._regions(np.zeros(len(met), np.int64), *(np.array(x, np.int64) for x in zip(*met)))) if met else ()
+        found += any(passages.common_passages(a[f:t], b[g:u]) for _, f, t, g, u in regions)
+    assert near == n and found >= 0.995 * n
+
+
 def test_compact_windows():
     rng = np.random.default_rng(5)
     value, row = rng.integers(0, 1 << 63, 400).astype(np.uint64), np.repeat([0, 1, 2], [150, 30, 220])
