@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -247,6 +248,23 @@ def test_decontamination(spark, documents):
     assert decontam.contaminations(documents([]), bench, ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("n", range(8, 14))
+def test_every_replacement_hits_a_seed(n):
+    for replaced in combinations(range(n), n - math.ceil(0.75 * n)):
+        assert any(all(mask[j] == "0" or s + j not in replaced for j in range(len(mask)))
+                   for mask in decontam.MASKS for s in range(n - len(mask) + 1)), replaced
+
+
+def test_decontamination_of_short_and_edited_items(spark, documents):
+    items = {1: prose(210, 13), 2: prose(211, 12), 3: ["alpha", "beta", "gamma"], 4: prose(213, 8)}
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    edits = [(1, (0, 5, 7)), (1, (2, 6, 8)), (2, (1, 4, 8)), (4, (3, 5)), (3, ())]
+    rows = [(100 + k, " ".join([*prose(220 + k, 30), *[f"x{j}" if j in out else w for j, w in enumerate(items[i])], *prose(230 + k, 30)])) for k, (i, out) in enumerate(edits)]
+    rows += [(200, "alpha beta and gamma"), *ODD]
+    found = decontam.contaminations(documents(rows), bench, ["doc_id"]).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(100 + k, i) for k, (i, _) in enumerate(edits)}
+
+
 def test_quality_counts(spark, documents):
     rows = corpus() + [(800, "a b c a b c a b c\n\nline one\nline one\n x\n#1 <b>")]
     got = quality.assess(documents(rows))

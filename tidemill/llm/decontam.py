@@ -13,24 +13,24 @@ from ..session import stored
 from .bits import bits_of, is_set
 from .tokens import ALNUM, Words, chunks, mix, randoms
 
-#: Fixed masks: 1 takes a word into the hash, 0 ignores it. Each passes a different spacing of replaced words.
-MASKS = ("111111", "1110111", "11011011", "11110011")
-#: Shorter items are not searched for: so few words occur by chance.
+#: Fixed masks: 1 takes a word into the hash, 0 ignores it. However a quarter of 8 to 13 words is replaced, one of them passes.
+MASKS = ("11111", "101111", "111011", "10100111", "11001011", "11010101", "11110001")
+#: Shorter items are searched for as they are, by a hash of all their words.
 LEAST_WORDS = 8
 #: Bits of the filter that goes to every task, whatever the size of the benchmark.
 FILTER_BITS = 1 << 23
 
 
-def _seeds(words: Words) -> tuple[np.ndarray, np.ndarray]:
+def _seeds(words: Words, masks: tuple[str, ...] = MASKS) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first word of every seed inside one row."""
     found = []
-    for m, mask in enumerate(MASKS):
+    for mask in masks:
         starts = len(words.hash) - len(mask) + 1
         if starts <= 0:
             continue
         taken = [j for j, bit in enumerate(mask) if bit == "1"]
         value = np.zeros(starts, np.uint64)
-        for j, key in zip(taken, randoms(len(taken), 10 + m)):
+        for j, key in zip(taken, randoms(len(taken), 10 + int(mask, 2))):
             value += words.hash[j:starts + j] * key
         inside = np.flatnonzero(words.row[:starts] == words.row[len(mask) - 1:])
         found.append((mix(value[inside]), inside))
@@ -40,13 +40,13 @@ def _seeds(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
-    """(item, number, word hashes, seed hashes, their offsets) of the items long enough."""
+    """(item, number, word hashes, seed hashes, their offsets) of the items that have words."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             for i in range(batch.num_rows):
                 words = Words(batch["text"].slice(i, 1), ALNUM, lower=True)
-                if len(words.hash) >= LEAST_WORDS:
-                    value, offset = _seeds(words)
+                if len(words.hash):
+                    value, offset = _seeds(words, MASKS if len(words.hash) >= LEAST_WORDS else ("1" * len(words.hash),))
                     yield pa.RecordBatch.from_arrays([batch["item"].slice(i, 1), pa.array([words.hash.tobytes()], pa.binary()),
                         pa.array([value.view(np.int64)], pa.list_(pa.int64())), pa.array([offset], pa.list_(pa.int64()))], ["item", "item_words", "seed", "offset"])
 
@@ -78,8 +78,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, keys: list[str], text:
 
     Words are runs of letters and digits, A-Z lowered. Seeds of both sides are joined on their hash; each hit gives a
     shift between document and item, and the words around it are compared: at least ``share`` of some ``window``
-    words in a row (of the whole item if shorter) must agree. Null and empty texts, and items under LEAST_WORDS
-    words, match nothing. Repeated documents are reported for each row, repeated items for each item; of several
+    words in a row (of the whole item if shorter) must agree. At the given window and share every such place is hit by a
+    seed. Items under LEAST_WORDS words match where all their words agree. Null and empty texts match nothing. Repeated documents are reported for each row, repeated items for each item; of several
     places the one with most matches is given, the first of equals. Empty tables give an empty result.
 
     A filter of fixed size keeps most documents without any hit out of the shuffle; the join decides.
@@ -87,6 +87,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, keys: list[str], text:
     items = stored(_items(benchmark, item, item_text), "items")
     seeds = items.select("number", F.explode(F.arrays_zip("seed", "offset")).alias("s")).select("number", "s.seed", "s.offset")
     # Two filters over different bits of the hash: a lone seed seldom passes both.
+    lengths = items.select((F.length("item_words") / 8).cast("int").alias("n")).where(F.col("n") < LEAST_WORDS).distinct().collect()  # LEAST_WORDS at most.
+    masks = tuple(dict.fromkeys([*MASKS, *["1" * r.n for r in sorted(lengths)]]))
     low = bits_of(seeds, "seed", FILTER_BITS)
     high = bits_of(seeds.withColumn("high", F.shiftrightunsigned("seed", 32)), "high", FILTER_BITS)
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
@@ -94,7 +96,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, keys: list[str], text:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "__tidemill_text"):
             words = Words(batch["__tidemill_text"], ALNUM, lower=True)
-            value, at = _seeds(words)
+            value, at = _seeds(words, masks)
             hit = is_set(low, value) & is_set(high, value >> np.uint64(32))
             value, at = value[hit], at[hit]
             order = np.argsort(at, kind="stable")
