@@ -296,6 +296,16 @@ def test_secret_spans():
     assert secrets.allowed("123e4567-e89b-12d3-a456-426614174000") and secrets.allowed("exampleKEY12345678901") and not secrets.allowed(token)
 
 
+def test_allow_list_takes_parts_only():
+    key, letters = "Zk8Qw3Xp9Lm2Vt7Rb4Ny6Hc1", "QzKxWvBnTrYpLmHgDfScJkRa"
+    for text in (f"data/sample/{key}", f"example_key={key}", f"{key}/dummy", f"your_{key}", f"0123456789-{key}", letters, f"sample/{letters}"):
+        secret = letters if letters in text else key
+        assert any(a <= text.index(secret) + 2 and text.index(secret) + len(secret) - 2 <= b for a, b in secrets.entropy_spans(text)), text
+    for text in ("exampleKEY12345678901", "data/sample/pathOfSomeQuickBrownFoxes", "theQuickBrownFoxJumpsOverLazyDogs", "XMLHttpRequestParserFactory",
+                 "example_abcdefghijKLMNOP0123456789", "123e4567-e89b-12d3-a456-426614174000"):
+        assert secrets.entropy_spans(text) == [], text
+
+
 def test_entropy_windows():
     text = "aaaaaaaaaa" + "".join(chr(97 + (i * 7) % 16) for i in range(24)) + "bbbbbbbbbbbbbbbbbbbbbbbb"
     want = []

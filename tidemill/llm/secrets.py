@@ -28,13 +28,15 @@ CLASSES = (
     ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 20, 3.9),
 )
 _CANDIDATE = re.compile("[A-Za-z0-9+/_=-]{20,}")
+_PART = re.compile("[^+/_=-]+")
+_WORD = "(?:[A-Z]*[a-z]+(?:[A-Z]+[a-z]{2,}|A[nst]|B[ey]|I[dfnst]|O[fnr]|To|Up)*[A-Z]*|[A-Z]+)"  # In the case of words: mixed only as in camelCase.
 # Allow-list: strings that look random but are not secrets.
 ALLOWED = (
     re.compile("(?i)example|sample|placeholder|changeme|redacted|dummy|your[_-]"),
     re.compile("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
     re.compile("(?i)(?:0123456789|abcdefghij|zyxwvutsrq|9876543210)"),
     re.compile("[0-9]+([-/_][0-9]+)*"),
-    re.compile("[A-Za-z]+([-/_=+][A-Za-z]+)*"),
+    re.compile(f"{_WORD}([-/_=+]{_WORD})*"),
 )
 _WHOLE = (False, True, False, True, True)
 
@@ -75,23 +77,36 @@ def high_entropy(text: str, window: int, least: float) -> list[tuple[int, int]]:
     return spans
 
 
+def _left(candidate: str) -> list[tuple[int, int]]:
+    """What the allow-list leaves of a candidate: some patterns suppress all of it, others the parts that hold them."""
+    whole = [p for p, w in zip(ALLOWED, _WHOLE) if w]
+    if any(p.fullmatch(candidate) for p in whole):
+        return []
+    hits = [m.span() for p, w in zip(ALLOWED, _WHOLE) if not w for m in p.finditer(candidate)]
+    if not hits:
+        return [(0, len(candidate))]
+    cut = [m.span() for m in _PART.finditer(candidate) if any(x < m.end() and m.start() < y for x, y in hits)]
+    edges = zip([0, *[y for _, y in cut]], [*[x for x, _ in cut], len(candidate)])
+    least = min(window for _, _, window, _ in CLASSES)
+    return [(x, y) for x, y in edges if y - x >= least and not any(p.fullmatch(candidate[x:y].strip("+/_=-")) for p in whole)]
+
+
 def allowed(candidate: str) -> bool:
-    """Whether the allow-list suppresses a candidate: some patterns anywhere in it, others only as a whole."""
-    return any((p.fullmatch if whole else p.search)(candidate) for p, whole in zip(ALLOWED, _WHOLE))
+    """Whether the allow-list suppresses all of a candidate."""
+    return not _left(candidate)
 
 
 def entropy_spans(text: str) -> list[tuple[int, int]]:
     """Ranges of high entropy inside the candidate strings of a text."""
     found = []
     for match in _CANDIDATE.finditer(text):
-        candidate = match[0]
-        if allowed(candidate):
-            continue
-        letters = set(candidate)
-        for _, alphabet, window, least in CLASSES:
-            if letters <= alphabet:
-                found += [(match.start() + a, match.start() + b) for a, b in high_entropy(candidate, window, least)]
-                break
+        for start, end in _left(match[0]):
+            piece = match[0][start:end]
+            letters = set(piece)
+            for _, alphabet, window, least in CLASSES:
+                if letters <= alphabet:
+                    found += [(match.start() + start + a, match.start() + start + b) for a, b in high_entropy(piece, window, least)]
+                    break
     return found
 
 
