@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import settle, stored
-from . import decontam, mixing, ngram_join, passages, quality, secrets, sharding, suffix, urls, warc
+from . import decontam, divergence, minmax, mixing, ngram_join, passages, quality, secrets, sharding, suffix, urls, warc, whitening
 from .sql import ORACLE
 
 
@@ -103,8 +103,24 @@ def op10_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.cut_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_min_max_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and group of near copies of every document, and the one kept of each group."""
+    return minmax.near_groups(_table(spark, sf_dir, "documents"), n=5, percent=85)
+
+
+def op12_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding along the first four whitened components."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of each source from the others of its language, and its overused terms."""
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 _ALL = (op1_distribution_divergence, op2_spaced_seeds, op3_compact_windows, op4_window_entropy, op5_temporal_lists, op6_feistel_shards,
-        op7_entropy_balancing, op8_warc_ranges, op9_vertical_jaccard, op10_suffix_sort)
+        op7_entropy_balancing, op8_warc_ranges, op9_vertical_jaccard, op10_suffix_sort,
+        op11_min_max_hashing, op12_cholesky_whitening, op13_source_divergence)
 
 
 def _settled(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -132,4 +132,57 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NULL OR first
 FROM sized LEFT JOIN firsts USING (payload_digest)
 """
 
-ORACLE = {"op1_distribution_divergence": _op1(), "op5_temporal_lists": _OP5, "op6_feistel_shards": _op6(), "op8_warc_ranges": _OP8}
+def _near(n: int, percent: int, extra: str = "") -> str:
+    """Components of documents by the Jaccard similarity of their shingles of ``n`` words; for small tables."""
+    return f"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWERED}'), '{_WORD}') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i+{n - 1}], ' ')) END) AS g FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM sets x JOIN sets y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM met JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * shared >= {percent} * (p.n + q.n - shared)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+named AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id{extra} FROM named LEFT JOIN sizes USING (doc_id)
+"""
+
+
+_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _op13(least: int = 30, smoothing: int = 5, ranks: int = 50) -> str:
+    def share(count: str, total: str) -> str:
+        return f"1 + 1000000000::HUGEINT * ({count} + {smoothing}) // ({total} + {smoothing} * v)"
+
+    return f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWERED}'), '{_TERM}') AS w FROM documents),
+counts AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT d) AS docs FROM (SELECT d, lang, source, unnest(w) AS term FROM docs) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS everywhere FROM counts GROUP BY ALL HAVING sum(docs) >= {least}),
+langs AS (SELECT lang, count(*) AS v, sum(everywhere) AS lang_total FROM kept GROUP BY lang),
+groups AS (
+  SELECT lang, source, coalesce(total, 0) AS total, v, lang_total FROM (SELECT DISTINCT lang, source FROM docs)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM counts JOIN kept USING (lang, term) GROUP BY ALL) USING (lang, source) LEFT JOIN langs USING (lang)),
+shares AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, {share("coalesce(n, 0)", "total")} AS p, {share("everywhere", "lang_total")} AS q
+  FROM groups JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+pairs AS (
+  SELECT x.lang, x.source, y.source AS item, coalesce(value, 0) AS value FROM groups x JOIN groups y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN (
+    SELECT x.lang, x.source AS a, y.source AS b, sum(abs(x.p - y.p)) AS value
+    FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) far
+  ON far.lang = x.lang AND far.a = x.source AND far.b = y.source),
+entries AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM entries)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= {ranks}
+"""
+
+
+ORACLE = {"op1_distribution_divergence": _op1(), "op5_temporal_lists": _OP5, "op6_feistel_shards": _op6(), "op8_warc_ranges": _OP8,
+          "op9_vertical_jaccard": _near(4, 85), "op11_min_max_hashing": _near(5, 85, ", doc_id = component_id AS kept"),
+          "op13_source_divergence": _op13()}
