@@ -7,12 +7,13 @@ from .profile import describe_exact
 from .reconcile import compare_per_key, compare_totals
 from .rules import drop_violations, rule_metrics, tag_rejections
 from .scd1 import current_rows, fold_changes, merge_changes, scd1
+from .signed import added, of_keys, signed_changes, signed_sums, total
 from .upsert import upsert
 from .versioned import VersionedTable
 
 __all__ = [
-    "VersionedTable", "anomaly_records", "compare_per_key", "compare_totals", "count_check",
+    "VersionedTable", "added", "anomaly_records", "compare_per_key", "compare_totals", "count_check",
     "current_rows", "date_spine", "describe_exact", "drop_violations", "fold_changes",
-    "latest_per_key", "low_volume", "merge_changes", "metric_rows", "rule_metrics",
-    "running_total_by_year", "same_day_last_year", "scd1", "tag_rejections", "upsert",
+    "latest_per_key", "low_volume", "merge_changes", "metric_rows", "of_keys", "rule_metrics",
+    "running_total_by_year", "same_day_last_year", "scd1", "signed_changes", "signed_sums", "tag_rejections", "total", "upsert",
 ]

@@ -15,6 +15,7 @@ from ..operators.checks import metric_rows
 from ..operators.reconcile import compare_per_key, compare_totals
 from ..operators.rules import tag_rejections
 from ..operators.scd1 import scd1
+from ..operators.signed import signed_sums, total
 
 SOURCE_SYSTEM = "us_retail_csv"  # fixed value stamped on every ingested row
 
@@ -168,6 +169,50 @@ def product_performance(sales: DataFrame, products: DataFrame) -> DataFrame:
                     F.col("n").alias("transactions_count")))
 
 
+# The same tables from stored sums of signed changes.
+
+#: What sales are added up by, and which measures are added.
+SUMS = {
+    "per_store": {"sales_date": "to_date(transaction_timestamp)", "store_id": "store_id"},
+    "per_product": {"product_id": "product_id"},
+}
+SALES_MEASURES = {
+    "n": ("if(transaction_id is null, null, 1)", "long"),
+    "units": ("cast(quantity as long)", "long"),
+    "usd": ("total_amount_usd", "decimal(38,2)"),
+}
+
+
+def touched_groups(changes: DataFrame, kind: str) -> DataFrame:
+    """The groups of SUMS whose sums the signed sales change."""
+    sums = signed_sums(changes, SUMS[kind], SALES_MEASURES)
+    return sums.where(" or ".join(f"{c} <> 0" for c in sums.columns if c not in SUMS[kind])).select(*SUMS[kind])
+
+
+def touched_ids(changes: DataFrame, key: str, *columns: str) -> DataFrame:
+    """The keys of signed rows that differ in one of the columns."""
+    return changes.groupBy(key, *columns).agg(F.sum("sign").alias("s")).where("s <> 0").select(key).distinct()
+
+
+def daily_of_sums(per_store: DataFrame, stores: DataFrame) -> DataFrame:
+    return (per_store.join(stores.select("store_id", "region"), "store_id").groupBy("sales_date", "region")
+            .agg(F.sum("n").alias("total_transactions"), total("units").alias("total_quantity"), total("usd").cast("decimal(38,2)").alias("total_revenue_usd")))
+
+
+def monthly_of_sums(per_store: DataFrame, stores: DataFrame) -> DataFrame:
+    day = F.col("sales_date")
+    return (per_store.join(stores.select("store_id", "region"), "store_id").groupBy(F.year(day).alias("year"), F.month(day).alias("month"), "region")
+            .agg(total("usd").cast("decimal(38,2)").alias("monthly_revenue_usd"), F.sum("n").alias("transactions_count")))
+
+
+def products_of_sums(per_product: DataFrame, products: DataFrame) -> DataFrame:
+    def value(name: str) -> Column:
+        return F.when(F.col(f"{name}_n") > 0, F.col(name))
+    return per_product.join(products.select("product_id", "product_name", "category", "brand"), "product_id").select(
+        "product_id", "product_name", "category", "brand", value("units").alias("total_units_sold"),
+        value("usd").alias("total_revenue_usd"), F.col("n").alias("transactions_count"))
+
+
 # Checks ----------------------------------------------------------------------
 
 def reconcile(sales: DataFrame, daily: DataFrame) -> DataFrame:

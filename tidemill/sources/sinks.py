@@ -31,6 +31,26 @@ def drop_table(spark: SparkSession, name: str) -> None:
     spark.sql("DROP TABLE IF EXISTS IDENTIFIER(:name)", args={"name": name})
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system holds it; a missing one is fine."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def replace_parts(rows: DataFrame, touched: DataFrame, path: str) -> None:
+    """Make ``rows`` the content of the ``touched`` partitions (one row of partition values each) and leave all others.
+
+    Partitions that get no row go. Writing the same again gives the same, so a write that broke off is simply repeated.
+    ``rows`` is read twice.
+    """
+    parts = touched.columns
+    rows.hint("rebalance", *parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    same = [rows[c].eqNullSafe(touched[c]) for c in parts]
+    for gone in touched.join(rows.select(*parts).distinct(), same, "left_anti").collect():  # Folders to delete, one by one as all listings are.
+        folder = "/".join(f"{c}={'__HIVE_DEFAULT_PARTITION__' if gone[c] is None else gone[c]}" for c in parts)
+        remove_folder(rows.sparkSession, f"{path}/{folder}")
+
+
 def append_rows(df: DataFrame, path: str) -> None:
     """Append to a parquet log."""
     df.write.mode("append").parquet(path)

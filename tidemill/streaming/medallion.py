@@ -1,21 +1,19 @@
 """All retail layers in one incremental run.
 
-New landing files become bronze rows, bronze rows change the type-1 states, and
-the silver and gold tables of states that changed are rewritten from them. A rerun
-without new files writes no table and only adds log rows.
+New landing files become bronze rows, bronze rows change the type-1 states, and the
+partitions of silver and gold tables that the changes touch are replaced. A rerun
+without new files writes no table and only adds log rows; a run that broke off is
+made good by the next one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans import retail as r
 from ..sources import append_rows, ensure_table, file_stream
+from .gold import Notes, SalesSums, gold_tables, silver_table
 from .ingest import FEEDS, ingest_all
 from .retail import StreamedState, append_quarantine
 
@@ -40,33 +38,6 @@ def _bronze_stream(spark: SparkSession, store: str, table: str) -> DataFrame:
     return stream.withWatermark("ingestion_timestamp", "1 day") if table == "bronze_sales_transactions" else stream
 
 
-class _Built:
-    """Which generations of its states each table was last written from.
-
-    A table is noted once it is whole, so that one whose write broke off is written again.
-    """
-
-    def __init__(self, spark: SparkSession, store: str):
-        self.spark, self.store, self.log = spark, store, f"{store}/built"
-        shape = "name string, source string, at timestamp"
-        try:
-            rows = spark.read.schema(shape).parquet(self.log).groupBy("name").agg(F.max_by("source", "at").alias("source"))
-            self.known = {r["name"]: r["source"] for r in rows.collect()}  # One row per table.
-        except AnalysisException as missing:  # the first run
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            self.known = {}
-
-    def table(self, df: DataFrame, name: str, generations: Sequence[int]) -> DataFrame:
-        """``df`` as the table ``name``, written only if its states have changed."""
-        path, source = f"{self.store}/{name}", ",".join(map(str, generations))
-        if self.known.get(name) != source:
-            df.write.mode("overwrite").parquet(path)
-            row = self.spark.createDataFrame([(name, source)], "name string, source string")
-            append_rows(row.coalesce(1).withColumn("at", F.current_timestamp()), self.log)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-
 def run(spark: SparkSession, landing: str, store: str) -> DataFrame:
     """Process what is new under ``landing``; returns the metric rows it logged.
 
@@ -74,22 +45,18 @@ def run(spark: SparkSession, landing: str, store: str) -> DataFrame:
     row decides which goes first. A feed may have no file yet.
     """
     ingest_all(spark, landing, f"{store}/bronze", f"{store}/checkpoints/bronze")
-    built, silver, at = _Built(spark, store), {}, []
+    notes, silver, states = Notes(spark, f"{store}/built"), {}, []
     for bronze, (name, key, stage) in SILVER.items():
         changes = stage(_bronze_stream(spark, store, bronze))
-        state = StreamedState(spark, f"{store}/state/{name}", [key], ["ingestion_timestamp"], changes.schema)
-        state.absorb(changes, f"{store}/checkpoints/{name}")
-        at.append(state.fold())
-        silver[name] = built.table(state.current(), f"silver/{name}", at[-1:])
+        states.append(StreamedState(spark, f"{store}/state/{name}", [key], ["ingestion_timestamp"], changes.schema))
+        states[-1].absorb(changes, f"{store}/checkpoints/{name}")
+        states[-1].advance()
+        silver[name] = silver_table(notes, store, f"silver/{name}", states[-1])
     staged = r.stage_sales(_bronze_stream(spark, store, "bronze_sales_transactions"))
     quarantine = f"{store}/silver/silver_sales_quarantine"
     append_quarantine(staged, quarantine, f"{store}/checkpoints/silver_sales_quarantine")
-    (sales, products, stores), (of_sales, of_products, of_stores) = silver.values(), at
-    gold = {name: built.table(df, f"gold/{name}", generations) for name, df, generations in (
-        ("gold_daily_sales_summary", r.daily_sales(sales, stores), (of_sales, of_stores)),
-        ("gold_monthly_revenue_by_region", r.monthly_revenue(sales, stores), (of_sales, of_stores)),
-        ("gold_product_performance", r.product_performance(sales, products), (of_sales, of_products)),
-    )}
+    sales, products, stores = states
+    gold = gold_tables(notes, store, SalesSums(notes, f"{store}/sums", sales), stores, products)
     bronze = {name: spark.read.schema(_bronze_shape(name)).parquet(f"{store}/bronze/{name}") for name in SILVER}
     rejected = T.StructType(staged.schema.fields + [T.StructField("rejection_reason", T.StringType())])
     ensure_table(spark, quarantine, rejected)
