@@ -1,13 +1,16 @@
 """Min-max hashing, whitening and the divergence audit against brute force; rounds of the components."""
 
+import gzip
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidemill.llm import divergence, linking, minmax, whitening
+from tidemill.llm import divergence, linking, minmax, warc, whitening
 
 from .conftest import ODD, prose
 from .test_operators import corpus, groups_of
@@ -285,3 +288,57 @@ def test_shares_beyond_longs():
     count = np.array([0, 7, 10 ** 17, 3 * 10 ** 17])
     got = divergence._shares(count, 4 * 10 ** 17 + 7, 4, 5)
     assert got.tolist() == [1 + 10 ** 9 * (int(c) + 5) // (4 * 10 ** 17 + 27) for c in count]
+
+
+# Archives.
+
+def archive_of(tmp_path, members):
+    path = tmp_path / f"a{len(list(tmp_path.iterdir()))}.warc.gz"
+    path.write_bytes(b"".join(members))
+    return f"file://{path}", path.stat().st_size
+
+
+def members_of(n, payload=lambda i: f"page {i} ".encode() * 40):
+    return [gzip.compress(warc.record("response", i, "http://a/", None, hashlib.sha256(payload(i)).hexdigest(), len(payload(i)), payload(i)), 5, mtime=0) for i in range(n)]
+
+
+def read(spark, archives, width):
+    return warc.read_archives(spark, spark.createDataFrame(archives, "path string, bytes long"), width)
+
+
+@pytest.mark.parametrize("width", [60, 230, 1 << 20])
+@pytest.mark.parametrize("damage", ["first of a range", "last cut short", "magic in the middle", "first of all", "junk behind"])
+def test_damaged_archives_raise(spark, tmp_path, damage, width):
+    members = members_of(5)
+    if damage == "first of a range":
+        members[2] = members[2][:30] + bytes([members[2][30] ^ 255]) + members[2][31:]
+    elif damage == "last cut short":
+        members[4] = members[4][:-9]
+    elif damage == "magic in the middle":
+        members[2] = b"\0" + members[2][1:]
+    elif damage == "first of all":
+        members[0] = b"\x1f\x8b\x00" + members[0][3:]
+    else:
+        members.append(b"junk")
+    with pytest.raises(Exception, match="no record at|damaged record|records are missing"):
+        read(spark, [archive_of(tmp_path, members)], width).count()
+
+
+def test_ranges_are_read_by_as_many_tasks(spark, tmp_path):
+    archives = [archive_of(tmp_path, members_of(60)) for _ in range(3)]
+    total = sum(size for _, size in archives)
+    scanned = warc._scanned(spark, spark.createDataFrame(archives, "path string, bytes long"), total // 110)
+    assert scanned.rdd.getNumPartitions() >= 100
+    with_rows = scanned.groupBy(F.spark_partition_id()).count().count()
+    assert with_rows >= 50
+    got = read(spark, archives, total // 110).collect()
+    assert Counter(r["record_id"] for r in got) == Counter({str(i): 3 for i in range(60)})
+
+
+def test_large_and_tricky_members(spark, tmp_path):
+    noise = random.Random(1).randbytes(3 << 20)
+    members = members_of(6, lambda i: [b"", noise, b"\x1f\x8b\x08" * 500, gzip.compress(b"WARC/1.1 not a record"), b"x", noise[:70000]][i])
+    stored = archive_of(tmp_path, members)
+    for width in (5000, 70_001, 1 << 22):
+        got = {r["record_id"]: bytes(r["payload"]) for r in read(spark, [stored], width).collect()}
+        assert len(got) == 6 and got["1"] == noise and got["0"] == b"" and got["2"] == b"\x1f\x8b\x08" * 500

@@ -89,7 +89,7 @@ def op7_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to an archive and read back from it."""
-    records = warc.round_trip(spark, _table(spark, sf_dir, "pages"))
+    records = warc.round_trip(spark, _table(spark, sf_dir, "pages"), columns=["record_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
     return records.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 

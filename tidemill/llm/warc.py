@@ -6,7 +6,7 @@ import gzip
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
@@ -23,6 +23,9 @@ MAGIC = b"\x1f\x8b\x08"
 BLOCK, ARCHIVE = 1 << 20, 256 << 20
 RECORD = ("path string, offset bigint, record_type string, record_id string, url string, refers_to string, "
           "payload_digest string, payload_bytes bigint, payload binary")
+COLUMNS = [name.split()[0] for name in RECORD.split(", ")]
+#: Tasks that read, at most: with more ranges a task scans several.
+TASKS = 10_000
 
 
 def decide(pages: DataFrame, key: str, payload: str, least: int = 100) -> DataFrame:
@@ -92,32 +95,39 @@ def write_archives(pages: DataFrame, folder: str, key: str, url: str, payload: s
 
 
 class _Range:
-    """A file as far as a task needs it, read in blocks."""
+    """A file as far as a task needs it, read in blocks; places are those in the file."""
 
     def __init__(self, file: pa.NativeFile, start: int):
-        self.file, self.start, self.held = file, start, b""
-        self.size = file.size()
-
-    def more(self) -> bool:
-        at = self.start + len(self.held)
-        block = self.file.read_at(min(BLOCK, max(0, self.size - at)), at)
-        self.held += block
-        return bool(block)
-
-    def drop(self, upto: int) -> None:
-        self.held = self.held[upto - self.start:]
-        self.start = upto
+        self.file, self.start, self.held, self.size = file, start, b"", file.size()
+
+    def piece(self, at: int, length: int) -> memoryview:
+        """Up to ``length`` bytes from ``at``, none only at the end of the file; what lies before is let go of block by block."""
+        if at >= self.start + len(self.held):
+            self.held = self.file.read_at(min(BLOCK, max(0, self.size - at)), at)
+            self.start = at
+        return memoryview(self.held)[at - self.start:at - self.start + length]
+
+    def find(self, at: int, end: int) -> int:
+        """The first place of the magic number in [at, end), or ``end``."""
+        while at < end:
+            block = self.file.read_at(min(BLOCK + len(MAGIC) - 1, self.size - at), at)
+            found = block.find(MAGIC)
+            if found >= 0:
+                return min(at + found, end)
+            at += BLOCK
+        return end
 
 
 def _member(data: _Range, offset: int) -> tuple[bytes, int] | None:
     """The content of the gzip member at an offset and where it ends, or None if none that starts a record is there."""
-    inflate, parts, at = zlib.decompressobj(31), [], offset
+    inflate, parts, at, length = zlib.decompressobj(31), [], offset, 1 << 12
     begun = b""
     while not inflate.eof:
-        if at >= data.start + len(data.held) and not data.more():
+        # Small pieces first: what a short member leaves over is copied.
+        piece = data.piece(at, length)
+        if not piece:
             return None
-        piece = data.held[at - data.start:]
-        at += len(piece)
+        at, length = at + len(piece), min(2 * length, BLOCK)
         try:
             parts.append(inflate.decompress(piece))
         except zlib.error:
@@ -157,64 +167,79 @@ def parse(content: bytes) -> dict | None:
             "payload_digest": stated, "payload_bytes": int(inner.get("content-length", len(payload))), "payload": payload if response else None}
 
 
-def read_archives(spark: SparkSession, archives: DataFrame, width: int = 16 << 20) -> DataFrame:
-    """All records of the archives (path, bytes), read by tasks that each scan one range of ``width`` bytes.
-
-    A task looks for the gzip magic number from the start of its range, takes a place for a member only if it
-    decodes to a record's headers, reads on from the member's end, and owns the records that start in its range; the last may
-    end beyond. A record whose check sum, lengths or digest fail raises. Empty archives give no rows.
-    """
-    ranges = archives.where("bytes > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(width).cast("long"))).alias("start"))
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
-    columns = [name.split()[0] for name in RECORD.split(", ")]
+def _scanned(spark: SparkSession, archives: DataFrame, width: int) -> DataFrame:
+    """The records of all ranges, each with the place where it ends."""
+    sized = archives.where("bytes > 0")
+    count = sized.agg(F.coalesce(F.sum(F.ceil(F.col("bytes") / width)), F.lit(0)).cast("long")).first()[0]
+    ranges = sized.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(width).cast("long"))).alias("start"))
+    # A stated number of partitions is not merged, however few bytes the ranges themselves have; by range all get as many.
+    ranges = ranges.repartitionByRange(max(1, -(-count // max(1, count // TASKS))), "path", "start")
+    columns = [name.split()[0] for name in (RECORD + ", end bigint").split(", ")]
+
+    def batch_of(rows: list[dict]) -> pa.RecordBatch:
+        kinds = {"offset": pa.int64(), "end": pa.int64(), "payload_bytes": pa.int64(), "payload": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds.get(c, pa.string())) for c in columns], columns)
+
+    def records(address: str, start: int) -> Iterator[dict]:
+        fs, path = pafs.FileSystem.from_uri(address)
+        with fs.open_input_file(path) as file:
+            data, end = _Range(file, start), min(start + width, file.size())
+            at, synced = start, start == 0
+            while at < end:
+                if not synced and (at := data.find(at, end)) == end:
+                    break
+                member = _member(data, at)
+                if member is None:
+                    if synced:
+                        raise ValueError(f"no record at byte {at} of {address}")
+                    at += 1
+                    continue
+                fields = parse(member[0])
+                if fields is None:
+                    raise ValueError(f"damaged record at byte {at} of {address}")
+                yield {"path": address, "offset": at, "end": member[1], "length": len(member[0]), **fields}
+                synced, at = True, member[1]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"offset": pa.int64(), "payload_bytes": pa.int64(), "payload": pa.binary()}
-
-        def batch_of(rows: list[dict]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds.get(c, pa.string())) for c in columns], columns)
-
         for batch in batches:
             for row in batch.to_pylist():
-                fs, path = pafs.FileSystem.from_uri(row["path"])
                 rows, held = [], 0
-                with fs.open_input_file(path) as file:
-                    end = min(row["start"] + width, file.size())
-                    data, at, synced = _Range(file, row["start"]), row["start"], False
-                    while at < end:
-                        found = data.held.find(MAGIC, at - data.start)
-                        if found < 0:
-                            at = max(at, data.start + len(data.held) - len(MAGIC) + 1)
-                            if not data.more():
-                                break
-                            continue
-                        at = data.start + found
-                        if at >= end:
-                            break
-                        member = _member(data, at)
-                        if member is None:
-                            if synced:
-                                raise ValueError(f"no record at byte {at} of {row['path']}")
-                            at += 1
-                            continue
-                        fields = parse(member[0])
-                        if fields is None:
-                            raise ValueError(f"damaged record at byte {at} of {row['path']}")
-                        rows.append({"path": row["path"], "offset": at, **fields})
-                        held += len(member[0])
-                        synced, at = True, member[1]
-                        data.drop(at)
-                        if held >= 4 * BLOCK:
-                            yield batch_of(rows)
-                            rows, held = [], 0
+                for found in records(row["path"], row["start"]):
+                    rows.append(found)
+                    held += found["length"]
+                    if held >= 4 * BLOCK:
+                        yield batch_of(rows)
+                        rows, held = [], 0
                 if rows:
                     yield batch_of(rows)
 
-    return ranges.mapInArrow(read, RECORD)
+    return ranges.mapInArrow(read, f"{RECORD}, end bigint")
+
 
+def read_archives(spark: SparkSession, archives: DataFrame, width: int = 16 << 20, columns: Sequence[str] = COLUMNS) -> DataFrame:
+    """The records of the archives (path, bytes), read by tasks that each scan one range of ``width`` bytes; a stored table of ``columns``.
 
-def round_trip(spark: SparkSession, pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", width: int = 16 << 20) -> DataFrame:
+    A task looks for the gzip magic number from the start of its range, takes a place for a member only if it
+    decodes to a record's headers, and owns the records that start in its range; the last may end beyond. From the first
+    record on, and from the start of an archive, each record must begin where the one before ends. A record whose check sum,
+    lengths or digest fail raises. So does an archive of which the records found do not fill all bytes, or whose number is not that in
+    a column ``records`` if there is one: damage that hides a record from the search leaves such a gap. Empty archives give no rows.
+    """
+    kept = list(dict.fromkeys([*columns, "path", "offset", "end"]))
+    found = stored(_scanned(spark, archives, width).select(*kept), "records")
+    read = found.groupBy("path").agg(F.sum(F.col("end") - F.col("offset")).alias("filled"), F.count("*").alias("found"))
+    whole = F.coalesce("filled", F.lit(0)) == F.col("bytes")
+    if "records" in archives.columns:
+        whole = whole & (F.coalesce("found", F.lit(0)) == F.col("records"))
+    bad = archives.join(read, "path", "left").where(~whole).select("path", "bytes", "filled", "found").limit(5).collect()
+    if bad:
+        raise ValueError("records are missing: " + "; ".join(f"{r['path']}: {r['found'] or 0} records in {r['filled'] or 0} of {r['bytes']} bytes" for r in bad))
+    return found.select(*columns)
+
+
+def round_trip(spark: SparkSession, pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", width: int = 16 << 20,
+               columns: Sequence[str] = COLUMNS) -> DataFrame:
     """Write one record per page to new archives in the shared folder, and read them back."""
     rows = pages.select(F.col(key), F.col(url).cast("string"), F.col(payload).cast("binary"))
     archives = write_archives(decide(rows, key, payload), scratch_dir(spark, "warc"), key, url, payload)
-    return read_archives(spark, archives, width)
+    return read_archives(spark, archives, width, columns)
