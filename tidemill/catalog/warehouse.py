@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import KeyedTable
 from ..plans import warehouse as w
-from ..session import stored
+from ..session import scratch_dir, stored
 from ..sources import process_dates, table
 
 # The warehouse as of this day is the target; what happened from it on is the batch.
@@ -104,6 +105,42 @@ def upserted_orders(spark, d):
     return _utc(w.upsert_orders(fact, after, _at(NOW)))
 
 
+def _keyed(name: str, key: str, before: DataFrame, batches: list[DataFrame]) -> DataFrame:
+    """The target in buckets of its key, after the batches."""
+    kept = KeyedTable(before.sparkSession, scratch_dir(before.sparkSession, name), [key], buckets=8)
+    kept.replace(before)
+    for batch in batches:
+        kept.upsert(batch, {"created_at": _at(NOW)})
+    return kept.read()
+
+
+def keyed_customers(spark, d):
+    known = customer_activity(spark, d)
+    before = known.where((F.col("first_order") < _at(CUT)) | F.col("first_order").isNull())
+    after = known.where(F.col("last_order") >= _at(CUT))
+    return _keyed("dim_customers", "customer_id", w.customer_rows(w.stage_customers(customer_file(before))).withColumn("created_at", _at(LOADED)),
+                  [w.customer_rows(w.stage_customers(customer_file(after, "example.org")))])
+
+
+def keyed_products(spark, d):
+    """The new prices come in two batches, of which the second repeats some of the first."""
+    shipped = table(spark, d, "lineitem").groupBy(F.col("l_partkey").cast("string").alias("product_id")).agg(
+        F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"))
+    late = shipped.where(F.col("first") >= _at("1995-03-01")).select("product_id")
+    after = stored(shipped.where(F.col("last") >= _at("1995-03-01")).select("product_id"), "after")
+    old = w.product_rows(w.stage_products(product_file(spark, d).join(late, "product_id", "left_anti")))
+    new = w.product_rows(w.stage_products(product_file(spark, d, 1.0)))
+    share = F.pmod(F.xxhash64("product_id"), F.lit(3))
+    return _keyed("dim_products", "product_id", old.withColumn("created_at", _at(LOADED)),
+                  [new.join(after.where(part), "product_id", "left_semi") for part in (share < 2, share > 0)])
+
+
+def keyed_orders(spark, d):
+    rows = order_file(spark, d)
+    before, after = (w.fact_rows(w.stage_orders(rows.where(part).drop("l_shipdate"))) for part in (F.col("l_shipdate") < _at(CUT), F.col("l_shipdate") >= _at(CUT)))
+    return _utc(_keyed("fact_orders", "order_id", before.withColumn("created_at", _at(LOADED)), [after]))
+
+
 def fact(spark, d):
     return w.fact_rows(staged_orders(spark, d))
 
@@ -130,6 +167,9 @@ QUERIES = {
     "stg_orders": staged_orders,
     "upsert_customers": upserted_customers,
     "upsert_products": upserted_products,
+    "upsert_keyed_customers": keyed_customers,
+    "upsert_keyed_products": keyed_products,
+    "upsert_keyed_orders": keyed_orders,
     "fact_clean": lambda s, d: _utc(w.clean_orders(staged_orders(s, d))),
     "fact_valid": lambda s, d: _utc(w.valid_orders(w.clean_orders(staged_orders(s, d)))),
     "fact_flagged": lambda s, d: _utc(w.flag_orders(w.valid_orders(w.clean_orders(staged_orders(s, d))))),
@@ -240,3 +280,6 @@ daily AS (SELECT CAST(order_timestamp AS DATE) AS process_date, count(*) AS n FR
 SELECT process_date, coalesce(n, 0) AS fact, CASE WHEN coalesce(n, 0) < {FEW} THEN 'warn_low_volume' ELSE 'normal_completion' END AS branch
 FROM days LEFT JOIN daily USING (process_date)""",
 }
+
+# Tables kept in buckets of their key hold the same rows.
+ORACLE.update({f"upsert_keyed_{name}": ORACLE[f"upsert_{other}"] for name, other in (("customers", "customers"), ("products", "products"), ("orders", "fact_orders"))})

@@ -2,6 +2,7 @@
 
 from .calendar import date_spine, running_total_by_year, same_day_last_year
 from .checks import anomaly_records, count_check, low_volume, metric_rows
+from .keyed import KeyedTable
 from .latest import latest_per_key
 from .profile import describe_exact
 from .reconcile import compare_per_key, compare_totals
@@ -12,7 +13,7 @@ from .upsert import upsert
 from .versioned import VersionedTable
 
 __all__ = [
-    "VersionedTable", "added", "anomaly_records", "compare_per_key", "compare_totals", "count_check",
+    "KeyedTable", "VersionedTable", "added", "anomaly_records", "compare_per_key", "compare_totals", "count_check",
     "current_rows", "date_spine", "describe_exact", "drop_violations", "fold_changes",
     "latest_per_key", "low_volume", "merge_changes", "metric_rows", "of_keys", "rule_metrics",
     "running_total_by_year", "same_day_last_year", "scd1", "signed_changes", "signed_sums", "tag_rejections", "total", "upsert",
