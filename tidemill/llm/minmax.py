@@ -25,6 +25,8 @@ PERMUTATIONS, ROWS = 60, 5
 LONGS = 2 * PERMUTATIONS // 16 + 1
 #: Standard deviations by which an estimate may fall short of the limit; a pair beyond is lost once in three million.
 SIGMAS = 5
+#: Longs of a set's parity sketch: each shingle flips one bit, so two sketches differ in no more bits than the sets in shingles.
+PARITY = 8
 #: Rounds in which groups meet leads before all remaining pairs meet; they save work and change no result.
 ROUNDS = 4
 CHUNK = 1 << 19
@@ -78,6 +80,16 @@ def differing(a: str, b: str) -> Column:
     return sum((of(j) for j in range(1, LONGS)), of(0))
 
 
+def _parity(value: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """The longs of each set's parity sketch."""
+    bit, which = np.uint64(1) << (value & np.uint64(63)), (value >> np.uint64(6)) % np.uint64(PARITY)
+    longs = []
+    for j in range(PARITY):
+        flips = np.concatenate([[np.uint64(0)], np.bitwise_xor.accumulate(np.where(which == j, bit, np.uint64(0)))])
+        longs.append((flips[bounds[1:]] ^ flips[bounds[:-1]]).view(np.int64))
+    return longs
+
+
 def most_differing(percent: int) -> int:
     """How many values of two similar signatures differ at most: mean and SIGMAS deviations at the limit itself."""
     p, k = (1 - percent / 100) * 15 / 16, 2 * PERMUTATIONS
@@ -85,8 +97,8 @@ def most_differing(percent: int) -> int:
 
 
 def _signed(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """Per row: key, hash of the text, size of the set, its 128-bit digest, bands, and the four-bit signature."""
-    longs = [f"s{j}" for j in range(LONGS)]
+    """Per row: key, hash of the text, size of the set, its 128-bit digest, bands, the four-bit signature and the parity sketch."""
+    longs = [*[f"s{j}" for j in range(LONGS)], *[f"p{j}" for j in range(PARITY)]]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", CHUNK):
@@ -104,7 +116,7 @@ def _signed(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
             four = np.zeros((LONGS, len(sizes)), np.int64)
             four[:, some] = _nibbles(signature)
             yield pa.RecordBatch.from_arrays(
-                [batch["key"], batch["hash"], pa.array(sizes.astype(np.int64)), *digests, pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel().view(np.int64))), *[pa.array(x) for x in four]],
+                [batch["key"], batch["hash"], pa.array(sizes.astype(np.int64)), *digests, pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel().view(np.int64))), *[pa.array(x) for x in four], *[pa.array(x) for x in _parity(value, bounds)]],
                 ["key", "hash", "size", "d1", "d2", "bands", *longs])
 
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col(text).cast("string").alias("text"))
@@ -147,43 +159,47 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     component is the smallest key reachable by links. Candidates share a band: at a similarity of 0.80 one pair in
     ten thousand shares none of the 24 bands of five values, at 0.85 one in a million; what is linked is always right.
 
-    Equal sets are one node, so exact copies cost nothing. In some ``rounds`` each node meets one lead of another group, then
-    all remaining pairs of separate groups whose signatures are close enough meet; no candidate is left out.
+    Equal sets are one node, so exact copies cost nothing. In some ``rounds`` each node meets one lead of another group, in the
+    first ones a lead with which it shares two bands at once. Then all remaining pairs of separate groups meet, once each, whose
+    sizes, signatures and parity sketches allow them to be similar; no candidate is left out.
 
     Rows without words or text link with nothing and name themselves. Repeated rows share a component. Null keys come last:
     a group of null keys has a null component and its rows are kept. An empty table stays empty, other columns are not
     read. Texts are read whole; a task needs some 60 bytes of memory per byte of its longest text.
     """
-    longs = [f"s{j}" for j in range(LONGS)]
+    longs = [*[f"s{j}" for j in range(LONGS)], *[f"p{j}" for j in range(PARITY)]]
     rows = stored(_signed(docs, key, text, n), "signatures")
     filled = rows.where("size > 0")
     sets = filled.groupBy("d1", "d2").agg(F.min("row").alias("node"))
     nodes = stored(rows.join(sets.select("node"), F.col("row") == F.col("node")).select("node", "key", "hash", "size", "bands", *longs), "nodes")
-    tokens = nodes.select(F.explode("bands").alias("token"), "node")
-    shared = tokens.groupBy("token").agg(F.count("*").alias("many")).where("many > 1").select("token")
-    buckets = stored(tokens.join(shared, "token"), "buckets")
+    half = PERMUTATIONS // ROWS
+    loose = _buckets(nodes, F.col("bands"))
+    strict = _buckets(nodes, F.transform(F.sequence(F.lit(0), F.lit(half - 1)), lambda i: F.xxhash64(F.get("bands", i), F.get("bands", i + half))))
     marks = nodes.select("node", "size", *longs)
-    limit = most_differing(percent)
 
     def close(pairs: DataFrame) -> DataFrame:
-        """The pairs whose sizes and signatures allow them to be similar."""
         a, b = (marks.select([F.col(c).alias(side if c == "node" else f"{side}_{c}") for c in marks.columns]) for side in "ab")
-        return pairs.join(a, "a").join(b, "b").where(_sizes_allow("a_size", "b_size", percent) & (differing("a_s", "b_s") <= limit)).select("a", "b")
+        return pairs.join(a, "a").join(b, "b").where(_may_be_similar(percent)).select("a", "b")
 
     links, tried, names = None, None, None
     for turn in range(rounds):
-        pairs = leads(with_groups(buckets, names), turn)
-        pairs = stored(close(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")), "pairs")
+        pairs = close(leads(with_groups(strict if 2 * turn < rounds else loose, names), turn))
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if not pairs.limit(1).count():
-            break
+            continue
         found = stored(confirmed(pairs, docs, nodes, key, text, n, percent), "links")
         links, tried = found if links is None else links.union(found), pairs if tried is None else tried.union(pairs)
         names = stored(components(links), "components")
-    apart = mixed(with_groups(buckets, names)).join(marks, "node")
+    apart = mixed(with_groups(loose, names)).select("node", "group", "token").join(nodes.drop("key", "hash"), "node")
+    # A pair meets where its first shared band is.
+    bands = [f"t{j}" for j in range(2 * half)]
+    apart = apart.select("node", "group", "token", "size", *longs, *[F.expr(f"int(bands[{j}] >> 32)").alias(c) for j, c in enumerate(bands)],
+                         (F.array_position("bands", F.col("token")) - 1).alias("place"))
     l, r = (apart.select([F.col(c).alias(f"{side}_{c}") for c in apart.columns]) for side in "ab")
+    first = F.coalesce(*[F.when(F.col(f"a_{c}") == F.col(f"b_{c}"), F.lit(j)) for j, c in enumerate(bands)])
     met = l.join(r, (F.col("a_token") == F.col("b_token")) & (F.col("a_node") < F.col("b_node")) & (F.col("a_group") != F.col("b_group"))
-                 & _sizes_allow("a_size", "b_size", percent) & (differing("a_s", "b_s") <= limit))
-    rest = met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+                 & _may_be_similar(percent) & (first == F.col("a_place")))
+    rest = met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     if tried is not None:
         rest = rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     rest = stored(rest, "pairs")
@@ -198,5 +214,19 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     return both.select(F.col("key").alias(key), F.col("size").alias("n_shingles"), "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _sizes_allow(a: str, b: str, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _buckets(nodes: DataFrame, tokens: Column) -> DataFrame:
+    """(token, node) of the tokens that several nodes have."""
+    rows = nodes.select(F.explode(tokens).alias("token"), "node")
+    shared = rows.groupBy("token").agg(F.count("*").alias("many")).where("many > 1").select("token")
+    return stored(rows.join(shared, "token"), "buckets")
+
+
+def _may_be_similar(percent: int) -> Column:
+    """Whether sizes, parity sketches and signatures of the sides ``a`` and ``b`` of a pair allow the least similarity.
+
+    The first two are exact bounds: sets of m and n shingles of that similarity share need of them and differ in m + n - 2 need.
+    """
+    m, n = F.col("a_size"), F.col("b_size")
+    need = F.ceil(F.lit(percent) * (m + n) / F.lit(100 + percent))
+    odd = [F.bit_count(F.col(f"a_p{j}").bitwiseXOR(F.col(f"b_p{j}"))) for j in range(PARITY)]
+    return (need <= F.least(m, n)) & (sum(odd[1:], odd[0]) <= m + n - 2 * need) & (differing("a_s", "b_s") <= most_differing(percent))
