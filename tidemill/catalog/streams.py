@@ -14,7 +14,7 @@ from .. import schemas
 from ..plans import retail as r
 from ..session import scratch_dir
 from ..sources import file_stream, table
-from ..streaming import gold
+from ..streaming import drift, gold
 from ..streaming import ingest as bronze
 from ..streaming import retail as stream
 from ..streaming import trips as ride
@@ -148,7 +148,24 @@ def _delivered(table: str, *more: str):
     return query
 
 
+def drifting_sales(spark, d):
+    """A feed in three deliveries: the second has its columns in another order, the third lacks the price, has the currency, and writes quantities as text."""
+    work = scratch_dir(spark, "drift")
+    line = F.substring_index("transaction_id", "-", -1).cast("int")
+    feed = retail_inputs.sales_feed(spark, d).select(
+        "transaction_id", F.date_format("transaction_timestamp", "yyyy-MM-dd").alias("day"), F.col("store_id").cast("long").alias("store_id"),
+        F.col("quantity").cast("int").alias("quantity"), F.col("unit_price").cast("decimal(12,2)").alias("unit_price"), "currency", line.alias("line"))
+    deliveries = [feed.where("line < 3").select("transaction_id", "day", "store_id", "quantity", "unit_price"),
+                  feed.where("line in (3, 4)").select("quantity", "unit_price", "transaction_id", "store_id", "day"),
+                  feed.where("line > 4").select("currency", "transaction_id", "day", "store_id", F.concat("quantity", F.lit(" pcs")).alias("quantity"))]
+    for rows in deliveries:
+        rows.write.mode("append").option("header", True).csv(f"{work}/landing")
+        drift.ingest_drifting(spark, f"{work}/landing", f"{work}/bronze", f"{work}/schema", f"{work}/checkpoint")
+    return drift.read_drifting(spark, f"{work}/bronze", f"{work}/schema").drop(*STAMPS)
+
+
 QUERIES = {
+    "bronze_schema_drift": drifting_sales,
     "gold_incremental_daily": _delivered("daily_table"),
     "gold_incremental_monthly": _delivered("monthly_table"),
     "gold_incremental_products": _delivered("product_table", "bucket"),
@@ -168,6 +185,12 @@ ORACLE = {
   CAST(store_id AS VARCHAR) AS store_id, CAST(product_id AS VARCHAR) AS product_id, CAST(quantity AS VARCHAR) AS quantity,
   CAST(unit_price AS VARCHAR) AS unit_price, CAST(CASE WHEN discount > 0 THEN discount END AS VARCHAR) AS discount,
   CAST(total_amount AS VARCHAR) AS total_amount, currency, 'us_retail_csv' AS source_system FROM feed""",
+    "bronze_schema_drift": _TEXT + """SELECT transaction_id, CAST(transaction_timestamp AS DATE) AS day, CAST(store_id AS BIGINT) AS store_id,
+  CASE WHEN line < 5 THEN CAST(quantity AS BIGINT) END AS quantity, CASE WHEN line < 5 THEN CAST(CAST(unit_price AS DECIMAL(12,2)) AS DECIMAL(38,10)) END AS unit_price,
+  CASE WHEN line > 4 THEN currency END AS currency,
+  CASE WHEN line > 4 AND quantity IS NOT NULL THEN '{"quantity":"' || CAST(CAST(quantity AS INT) AS VARCHAR) || ' pcs"}' END AS _rescued,
+  'us_retail_csv' AS source_system
+FROM (SELECT *, CAST(split_part(transaction_id, '-', 2) AS INT) AS line FROM feed)""",
     "bronze_ingest_products": """SELECT CAST(p_partkey AS VARCHAR) AS product_id, upper(p_name) AS product_name, p_type AS category,
   lower(p_brand) AS brand, CAST(CAST(CASE WHEN p_size = 1 THEN 0 ELSE p_retailprice END AS DECIMAL(10,2)) AS VARCHAR) AS unit_price,
   'USD' AS currency, 'us_retail_csv' AS source_system FROM part""",
