@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..plans import retail as r
 from ..session import scratch_dir
-from ..sources import file_stream, table
+from ..sources import file_stream, table, write_stream
 from ..streaming import drift, gold
 from ..streaming import ingest as bronze
 from ..streaming import retail as stream
@@ -164,7 +164,49 @@ def drifting_sales(spark, d):
     return drift.read_drifting(spark, f"{work}/bronze", f"{work}/schema").drop(*STAMPS)
 
 
+#: Days from the first of 2024 that a delivery of events spans; the fifth has all later ones.
+_SPAN = 6
+
+
+def _deliver(spark, rows: DataFrame, work: str):
+    """The landed events as a stream, after one more delivery."""
+    rows.write.mode("append").parquet(f"{work}/landing")
+    return file_stream(spark, f"{work}/landing", rows.schema, "parquet")
+
+
+def _day(ts: str):
+    return F.datediff(ts, F.lit("2024-01-01"))
+
+
+def counted_trips(spark, d):
+    """Kept and dropped trips of each of five micro-batches, as counted while they were written."""
+    work, events = scratch_dir(spark, "counted"), table(spark, d, "events")
+    for number in range(5):
+        rows = events.where(F.least(F.floor(_day("ts") / _SPAN), F.lit(4)) == number)
+        ride.append_valid_counted(trip_inputs.as_trips(_deliver(spark, rows, work)), f"{work}/bronze", f"{work}/counts", f"{work}/checkpoint")
+    written = spark.read.parquet(f"{work}/bronze").groupBy("batch").agg(F.count("*").alias("written"))
+    return spark.read.parquet(f"{work}/counts").join(written, "batch").select(F.col("batch").cast("long").alias("batch"), "rule", "kept", "dropped", "written")
+
+
+def events_once(spark, d):
+    """Events in five deliveries that repeat the last day of the one before, bring some of it late, and some of two days earlier too late.
+
+    The watermark of a day keeps each event once as long as it may still be repeated, and drops what comes later than that.
+    """
+    work, events = scratch_dir(spark, "once"), table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    day, turn = _day("ts") % _SPAN, F.least(F.floor(_day("ts") / _SPAN), F.lit(4))
+    held = ((day == _SPAN - 1) & (F.col("event_id") % 10 == 3)) | ((day == _SPAN - 3) & (F.col("event_id") % 10 == 7))
+    for number in range(5):
+        of_turn, before = turn == number, (turn == number - 1) & (held | (day == _SPAN - 1))
+        rows = events.where((of_turn & ~held) | before)
+        stream_once = stream.drop_replayed(_deliver(spark, rows.repartition(4), work), ["event_id"], "ts", "1 day")
+        write_stream(stream_once, f"{work}/checkpoint", f"{work}/out")
+    return spark.read.parquet(f"{work}/out").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value")
+
+
 QUERIES = {
+    "taxi_counted_stream": counted_trips,
+    "events_once_stream": events_once,
     "bronze_schema_drift": drifting_sales,
     "gold_incremental_daily": _delivered("daily_table"),
     "gold_incremental_monthly": _delivered("monthly_table"),
@@ -201,6 +243,18 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionke
     # The streamed results equal the batch ones, so they share the SQL.
     "taxi_bronze_stream": trip_inputs.ORACLE["taxi_bronze"],
     "taxi_flagged_stream": trip_inputs.ORACLE["taxi_flagged"],
+    "taxi_counted_stream": """WITH trips AS (
+  SELECT least(date_diff('day', DATE '2024-01-01', ts::DATE) // 6, 4) AS batch, CAST(json_extract_string(props, '$.k') AS DECIMAL(10,2)) AS trip_distance FROM events)
+SELECT batch::BIGINT AS batch, 'valid_distance' AS rule, count(*) FILTER (trip_distance > 0) AS kept,
+  count(*) FILTER (trip_distance IS NULL OR trip_distance <= 0) AS dropped, count(*) FILTER (trip_distance > 0) AS written FROM trips GROUP BY batch""",
+    "events_once_stream": """WITH dated AS (
+  SELECT *, date_diff('day', DATE '2024-01-01', ts::DATE) % 6 AS d, least(date_diff('day', DATE '2024-01-01', ts::DATE) // 6, 4) AS turn FROM events),
+marked AS (SELECT *, (d = 5 AND event_id % 10 = 3) OR (d = 3 AND event_id % 10 = 7) AS held FROM dated),
+delivered AS (
+  SELECT *, turn AS delivery FROM marked WHERE NOT held
+  UNION ALL SELECT *, turn + 1 FROM marked WHERE (held OR d = 5) AND turn < 4),
+marks AS (SELECT x.n AS delivery, max(ts) - INTERVAL 1 DAY AS mark FROM delivered, (SELECT unnest([1, 2, 3, 4]) AS n) x WHERE delivery < x.n GROUP BY x.n)
+SELECT DISTINCT event_id, ts, user_id, event_type, value FROM delivered LEFT JOIN marks USING (delivery) WHERE mark IS NULL OR ts > mark""",
     "scd1_stream": retail_inputs.ORACLE["scd1_sales"],
     # Tables that follow their changes equal those built from all rows.
     "gold_incremental_daily": retail_inputs.ORACLE["gold_daily_sales"],

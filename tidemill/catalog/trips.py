@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import trips as t
+from ..session import scratch_dir
 from ..sources import table
 
 
@@ -26,7 +27,15 @@ def valid(spark, d):
     return t.valid_trips(all_trips(spark, d))
 
 
+def observed(spark, d):
+    """Valid trips written, and what the rule kept and dropped as seen in that write beside the rows that are there."""
+    path = scratch_dir(spark, "valid-trips")
+    counts = t.write_valid(all_trips(spark, d), path)
+    return counts.crossJoin(spark.read.parquet(path).agg(F.count("*").alias("written")))  # One row a side.
+
+
 QUERIES = {
+    "taxi_observed": observed,
     "taxi_bronze": valid,
     "taxi_expectation": lambda s, d: t.rule_counts(all_trips(s, d)),
     "taxi_violations_left": lambda s, d: t.violations_left(all_trips(s, d)),
@@ -51,6 +60,8 @@ ORACLE = {
     "taxi_bronze": TRIPS_SQL + "SELECT * FROM bronze",
     "taxi_expectation": TRIPS_SQL + """SELECT 'valid_distance' AS rule, count(*) FILTER (trip_distance > 0) AS kept,
   count(*) FILTER (trip_distance IS NULL OR trip_distance <= 0) AS dropped FROM trips""",
+    "taxi_observed": TRIPS_SQL + """SELECT 'valid_distance' AS rule, count(*) FILTER (trip_distance > 0) AS kept,
+  count(*) FILTER (trip_distance IS NULL OR trip_distance <= 0) AS dropped, (SELECT count(*) FROM bronze) AS written FROM trips""",
     "taxi_violations_left": TRIPS_SQL + "SELECT count(*) AS dropped_rows FROM bronze WHERE trip_distance <= 0",
     "taxi_flagged": TRIPS_SQL + "SELECT * FROM flagged",
     "taxi_weekly": TRIPS_SQL + "SELECT * FROM weekly ORDER BY week",

@@ -6,7 +6,7 @@ from .keyed import KeyedTable
 from .latest import latest_per_key
 from .profile import describe_exact
 from .reconcile import compare_per_key, compare_totals
-from .rules import drop_violations, rule_metrics, tag_rejections
+from .rules import drop_violations, observe_rules, observed_counts, rule_metrics, tag_rejections
 from .scd1 import current_rows, fold_changes, merge_changes, scd1
 from .signed import added, of_keys, signed_changes, signed_sums, total
 from .upsert import upsert
@@ -15,6 +15,6 @@ from .versioned import VersionedTable
 __all__ = [
     "KeyedTable", "VersionedTable", "added", "anomaly_records", "compare_per_key", "compare_totals", "count_check",
     "current_rows", "date_spine", "describe_exact", "drop_violations", "fold_changes",
-    "latest_per_key", "low_volume", "merge_changes", "metric_rows", "of_keys", "rule_metrics",
+    "latest_per_key", "low_volume", "merge_changes", "metric_rows", "observe_rules", "observed_counts", "of_keys", "rule_metrics",
     "running_total_by_year", "same_day_last_year", "scd1", "signed_changes", "signed_sums", "tag_rejections", "total", "upsert",
 ]

@@ -1,11 +1,11 @@
-"""Row rules: drop violations, count them, tag rejections with a reason."""
+"""Row rules: drop violations, count them apart or in the pass that writes, tag rejections with a reason."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,23 @@ def rule_metrics(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     )
 
 
+def observe_rules(df: DataFrame, rules: Mapping[str, Column]) -> tuple[DataFrame, Observation]:
+    """The rows every rule holds for, and how many each rule keeps and drops, counted while the rows pass.
+
+    The counts are there after the first action on the rows, such as their write; no further scan is made.
+    """
+    seen = Observation()
+    counts = [F.count_if(F.coalesce(rule, F.lit(False)) == kept).alias(f"{name}:{side}") for name, rule in rules.items()
+              for side, kept in (("kept", True), ("dropped", False))]
+    return drop_violations(df.observe(seen, *counts), rules), seen
+
+
+def observed_counts(spark: SparkSession, seen: Observation, rules: Mapping[str, Column]) -> DataFrame:
+    """The counts of observed rows in the shape of ``rule_metrics``; to be called after their action."""
+    counts = seen.get
+    return spark.createDataFrame([(name, counts[f"{name}:kept"], counts[f"{name}:dropped"]) for name in rules], "rule string, kept long, dropped long")
+
+
 def tag_rejections(df: DataFrame, reasons: Sequence[tuple[str, Column]],
                    name: str = "rejection_reason") -> DataFrame:
     """Add the first reason whose condition is true, else null."""

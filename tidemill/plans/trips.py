@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exact_mean, round_decimal
-from ..operators.rules import drop_violations, rule_metrics
+from ..operators.rules import drop_violations, observe_rules, observed_counts, rule_metrics
 
 def rules() -> dict[str, Column]:
     return {"valid_distance": F.col("trip_distance") > 0.0}
@@ -25,6 +25,13 @@ def rule_counts(trips: DataFrame) -> DataFrame:
     return rule_metrics(trips, rules())
 
 
+def write_valid(trips: DataFrame, path: str) -> DataFrame:
+    """Write the valid trips; the kept and dropped rows of each rule, counted in that write."""
+    valid, seen = observe_rules(trips, rules())
+    valid.write.mode("overwrite").parquet(path)
+    return observed_counts(trips.sparkSession, seen, rules())
+
+
 def violations_left(trips: DataFrame) -> DataFrame:
     """Rows of the valid trips that break the rule: always 0."""
     return valid_trips(trips).agg(F.count_if(F.col("trip_distance") <= 0).alias("dropped_rows"))
