@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .json_array import json_array_records
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """CSV with a header; types are inferred (one more pass over the file) only without a schema."""
@@ -49,29 +52,33 @@ def _only(text: Column) -> Column:
 def json_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Flat JSON records as text columns: an array, one object, or one object per line.
 
-    The shape is decided for each file. A file whose lines with content are all whole
-    objects is read by line, split among tasks; any other file must hold
-    one object or one array of objects and is read by one task, fractions as doubles. Everything else
-    raises, so no record is lost. Names of files of the second kind go
-    to the driver, as any listing of files does.
+    The shape is decided for each file. A file whose lines with content are all whole objects is read by line, split among
+    tasks. Of the others, one that begins with a bracket must hold one array of objects and is split as well, between objects; any
+    other must hold one object and is read by one task, fractions as doubles. Everything else raises, so no record
+    is lost. Names of files that are not read by line go to the driver, as any listing of files does.
     """
     text = T.StructType([T.StructField(n, T.StringType()) for n in schema.names])
     file, strict = F.col("_metadata.file_path"), {"mode": "FAILFAST"}
-    lines = spark.read.text(path).where(F.col("value").rlike(r"\S"))
-    by_line = lines.groupBy(file.alias("file")).agg(F.bool_and(F.coalesce(_only(F.col("value")).startswith("{"), F.lit(False))).alias("by_line"))
-    whole = [r["file"] for r in by_line.where("NOT by_line").collect()]
+    lines = spark.read.text(path).select(file.alias("file"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place"), "value")
+    shapes = lines.where(F.col("value").rlike(r"\S")).groupBy("file").agg(
+        F.bool_and(F.coalesce(_only(F.col("value")).startswith("{"), F.lit(False))).alias("by_line"),
+        F.min_by(F.regexp_extract("value", r"\S", 0), "place").alias("first"))
+    other = shapes.where("NOT by_line").collect()
+    whole, arrays = [r["file"] for r in other], [unquote(r["file"]) for r in other if r["first"] == "["]
     # The reader keeps numbers as written; the filter on file names drops whole files from its listing.
     records = spark.read.schema(text).options(**strict).json(path)
-    if not whole:
-        return records
-    value, one = F.col("value"), _only(F.col("value"))
-    held = spark.read.text(path, wholetext=True).where(file.isin(whole)).select(file.alias("file"), "value", one.alias("one"))
-    objects = F.forall(F.from_json("one", "array<string>"), lambda e: F.coalesce(e.startswith("{"), F.lit(False)))
-    listed = F.when(F.col("one").startswith("{"), F.array(F.from_json(value, text, strict))).when(
-        F.col("one").startswith("[") & objects, F.from_json(value, T.ArrayType(text), strict))
-    bad = F.raise_error(F.concat(F.lit("neither one object, one array of objects, nor an object per line: "), F.col("file")))
-    found = held.select(F.explode(F.coalesce(listed, bad.cast(T.ArrayType(text)))).alias("r")).select("r.*")
-    return records.where(~file.isin(whole)).union(found)
+    if whole:
+        records = records.where(~file.isin(whole))
+    if arrays:
+        records = records.union(json_array_records(spark, arrays, schema))
+    single = [r["file"] for r in other if r["first"] != "["]
+    if single:
+        value, one = F.col("value"), _only(F.col("value"))
+        held = spark.read.text(path, wholetext=True).where(file.isin(single)).select(file.alias("file"), "value", one.alias("one"))
+        bad = F.raise_error(F.concat(F.lit("neither one object, one array of objects, nor an object per line: "), F.col("file")))
+        found = F.when(F.col("one").startswith("{"), F.from_json(value, text, strict)).otherwise(bad.cast(text))
+        records = records.union(held.select(found.alias("r")).select("r.*"))
+    return records
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv",
