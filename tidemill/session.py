@@ -18,6 +18,7 @@ _RUNTIME = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # Long texts: a batch for a Python task stays at a few megabytes.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8388608",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
 }
 
