@@ -4,13 +4,15 @@ import gzip
 import hashlib
 import random
 import re
+import string
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.llm import divergence, linking, minmax, warc, whitening
+from tidemill.llm import divergence, linking, minmax, secrets, warc, whitening
 
 from .conftest import ODD, prose
 from .test_operators import corpus, groups_of
@@ -342,3 +344,48 @@ def test_large_and_tricky_members(spark, tmp_path):
     for width in (5000, 70_001, 1 << 22):
         got = {r["record_id"]: bytes(r["payload"]) for r in read(spark, [stored], width).collect()}
         assert len(got) == 6 and got["1"] == noise and got["0"] == b"" and got["2"] == b"\x1f\x8b\x08" * 500
+
+
+# Secrets.
+
+@pytest.mark.parametrize("alphabet", ["0123456789abcdef", string.ascii_uppercase + "234567", string.digits + string.ascii_lowercase,
+                                      string.digits + string.ascii_uppercase, string.digits + string.ascii_letters, string.digits + string.ascii_letters + "-_"])
+@pytest.mark.parametrize("length", [20, 24, 32])
+def test_recall_of_random_keys(alphabet, length):
+    rng = random.Random(length)
+    keys = ["".join(rng.choices(alphabet, k=length)) for _ in range(500)]
+    found = sum(any(a <= 4 and b >= 2 + length for a, b in secrets.entropy_spans(f"a: {key} z")) for key in keys)
+    assert found >= 0.93 * len(keys)
+
+
+def test_names_and_numbers_are_no_keys():
+    for text in ("data/2024/reports/summary-of-all-sales", "release_2024_version_17_candidate_3", "aVeryLongCamelCaseName2024", "CONSTANT_NAME_WITH_MANY_PARTS_1",
+                 "--------------------------------", "part0001/part0002/part0003/part0004", "2024-01-01-2024-12-31-1234567890"):
+        assert secrets.entropy_spans(text) == [], text
+
+
+def test_long_texts_take_time_in_proportion():
+    key = "Zk8Qw3Xp9Lm2Vt7Rb4Ny6Hc1"
+    for unit in ("example_", f"token=abcdefgh12 {key} ", f"{key}/sample/", "deadbeef" * 4 + " "):
+        took = []
+        for size in (1 << 17, 1 << 20):
+            text = unit * (size // len(unit))
+            start = time.perf_counter()
+            secrets.scan(text)
+            took.append(time.perf_counter() - start)
+        assert took[1] < 24 * took[0] + 0.5  # eight times the text; quadratic work would be 64 times
+
+
+def test_spans_inside_base_matches_add_nothing():
+    rng = random.Random(2)
+    for _ in range(200):
+        text = " ".join(rng.choice(["token=" + "".join(rng.choices(string.ascii_letters + string.digits, k=30)), "ab12" * 8, "AKIA" + "Q7" * 10, "word",
+                                    "".join(rng.choices(string.ascii_letters + string.digits, k=25))]) for _ in range(6))
+        covers = [s for found in secrets.base_spans(text).values() for s in found]
+        want = [(a, b) for a, b in secrets.entropy_spans(text) if not any(x <= a and b <= y for x, y in covers)]
+        got = [tuple(map(int, s.split(":")[1:])) for s in secrets.scan(text)[4].split(",") if s.startswith("entropy")]
+        assert got == want
+
+
+def test_secrets_of_an_empty_table(documents):
+    assert documents([]).select(secrets.secrets(F.col("text")).alias("s")).select("s.*").count() == 0
