@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import differing_rows, key_range
 from ..plans import retail as r
-from ..session import stored
+from ..session import scratch_dir, stored
 from ..sources import table
 
 # A line is a change of the transaction named by its order and line number; the
@@ -108,13 +109,23 @@ def kept_sales(spark, d):
 
 
 def reconciled(spark, d):
-    sales = kept_sales(spark, d)
-    return r.reconcile(sales, r.daily_sales(sales, silver_stores(spark, d)))
+    return r.reconcile_in_one_pass(silver_sales(spark, d), silver_stores(spark, d), scratch_dir(spark, "daily"))
 
 
 def reconciled_products(spark, d):
-    sales = kept_sales(spark, d)
-    return r.reconcile_products(sales, r.product_performance(sales, silver_products(spark, d)))
+    """Sums per product are written once and serve both sides."""
+    sums = stored(r.added_up(silver_sales(spark, d), "product_id"), "per_product")
+    return r.compare_products(sums, r.products_of_added_up(sums, silver_products(spark, d)))
+
+
+def differing_days(spark, d):
+    """The daily table against one that has a wrong revenue for a region on the thirteenth of each month, and lacks one row: found by digests."""
+    daily = r.daily_sales(silver_sales(spark, d), silver_stores(spark, d))
+    right = stored(daily.hint("rebalance", "sales_date"), "daily")
+    wrong = F.when((F.dayofmonth("sales_date") == 13) & (F.col("region") == "ASIA"), F.col("total_revenue_usd") + 1).otherwise(F.col("total_revenue_usd"))
+    lacks = (F.col("sales_date") == F.lit("1995-06-17").cast("date")) & (F.col("region") == "EUROPE")
+    other = stored(right.where(~F.coalesce(lacks, F.lit(False))).withColumn("total_revenue_usd", wrong.cast("decimal(38,2)")), "other")
+    return differing_rows(right, other, {"month": "trunc(sales_date, 'month')", "day": "sales_date", "range": key_range("region", 16)})
 
 
 def layer_counts(spark, d):
@@ -141,6 +152,7 @@ QUERIES = {
     "scd1_stores": lambda s, d: r.current_stores(r.stage_stores(_two_store_deliveries(s, d))).drop("ingestion_timestamp"),
     "sales_quarantine": lambda s, d: r.quarantine(staged(s, d)).select(*STAGED_COLUMNS, "rejection_reason"),
     "quarantine_counts": lambda s, d: r.rejection_counts(r.quarantine(staged(s, d))),
+    "gold_digest_diff": differing_days,
     "gold_reconcile": reconciled,
     "gold_product_reconcile": reconciled_products,
     "orphan_sales": lambda s, d: r.orphan_sales(
@@ -246,6 +258,10 @@ ORACLE = {
     "gold_daily_sales": _GOLD + "SELECT * FROM daily",
     "gold_monthly_region": _GOLD + "SELECT * FROM monthly",
     "gold_product_perf": _GOLD + "SELECT * FROM performance",
+    "gold_digest_diff": _GOLD + """SELECT *, -1 AS sign FROM daily
+  WHERE (day(sales_date) = 13 AND region = 'ASIA' AND total_revenue_usd IS NOT NULL) OR (sales_date = DATE '1995-06-17' AND region = 'EUROPE')
+UNION ALL SELECT * REPLACE (CAST(total_revenue_usd + 1 AS DECIMAL(38,2)) AS total_revenue_usd), 1 FROM daily
+  WHERE day(sales_date) = 13 AND region = 'ASIA' AND total_revenue_usd IS NOT NULL""",
     "silver_sales": f"WITH {STAGED_SQL} SELECT {_COLUMNS} FROM staged",
     "silver_sales_clean": f"WITH {STAGED_SQL}, ok AS (SELECT * FROM staged WHERE {_REASON} IS NULL) " + _newest("ok"),
     "silver_products": _PRODUCTS,

@@ -2,6 +2,7 @@
 
 from .calendar import date_spine, running_total_by_year, same_day_last_year
 from .checks import anomaly_records, count_check, low_volume, metric_rows
+from .digests import differing_parts, differing_rows, digests, key_range
 from .keyed import KeyedTable
 from .latest import latest_per_key
 from .profile import describe_exact
@@ -14,7 +15,7 @@ from .versioned import VersionedTable
 
 __all__ = [
     "KeyedTable", "VersionedTable", "added", "anomaly_records", "compare_per_key", "compare_totals", "count_check",
-    "current_rows", "date_spine", "describe_exact", "drop_violations", "fold_changes",
-    "latest_per_key", "low_volume", "merge_changes", "metric_rows", "observe_rules", "observed_counts", "of_keys", "rule_metrics",
+    "current_rows", "date_spine", "describe_exact", "differing_parts", "differing_rows", "digests", "drop_violations", "fold_changes",
+    "key_range", "latest_per_key", "low_volume", "merge_changes", "metric_rows", "observe_rules", "observed_counts", "of_keys", "rule_metrics",
     "running_total_by_year", "same_day_last_year", "scd1", "signed_changes", "signed_sums", "tag_rejections", "total", "upsert",
 ]

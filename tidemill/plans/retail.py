@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import as_timestamp, clean_name, fx_rate_to_usd, try_number
@@ -133,7 +133,8 @@ def orphan_sales(sales: DataFrame, stores: DataFrame, products: DataFrame) -> Da
 # the dimension is joined: the join sees one row per day and store, and a store
 # with a third of all sales shrinks on the map side.
 
-def _added_up(sales: DataFrame, *by: str | Column) -> DataFrame:
+def added_up(sales: DataFrame, *by: str | Column) -> DataFrame:
+    """Ids, units and USD of the sales per group."""
     return sales.groupBy(*by).agg(
         F.count("transaction_id").alias("n"), F.sum("quantity").alias("units"), F.sum("total_amount_usd").alias("usd"))
 
@@ -145,7 +146,7 @@ def _totals(**names: str) -> list[Column]:
 
 def daily_sales(sales: DataFrame, stores: DataFrame) -> DataFrame:
     """Transactions, units and USD revenue per day and region; unknown stores fall out."""
-    per_store = _added_up(sales, F.to_date("transaction_timestamp").alias("sales_date"), "store_id")
+    per_store = added_up(sales, F.to_date("transaction_timestamp").alias("sales_date"), "store_id")
     return (per_store.join(stores.select("store_id", "region"), "store_id")
             .groupBy("sales_date", "region")
             .agg(*_totals(n="total_transactions", units="total_quantity", usd="total_revenue_usd")))
@@ -154,7 +155,7 @@ def daily_sales(sales: DataFrame, stores: DataFrame) -> DataFrame:
 def monthly_revenue(sales: DataFrame, stores: DataFrame) -> DataFrame:
     """USD revenue and transactions per year, month and region."""
     when = F.col("transaction_timestamp")
-    per_store = _added_up(sales, F.year(when).alias("year"), F.month(when).alias("month"), "store_id")
+    per_store = added_up(sales, F.year(when).alias("year"), F.month(when).alias("month"), "store_id")
     return (per_store.join(stores.select("store_id", "region"), "store_id")
             .groupBy("year", "month", "region")
             .agg(*_totals(usd="monthly_revenue_usd", n="transactions_count")))
@@ -162,7 +163,10 @@ def monthly_revenue(sales: DataFrame, stores: DataFrame) -> DataFrame:
 
 def product_performance(sales: DataFrame, products: DataFrame) -> DataFrame:
     """Units, USD revenue and transactions per product; unknown products fall out."""
-    per_product = _added_up(sales, "product_id")
+    return products_of_added_up(added_up(sales, "product_id"), products)
+
+
+def products_of_added_up(per_product: DataFrame, products: DataFrame) -> DataFrame:
     return (per_product.join(products.select("product_id", "product_name", "category", "brand"), "product_id")
             .select("product_id", "product_name", "category", "brand",
                     F.col("units").alias("total_units_sold"), F.col("usd").cast("decimal(38,2)").alias("total_revenue_usd"),
@@ -218,19 +222,34 @@ def products_of_sums(per_product: DataFrame, products: DataFrame) -> DataFrame:
 def reconcile(sales: DataFrame, daily: DataFrame) -> DataFrame:
     """Revenue and transactions of the current table against the daily table.
 
-    Deltas are reported rather than equality: sales of unknown stores are in the
-    first and not in the second.
+    The current table holds each transaction once, so its ids are counted, not gathered to be told apart. Deltas are
+    reported rather than equality: sales of unknown stores are in the first and not in the second.
     """
     return compare_totals(sales, daily, {
         "revenue_usd": (F.sum("total_amount_usd"), F.sum("total_revenue_usd")),
-        "transactions": (F.count_distinct("transaction_id"), F.sum("total_transactions")),
+        "transactions": (F.count("transaction_id"), F.sum("total_transactions")),
+    })
+
+
+def reconcile_in_one_pass(sales: DataFrame, stores: DataFrame, path: str) -> DataFrame:
+    """Write the daily table and compare it with the totals of the current sales, which are seen in that same pass."""
+    seen = Observation()
+    observed = sales.observe(seen, F.sum("total_amount_usd").cast("decimal(38,2)").alias("usd"), F.count("transaction_id").alias("n"))
+    daily_sales(observed, stores).write.mode("overwrite").parquet(path)
+    totals = sales.sparkSession.createDataFrame([(seen.get["usd"], seen.get["n"])], "total_amount_usd decimal(38,2), n long")
+    return compare_totals(totals, sales.sparkSession.read.parquet(path), {
+        "revenue_usd": (F.sum("total_amount_usd"), F.sum("total_revenue_usd")),
+        "transactions": (F.sum("n"), F.sum("total_transactions")),
     })
 
 
 def reconcile_products(sales: DataFrame, performance: DataFrame) -> DataFrame:
     """Revenue per product of the current table against the product table."""
-    per_product = sales.groupBy("product_id").agg(F.sum("total_amount_usd").alias("revenue"))
-    return compare_per_key(per_product, performance.withColumnRenamed("total_revenue_usd", "revenue"),
+    return compare_products(added_up(sales, "product_id"), performance)
+
+
+def compare_products(per_product: DataFrame, performance: DataFrame) -> DataFrame:
+    return compare_per_key(per_product.withColumnRenamed("usd", "revenue"), performance.withColumnRenamed("total_revenue_usd", "revenue"),
                            "product_id", "revenue")
 
 
