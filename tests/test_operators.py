@@ -1,6 +1,6 @@
 import random
 import statistics
-from datetime import date
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,6 +152,20 @@ def test_describe_small_columns(spark, values):
     assert [row.p25, row.p50, row.p75] == pytest.approx(want)
 
 
+def test_describe_dates(spark):
+    times = [datetime(2025, 1, 1, 0, 0, 0, 1), datetime(2025, 1, 1, 12), datetime(1999, 12, 31, 23, 59, 59), None, datetime(2031, 5, 5)]
+    days = [date(2025, 1, 1), date(2025, 1, 2), None, date(1960, 2, 29), date(2025, 1, 2)]
+    df = spark.createDataFrame(list(zip(times, days, [None] * 5)), "t timestamp_ntz, d date, none date")
+    got = {r["column"]: r for r in op.describe_dates(df, ["t", "d", "none"]).collect()}
+    for name, values in (("t", times), ("d", [d and datetime(d.year, d.month, d.day) for d in days])):
+        seconds = [(v - datetime(1970, 1, 1)) / timedelta(microseconds=1) for v in values if v]
+        want = [datetime(1970, 1, 1) + timedelta(microseconds=round(q)) for q in statistics.quantiles(seconds, n=4, method="inclusive")]
+        assert all(abs(got[name][p] - w) <= timedelta(microseconds=1) for p, w in zip(("p25", "p50", "p75"), want))
+        assert (got[name]["count"], got[name]["min"], got[name]["max"]) == (4, min(v for v in values if v), max(v for v in values if v))
+        assert abs((got[name]["mean"] - datetime(1970, 1, 1)).total_seconds() - statistics.mean(seconds) / 1e6) <= 0.5
+    assert tuple(got["none"])[1:] == (0, None, None, None, None, None, None)
+
+
 def test_calendar(spark):
     daily = spark.createDataFrame(
         [(date(1999, 2, 28), 5), (date(2000, 2, 28), 1), (date(2000, 2, 29), 2), (date(2000, 3, 1), 4)], "date date, v int")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import as_timestamp
-from ..operators import describe_exact
+from ..operators import describe_dates, describe_exact
 from ..plans import sales as p
 from ..sources import table
 
@@ -40,6 +40,12 @@ def described(spark, d):
     return stats.withColumns({"mean": F.round("mean", 4), "std": F.round("std", 4)})
 
 
+def described_dates(spark, d):
+    """Dates of all sales, and times of the sales with a customer."""
+    sales = till_sales(spark, d)
+    return describe_dates(sales.select("date", F.when(F.col("customer_id").isNotNull(), F.col("date")).alias("customer_date")), ["date", "customer_date"])
+
+
 def parsed_times(spark, d):
     """Both ways of reading a time: day-first pattern and default form, with unreadable values."""
     o = table(spark, d, "orders")
@@ -64,6 +70,7 @@ QUERIES = {
     "sales_store_stats": store_stats,
     "sales_basket": lambda s, d: p.average_basket(till_sales(s, d)),
     "sales_describe": described,
+    "sales_describe_dates": described_dates,
     "sales_fillna": lambda s, d: p.fill_missing(till_sales(s, d)),
     "sales_dedup": lambda s, d: p.deduplicate(delivered_twice(s, d)),
     "etl_sales": lambda s, d: p.transform(delivered_twice(s, d)),
@@ -92,7 +99,16 @@ def _described(c: str) -> str:
   max({v}) AS max FROM sales"""
 
 
+def _described_date(name: str, c: str) -> str:
+    v, at = f"CAST(date_diff('day', DATE '1970-01-01', {c}) AS DOUBLE)", "make_timestamp(CAST(round({} * 86400) AS BIGINT) * 1000000)"
+    quartiles = ", ".join(at.format(f"quantile_cont({v}, {q / 100})") + f" AS p{q}" for q in (25, 50, 75))
+    return f"""SELECT '{name}' AS "column", count({c}) AS count, {at.format(f"avg({v})")} AS mean, {at.format(f"min({v})")} AS min, {quartiles},
+  {at.format(f"max({v})")} AS max FROM sales"""
+
+
 ORACLE = {
+    "sales_describe_dates": _SALES + _described_date("date", "date") + " UNION ALL " + _described_date(
+        "customer_date", "CASE WHEN customer_id IS NOT NULL THEN date END"),
     "sales_subset": _SALES + "SELECT transaction_id, date, total FROM sales",
     "sales_date_range": _SALES + "SELECT * FROM sales WHERE date >= DATE '1997-10-01' AND date <= DATE '1997-10-10'",
     "sales_effective_price": _SALES + "SELECT * FROM priced",

@@ -1,4 +1,4 @@
-"""Exact descriptive statistics of numeric columns."""
+"""Exact descriptive statistics of numeric, date and time columns."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 PERCENTS = (0.25, 0.5, 0.75)
 #: Parts into which a round cuts each range that holds a wanted rank.
 PARTS = 1024
@@ -59,9 +61,11 @@ def describe_exact(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, std, min, quartiles and max per column, one row each.
 
     Quartiles are exact and interpolated, yet no task holds a column and no sketch grows with the number of tasks.
-    Nulls and NaN are not counted; a column without values has only nulls beside its count.
+    Nulls and NaN are not counted; a column without values has only nulls beside its count. The columns are written
+    to the shared folder once, as each round reads them.
     """
-    v = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
+    df = stored(df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns]), "profiled")
+    v = {c: F.col(c) for c in columns}
     moments = df.agg(*[
         F.struct(F.count(v[c]).alias("count"), F.avg(v[c]).alias("mean"), F.stddev_samp(v[c]).alias("std"),
                  F.min(v[c]).alias("min"), F.max(v[c]).alias("max")).alias(c)
@@ -82,3 +86,20 @@ def describe_exact(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     rows = [(c, *moments[c][:4], *[quartile(c, p) for p in PERCENTS], moments[c]["max"]) for c in columns]
     shape = ", ".join(f"{x} double" for x in ("mean", "std", "min", *names, "max"))
     return df.sparkSession.createDataFrame(rows, f"column string, count bigint, {shape}")
+
+
+def describe_dates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """count, mean, min, quartiles and max per date or time column, one row each, as times without a zone.
+
+    Quartiles of dates are exact, those of times to the microsecond; means are rounded to the second. Dates count from midnight.
+    """
+    kinds = {c: df.schema[c].dataType.typeName() for c in columns}
+    micros = {"date": F.unix_date, "timestamp": F.unix_micros, "timestamp_ntz": lambda c: F.unix_micros(F.col(c).cast("timestamp"))}
+    stats = describe_exact(df.select(*[micros[kinds[c]](c).alias(c) for c in columns]), columns)
+    unit = F.when(F.col("column").isin([c for c in columns if kinds[c] == "date"]), F.lit(86_400_000_000.0)).otherwise(F.lit(1.0))
+
+    def time(c: str, to: float = 1.0) -> Column:
+        return F.timestamp_micros((F.round(F.col(c) * unit / to) * to).cast("long")).cast("timestamp_ntz").alias(c)
+
+    names = [f"p{int(p * 100)}" for p in PERCENTS]
+    return stats.select("column", "count", time("mean", 1e6), *[time(c) for c in ("min", *names, "max")])
