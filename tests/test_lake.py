@@ -142,3 +142,37 @@ def test_create_again_keeps_old_versions(spark, tmp_path, rows):
     assert table.create(spark.createDataFrame([(9, "c")], "x int, p string")) == 2
     assert rows(table.read()) == [(9, "c")]
     assert rows(table.read(0)) == [(1, "a"), (2, "b")] and table.read(1).count() == 3
+
+
+@pytest.mark.parametrize("second", ["uniform", "skewed", "text", "date"])
+def test_filters_on_either_column_skip_most_files(spark, tmp_path, second):
+    """Files by their recorded ranges: of 64 files along the curve a narrow filter on any of two columns touches few."""
+    column = {"uniform": "cast(rand(2) * 10000 as int)", "skewed": "cast(pow(rand(2), 8) * 1000000 as int)",
+              "text": "concat('k', lpad(cast(rand(2) * 10000 as int), 5, '0'))", "date": "date_add(date '2020-01-01', cast(rand(2) * 10000 as int))"}[second]
+    rows = spark.sql(f"SELECT 'AU' AS country, cast(rand(1) * 10000 as int) AS a, if(id % 50 = 0, null, {column}) AS b, id FROM range(40000)")
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    t = VersionedTable(spark, str(tmp_path / "t"), ["country"])
+    t.create(rows)
+    t.cluster("a", "b", files=64)
+    assert t.read().exceptAll(rows.select(t.read().columns)).count() == 0 and t.read().count() == 40000
+    files = t.read(with_files=True).groupBy("file_path").agg(*[f(c).alias(f"{n}_{c}") for c in ("a", "b") for n, f in (("lo", F.min), ("hi", F.max))])
+    files = files.collect()
+    assert 50 <= len(files) <= 80
+    for c in ("a", "b"):
+        values = sorted(r[c] for r in rows.where(f"{c} is not null").collect())
+        for at in (0.1, 0.5, 0.9):
+            low, high = values[int(at * len(values))], values[int((at + 0.01) * len(values))]
+            touched = [f for f in files if f[f"lo_{c}"] is not None and f[f"lo_{c}"] <= high and f[f"hi_{c}"] >= low]
+            assert len(touched) <= 24, (c, at, len(touched))
+
+
+def test_clustering_one_column_and_empty_tables(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"), ["country"])
+    t.create(spark.createDataFrame([], "country string, a int, b int"))
+    t.cluster("a", "b")
+    assert t.read().count() == 0
+    t.append(spark.createDataFrame([("AU", 2, None), ("AU", None, 1), ("UK", 1, 1)], "country string, a int, b int"))
+    t.cluster("a")
+    t.cluster("b", "a")
+    assert t.read().count() == 3

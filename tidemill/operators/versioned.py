@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .layout import curve
 from .upsert import upsert
 
 _HISTORY = T.StructType([
@@ -185,18 +186,20 @@ class VersionedTable:
         before = self._entry(None)
         return self._replace("OPTIMIZE", None, before, self._detail(before).where("files > 1"), lambda rows: rows)
 
-    def cluster(self, column: str) -> int:
-        """Rewrite every partition in ranges of a column, so file statistics can skip on it.
+    def cluster(self, *columns: str, files: int | None = None) -> int:
+        """Rewrite every partition in ranges of a column, or along a curve through several, so file statistics can skip on each.
 
         The place of a row in its old file ends the range key: rows that share
-        the column's value, even whole copies, can then go to several tasks.
+        the columns' values, even whole copies, can then go to several tasks. ``files`` is how many ranges there are.
         """
         before = self._entry(None)
-        order = [*self.partition_by, column]
-        place = F.xxhash64("file_path", "row_index")
-        rows = (self._read(before, ("file_path", "row_index")).repartitionByRange(*order, place)
-                .sortWithinPartitions(*order).drop("file_path", "row_index"))
-        return self._commit("CLUSTER", column, rows, _schema_of(before), None, before)
+        rows = self._read(before, ("file_path", "row_index"))
+        along = "_curve"
+        rows = rows.withColumn(along, F.col(columns[0]) if len(columns) == 1 else curve(rows, columns))
+        order = [*self.partition_by, along]
+        keys = [*order, F.xxhash64("file_path", "row_index")]
+        ranged = rows.repartitionByRange(files, *keys) if files else rows.repartitionByRange(*keys)
+        return self._commit("CLUSTER", ", ".join(columns), ranged.sortWithinPartitions(*order).drop("file_path", "row_index", along), _schema_of(before), None, before)
 
     def _spread(self, df: DataFrame) -> DataFrame:
         # Rebalancing gathers each partition's rows but splits one that is too large for a task.
