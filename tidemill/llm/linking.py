@@ -61,13 +61,15 @@ def mixed(grouped: DataFrame) -> DataFrame:
     return grouped.join(tokens, "token")
 
 
-def leads(grouped: DataFrame, seed: int) -> DataFrame:
+def leads(grouped: DataFrame, seed: int, place: str | None = None) -> DataFrame:
     """(a, b): each node of a token that holds two groups, and the lead of another group with which it shares most tokens.
 
-    The lead of a token is its first node in an order shuffled by ``seed``. A node has one lead at most, so the
-    pairs do not outgrow the nodes however many share a token.
+    The lead of a token is its first node by ``place``, a number from 0 below 2^23, if that is given, and else or among equals in
+    an order shuffled by ``seed``. A node has one lead at most, so the pairs do not outgrow the nodes however many share a token.
     """
     h = F.xxhash64("node", F.lit(seed))
+    if place:
+        h = F.shiftleft(F.col(place).cast("long"), 40) + F.shiftrightunsigned(h, 24)
     order = grouped.withColumn("h", h).groupBy("token").agg(
         F.min_by("node", "h").alias("lead"), F.min_by("group", "h").alias("lead_group"), F.min("group").alias("x"), F.max("group").alias("y"))
     met = grouped.join(order.where("x <> y").drop("x", "y"), "token").where(F.col("group") != F.col("lead_group"))

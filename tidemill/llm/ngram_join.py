@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from .bits import texts_of
-from .linking import components
+from .linking import components, leads, mixed, with_groups
 from .tokens import Words, chunks, mix, randoms
 
 #: Cells of the frequency sketch: its size is fixed, whatever the data.
@@ -29,6 +29,8 @@ FRAGMENTS = 8
 CHUNK = 1 << 19
 #: Longs of a set's parity sketch: each n-gram flips one bit, so two sketches differ in no more bits than the sets in n-grams.
 SKETCH = 8
+#: Rounds in which groups meet leads before all remaining pairs meet; they save work and change no result.
+ROUNDS = 2
 
 
 def _shingles(column: pa.Array, n: int) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -47,16 +49,16 @@ def frequency_classes(docs: DataFrame, text: str, n: int) -> np.ndarray:
         for batch in chunks(batches, "text", CHUNK):
             _, value, _ = _shingles(batch["text"], n)
             cells += np.bincount((value % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-        # Two cells to a row, the second in the upper half of the number.
-        packed = cells[::2] + (cells[1::2] << 32)
-        used = np.flatnonzero(packed)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(packed[used])], ["cell", "n"])
-
-    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "cell int, n bigint")
-    sums = rows.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS / 2 rows at most.
-    packed = np.zeros(CELLS // 2, np.uint64)
-    packed[sums["cell"].to_numpy()] = sums["n"].to_numpy().view(np.uint64)
-    total = np.stack([packed & np.uint64(0xFFFFFFFF), packed >> np.uint64(32)], 1).ravel()
+        # Two cells to a row.
+        pairs = cells.reshape(-1, 2)
+        used = np.flatnonzero(pairs.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(pairs[used, 0]), pa.array(pairs[used, 1])], ["pair", "first", "second"])
+
+    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "pair int, first bigint, second bigint")
+    sums = rows.groupBy("pair").agg(F.sum("first").alias("first"), F.sum("second").alias("second")).toArrow()  # CELLS / 2 rows at most.
+    total = np.zeros((CELLS // 2, 2), np.int64)
+    total[sums["pair"].to_numpy()] = np.stack([sums["first"].to_numpy(), sums["second"].to_numpy()], 1)
+    total = total.ravel()
     usual = max(float(np.median(total)), 1.0)
     return np.searchsorted(np.array(CLASSES) * usual, total, "right").astype(np.uint8)
 
@@ -177,41 +179,43 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text:
     return summed.where(F.col("shared") >= _needed(F.col("m"), F.col("n"), percent)).select("a", "b")
 
 
-def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of ``docs``: key, ``hash`` of the text, ``n_shingles``, ``component_id``, and the ``group``'s number.
 
     Words are runs without ASCII white space, A-Z lowered; a document's set holds its distinct runs of ``n`` words, or
     the whole sequence if shorter. Documents link when inter / union reaches ``percent`` / 100, and the component is
     the smallest key reachable by links. Rows without words or text link with nothing and name themselves, repeated
     rows share a component, and null keys come last: a group of null keys has a null component. Empty tables stay empty.
+    Texts are read whole: a task needs some 100 bytes of memory per byte of its longest one.
 
-    Equal sets become one node. Nodes that share an n-gram of their prefixes are candidates; first each meets
-    the leading node of a bucket, and once the links found are joined up only pairs of still separate groups remain.
-    Those leave the join only if place and parity sketch allow enough overlap. So near copies that do link cost a few pairs per member,
-    and no link between separate groups is missed.
+    Equal sets become one node. Nodes that share an n-gram of their prefixes are candidates. In some ``rounds`` each node of
+    a bucket with several groups meets one lead of another group, and the links found join up groups; then all pairs of still
+    separate groups meet. Those leave the join only if place and parity sketch allow enough overlap. So near copies that do
+    link cost a few pairs per member, and no link between separate groups is missed.
     """
     sketch = [f"s{j}" for j in range(SKETCH)]
     classes = frequency_classes(docs, text, n)
     rows = stored(_signatures(docs, key, text, n, percent, classes), "signatures")
     filled = rows.where("size > 0")
-    sets = filled.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.count("*").alias("copies"))
+    sets = filled.groupBy("d1", "d2").agg(F.min("row").alias("node"))
     nodes = stored(rows.join(sets.select("node"), F.col("row") == F.col("node")).select("node", "key", "hash", "size", *sketch, "prefix"), "nodes")
     tokens = nodes.select(F.posexplode("prefix").alias("place", "token"), "node", "size")
-    shared = tokens.groupBy("token").agg(F.min("node").alias("lead"), F.count("*").alias("many")).where("many > 1").drop("many")
-    buckets = stored(tokens.join(shared.select("token", "lead"), "token"), "buckets")
-
-    sized = nodes.select(F.col("node").alias("lead"), F.col("size").alias("lead_size"))
-    # Each node meets the first node with which it shares most.
-    stars = buckets.where("lead <> node").groupBy("lead", "node", "size").agg(F.count("*").alias("tokens"))
-    stars = stars.groupBy("node", "size").agg(F.max_by("lead", F.struct("tokens", -F.col("lead"))).alias("lead")).join(sized, "lead")
-    stars = stars.where(100 * F.least("size", "lead_size") >= percent * F.greatest("size", "lead_size"))
-    tried = stored(_possible(stars.select(F.col("lead").alias("a"), F.col("node").alias("b")), nodes, percent), "possible")
-    links = stored(_linked(tried, docs, nodes, key, text, n, percent, classes), "links")
-    names = components(links)
-    group = F.coalesce(F.col("component"), F.col("node"))
-    named = buckets.drop("lead").join(names, "node", "left").withColumn("group", group).drop("component")
-    mixed = named.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("token")
-    apart = named.join(mixed, "token").join(nodes.select("node", *sketch), "node")
+    shared = tokens.groupBy("token").agg(F.count("*").alias("many")).where("many > 1").select("token")
+    buckets = stored(tokens.join(shared, "token"), "buckets")
+
+    links, tried, names = None, None, None
+    for turn in range(rounds):
+        # First the node of a token with the fewest rare n-grams of its own: the likely origin of its near copies.
+        pairs = leads(with_groups(buckets, names), turn, None if turn else "place")
+        pairs = stored(_possible(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), nodes, percent), "possible")
+        if not pairs.limit(1).count():
+            continue
+        found = stored(_linked(pairs, docs, nodes, key, text, n, percent, classes), "links")
+        links, tried = found if links is None else links.union(found), pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
+        names = stored(components(links), "components")
+        # Tokens of one group have done their work.
+        buckets = stored(mixed(with_groups(buckets, names)).drop("group"), "buckets")
+    apart = mixed(with_groups(buckets, names)).join(nodes.select("node", *sketch), "node")
     l, r = (apart.select([F.col(c).alias(f"{c}_{side}") for c in apart.columns]) for side in "ab")
     need = _needed(F.col("size_a"), F.col("size_b"), percent)
     # The first n-gram that two similar sets share has enough left behind it in both.
@@ -219,11 +223,14 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     apart_bits = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in sketch[1:]), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
     met = l.join(r, (F.col("token_a") == F.col("token_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("group_a") != F.col("group_b")) & (reach >= need)
                  & (apart_bits <= F.col("size_a") + F.col("size_b") - 2 * need))
-    pairs = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    if tried is not None:
+        pairs = pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     rest = stored(_possible(pairs, nodes, percent), "possible")
     if rest.limit(1).count():
-        names = components(links.union(_linked(rest, docs, nodes, key, text, n, percent, classes)))
-    members = filled.join(sets.drop("copies"), ["d1", "d2"]).join(names, "node", "left").select("key", "hash", "size", F.coalesce("component", "node").alias("group"))
+        found = _linked(rest, docs, nodes, key, text, n, percent, classes)
+        names = components(found if links is None else links.union(found))
+    members = with_groups(filled.join(sets, ["d1", "d2"]).select("key", "hash", "size", "node"), names)
     least = members.groupBy("group").agg(F.min("key").alias("component_id"))
     joined = members.join(least, "group").select("key", "hash", "size", "component_id", "group")
     alone = rows.where("size = 0").select("key", "hash", "size", F.col("key").alias("component_id"), F.col("row").alias("group"))
