@@ -22,7 +22,7 @@ from .tokens import chunks, mix, utf8, window_min
 LENGTH, GRAM = 200, 72
 #: Bits of the filter that keeps most lone anchors out of the shuffle, whatever the data.
 FILTER_BITS = 1 << 25
-#: An anchor with more different surroundings than this is settled string by string instead of in one group.
+#: An anchor with more different surroundings than this is settled string by string, by digests, instead of in one group; the result is the same.
 GROUP = 4096
 #: Suffixes sorted together in a task.
 BLOCK = 8192
@@ -60,9 +60,8 @@ class Hashes:
 
 
 def _anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each anchor: row, place, first and last start of the strings it owns (within ``data``), and three hashes:
-    of its bytes and, by two bases, of all bytes of its strings."""
-    none = tuple(np.zeros(0, t) for t in (np.int64,) * 4 + (np.uint64,) * 3)
+    """For each anchor: row, place, first and last start of the strings it owns (within ``data``), and a hash of its bytes."""
+    none = tuple(np.zeros(0, t) for t in (np.int64,) * 4 + (np.uint64,))
     if len(data) < LENGTH:
         return none
     hashes = Hashes(data)
@@ -81,9 +80,15 @@ def _anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(starts)]]) - 1
     place, lo, hi = owner[first], starts[first], starts[last]
-    shape = mix((place - lo).astype(np.uint64) * np.uint64(1 << 32) + (hi - lo).astype(np.uint64))
-    around = [mix(h.of(lo, hi + LENGTH) ^ shape) for h in (hashes, Hashes(data, _BASES[1]))]
-    return row[first], place, lo, hi, gram[place], *around
+    return row[first], place, lo, hi, gram[place]
+
+
+def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A cryptographic digest of 128 bits of the bytes of each range, as two longs: equal ones stand for equal bytes, whoever wrote them."""
+    whole = memoryview(np.ascontiguousarray(data))
+    found = b"".join(hashlib.blake2b(whole[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist()))
+    pairs = np.frombuffer(found, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def _extension(hashes: Hashes, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -226,7 +231,7 @@ def repeats(docs: DataFrame, id_kind: str) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in chunks(batches, "text"):
                 data, bounds = utf8(batch["text"])
-                row, place, lo, hi, gram, c1, c2 = _anchors(data, bounds)
+                row, place, lo, hi, gram = _anchors(data, bounds)
                 if keep is None:
                     yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64))], ["gram"])
                     continue
@@ -234,7 +239,7 @@ def repeats(docs: DataFrame, id_kind: str) -> DataFrame:
                 base, rows = bounds[row[k]], pa.array(row[k])
                 yield pa.RecordBatch.from_arrays(
                     [batch["id"].take(rows), batch["hash"].take(rows)] + [pa.array((x[k] - base).astype(np.int32)) for x in (place, lo, hi)]
-                    + [pa.array(x[k].view(np.int64)) for x in (gram, c1, c2)], [c.split()[0] for c in anchor_columns.split(", ")])
+                    + [pa.array(gram[k].view(np.int64)), *map(pa.array, _digests(data, lo[k], hi[k] + LENGTH))], [c.split()[0] for c in anchor_columns.split(", ")])
         return work
 
     grams = docs.select("text").mapInArrow(scan(None), "gram bigint")
@@ -243,7 +248,7 @@ def repeats(docs: DataFrame, id_kind: str) -> DataFrame:
     anchors = stored(anchors.join(twice, "gram", "left_semi"), "anchors")
 
     around = stored(anchors.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("hash", "id", "place", "lo", "hi")).alias("one")), "around")
-    # Equal surroundings hold equal strings only.
+    # Equal surroundings, by their digests, hold equal strings only.
     settled = anchors.join(around.where("n > 1").select("gram", "c1", "c2"), ["gram", "c1", "c2"], "left_semi").select("id", "hash", "lo", "hi")
     # Of anchors that are alike but differ around them, each kind is sorted once.
     kinds = around.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
@@ -307,7 +312,7 @@ def repeats(docs: DataFrame, id_kind: str) -> DataFrame:
                 row = np.repeat(np.arange(part.num_rows), count)
                 offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
                 start = bounds[row] + offset
-                values = [mix(Hashes(data, base).of(start, start + LENGTH)).view(np.int64) for base in _BASES]
+                values = _digests(data, start, start + LENGTH)
                 rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays([part["id"].take(rows), part["hash"].take(rows), pa.array((part["lo"].to_numpy()[row] + offset).astype(np.int32)), *map(pa.array, values)],
                                                  ["id", "hash", "lo", "v1", "v2"])
@@ -346,7 +351,8 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     A byte goes if a string of LENGTH bytes over it also starts at another place of any text, the same one included.
     Strings are judged on the texts as given and never cross documents; overlapping repeats count, and so do equal
     rows, each of which is a document. Null texts are empty. ``kept`` is null where nothing was removed: the text
-    stands as it is. Keys may be null or repeated: rows are told apart by key and hash of the text.
+    stands as it is. Keys may be null or repeated: rows are told apart by key and hash of the text. Empty tables stay empty.
+    Texts are read whole: a task needs some 100 bytes of memory per byte of its longest one.
     """
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).cast("string").alias("text"))
     id_kind = docs.schema[key].dataType.simpleString()
