@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.llm import divergence, linking, minmax, secrets, warc, whitening
+from tidemill.llm import decontam, divergence, linking, minmax, mixing, ngram_join, quality, secrets, sharding, suffix, warc, whitening
 
 from .conftest import ODD, prose
 from .test_operators import corpus, groups_of
@@ -389,3 +389,44 @@ def test_spans_inside_base_matches_add_nothing():
 
 def test_secrets_of_an_empty_table(documents):
     assert documents([]).select(secrets.secrets(F.col("text")).alias("s")).select("s.*").count() == 0
+
+
+# Very long texts.
+
+@pytest.fixture(scope="module")
+def long_texts():
+    """20 MB without a break, and 20 MB of words in which a passage comes twice."""
+    rng = random.Random(6)
+    words = rng.choices([f"w{i}x{i * 7}" for i in range(200_000)], k=1_700_000)
+    return [(1, "x" * 20_000_000), (2, " ".join(words)), (3, "short text"), (4, " ".join(words[:60]))]
+
+
+@pytest.mark.parametrize("operator", ["quality", "decontam", "ngram_join", "suffix", "secrets", "divergence", "sharding", "mixing", "warc"])
+def test_long_texts(spark, documents, long_texts, operator):
+    docs = documents(long_texts)
+    if operator == "quality":
+        got = {r["doc_id"]: (r["n_words"], r["kept"]) for r in quality.assess(docs).select("doc_id", "quality.*").collect()}
+        assert (got[1], got[2][0], got[3]) == ((1, False), 1_700_000, (2, False))
+    elif operator == "decontam":
+        bench = spark.createDataFrame([(7, " ".join(long_texts[3][1].split()[20:50]))], "item_id long, text string")
+        assert {(r["doc_id"], r["start_word"]) for r in decontam.contaminations(docs, bench, ["doc_id"]).collect()} == {(2, 20), (4, 20)}
+    elif operator == "ngram_join":
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_groups(docs).collect()}
+        assert got[1] == (1, 1) and got[2][0] > 1_600_000 and got[4] == (56, 4)
+    elif operator == "suffix":
+        got = {r["doc_id"]: r["n_removed"] for r in suffix.cut_repeats(docs).collect()}
+        assert (got[1], got[3], got[4]) == (20_000_000, 0, len(long_texts[3][1])) and got[2] >= got[4]
+    elif operator == "secrets":
+        assert {r["spans"] for r in docs.select(secrets.secrets(F.col("text")).alias("s")).select("s.*").collect()} == {""}
+    elif operator == "divergence":
+        got = divergence.audit(docs, least_docs=1).collect()
+        assert {r["part"] for r in got} == {"pair", "term"}
+    elif operator == "sharding":
+        assert sharding.shard(docs, [F.col("doc_id")], 3).select("shard").distinct().count() == 3
+    elif operator == "mixing":
+        rows = docs.select("doc_id", "source", mixing.words_in(F.col("text")).alias("words"))
+        assert mixing.mix(rows, F.col("source"), F.col("words"), F.col("doc_id")).count() == 4
+    else:
+        pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+        got = {r["record_id"]: r["payload_bytes"] for r in warc.round_trip(spark, pages, width=1 << 20, columns=["record_id", "payload_bytes"]).collect()}
+        assert got == {str(i): len(t) for i, t in long_texts}

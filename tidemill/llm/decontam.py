@@ -80,7 +80,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, keys: list[str], text:
     shift between document and item, and the words around it are compared: at least ``share`` of some ``window``
     words in a row (of the whole item if shorter) must agree. At the given window and share every such place is hit by a
     seed. Items under LEAST_WORDS words match where all their words agree. Null and empty texts match nothing. Repeated documents are reported for each row, repeated items for each item; of several
-    places the one with most matches is given, the first of equals. Empty tables give an empty result.
+    places the one with most matches is given, the first of equals. Empty tables give an empty result. A passage that many
+    items share makes a row for each of them and each document that holds it. Texts are read whole: a task needs some 100 bytes of
+    memory per byte of its longest one.
 
     A filter of fixed size keeps most documents without any hit out of the shuffle; the join decides.
     """

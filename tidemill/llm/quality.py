@@ -170,6 +170,6 @@ def assess(df: DataFrame, text: str = "text", lang: str = "lang", **limits: floa
     own. A distance above its limit rejects; texts shorter than the guard of a distance are not judged by it, and
     the limit of the word distance falls with the length, as short samples stray further from any reference. Null and empty texts have counts of 0 and fail the base rule.
     Equal rows get equal verdicts, and an empty table stays empty. An input column ``quality`` is replaced.
-    The texts are read twice and never shuffled.
+    The texts are read twice and never shuffled. Texts are read whole: a task needs some 150 bytes of memory per byte of its longest one.
     """
     return judge(df.withColumn("__tidemill_stats", counted(F.col(text))), lang, "__tidemill_stats", **limits).drop("__tidemill_stats")
