@@ -53,6 +53,22 @@ def test_scd1_hot_key_is_reduced_before_the_shuffle(spark):
     assert "partial_max" in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_scd1_sorts_plain_columns_and_stores_the_order_once(spark):
+    """Structs of order and value are made in the aggregation, after its sort."""
+    df = spark.createDataFrame(changes(), CHANGES).repartition(4)
+    assert "partial_max(CASE WHEN" in op.scd1(df, ["k"], ["seq"])._jdf.queryExecution().executedPlan().toString()
+    state = op.fold_changes(df, ["k"], ["seq"])
+    assert [f.name for f in state.schema if f.dataType.typeName() == "struct"] == ["_at", "_own"]
+
+
+def test_scd1_of_few_changes_moves_rows_once_and_as_they_are(spark):
+    df = spark.createDataFrame(changes(), CHANGES).repartition(4)
+    got = op.scd1(df, ["k"], ["seq"], ["a", "b"], few=True)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == newest_non_null(changes())
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.index("partial_max") < plan.index("Exchange hashpartitioning(k")
+
+
 def test_latest_per_key_ties_and_nulls(spark, rows):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 1, "y"), ("a", None, "z"), ("b", None, "q")], "k string, ts int, v string")
     got = op.latest_per_key(df, ["k"], [F.col("ts").desc_nulls_last()])

@@ -9,7 +9,7 @@ from .layout import curve
 from .profile import describe_dates, describe_exact
 from .reconcile import compare_per_key, compare_totals
 from .rules import drop_violations, observe_rules, observed_counts, rule_metrics, tag_rejections
-from .scd1 import current_rows, fold_changes, merge_changes, scd1
+from .scd1 import changed_rows, current_rows, fold_changes, merge_changes, scd1
 from .signed import added, of_keys, signed_changes, signed_sums, total
 from .upsert import upsert
 from .versioned import VersionedTable

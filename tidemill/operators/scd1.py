@@ -1,11 +1,16 @@
 """Type-1 state per key that ignores null updates.
 
-Each column keeps its own newest non-null value. A change row is therefore
-folded into one ``struct(sequence, tie, value)`` per column, and two states merge by
-taking the larger struct. The tie belongs to the whole row, so among rows of equal
-sequence one row goes before the others in all its columns. That merge is associative, commutative and idempotent:
-it combines on the map side (a hot key shrinks to one row per task), it accepts
-batches in any order, and replaying a batch changes nothing.
+Each column keeps its own newest non-null value. Two states merge by taking, for each column, the larger
+``struct(order, value)``, where the order of a change row is its sequence and a tie. The tie belongs to the whole row, so
+among rows of equal sequence one row goes before the others in all its columns. That merge is associative, commutative and
+idempotent: it accepts batches in any order, and replaying a batch changes nothing.
+
+A state row holds the values as plain columns, the newest order of them all in ``AT``, and in ``OWN`` the order of each
+column that is older than that; most rows need none. Wide structs exist only inside the aggregation, so sorts and stored
+rows carry the order once and not once per column.
+
+By default the merge combines before the shuffle, so a hot key shrinks to one row per task. With ``few``, for keys that have
+few rows each, rows are shuffled as they are, which moves less; a key with very many rows is then one task's work.
 """
 
 from __future__ import annotations
@@ -15,33 +20,77 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+AT, OWN = "_at", "_own"
+
 
 def fold_changes(df: DataFrame, keys: Sequence[str], sequence_by: Sequence[str],
-                 columns: Sequence[str] | None = None, tie: Column | None = None) -> DataFrame:
+                 columns: Sequence[str] | None = None, tie: Column | None = None, few: bool = False) -> DataFrame:
     """One state row per key from raw change rows; ``tie`` orders rows of equal sequence, by default a hash of the row."""
     columns = columns or [c for c in df.columns if c not in keys]
-    sequence = [F.col(s).alias(f"s{i}") for i, s in enumerate(sequence_by)]
-    tie = F.xxhash64(*df.columns) if tie is None else tie
-    stamped = df.select(*keys, *[
-        F.when(F.col(c).isNotNull(), F.struct(*sequence, tie.alias("tie"), F.col(c).alias("value"))).alias(c)
-        for c in columns
-    ])
-    return merge_changes(stamped, keys)
+    return _compact(_newest(_ordered(df, keys, sequence_by, columns, tie), keys, columns, few), keys, columns)
 
 
-def merge_changes(states: DataFrame, keys: Sequence[str]) -> DataFrame:
+def merge_changes(states: DataFrame, keys: Sequence[str], few: bool = False) -> DataFrame:
     """Merge any number of state rows per key into one."""
-    rest = [c for c in states.columns if c not in keys]
-    return states.groupBy(*keys).agg(*[F.max(c).alias(c) for c in rest])
+    columns = _values(states, keys)
+    return _compact(_newest(states, keys, columns, few), keys, columns)
 
 
 def current_rows(states: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Plain rows from merged state."""
-    rest = [c for c in states.columns if c not in keys]
-    return states.select(*keys, *[F.col(f"{c}.value").alias(c) for c in rest])
+    return states.select(*keys, *_values(states, keys))
 
 
 def scd1(df: DataFrame, keys: Sequence[str], sequence_by: Sequence[str],
-         columns: Sequence[str] | None = None, tie: Column | None = None) -> DataFrame:
+         columns: Sequence[str] | None = None, tie: Column | None = None, few: bool = False) -> DataFrame:
     """Batch form: the current row of every key."""
-    return current_rows(fold_changes(df, keys, sequence_by, columns, tie), keys)
+    columns = columns or [c for c in df.columns if c not in keys]
+    newest = _newest(_ordered(df, keys, sequence_by, columns, tie), keys, columns, few)
+    return newest.select(*keys, *[F.col(f"{c}.value").alias(c) for c in columns])
+
+
+def changed_rows(states: DataFrame, keys: Sequence[str], fresh: str) -> DataFrame:
+    """Signed rows of the keys that the state rows marked ``fresh`` change: the merged row without them (-1), and with them (+1).
+
+    States are shuffled once for both. A key without fresh rows, or with equal rows, gives none.
+    """
+    columns = [c for c in _values(states, keys) if c != fresh]
+    before = [F.max(F.when(~F.col(fresh), _stamped(c, True))).alias(f"{i}") for i, c in enumerate(columns)]
+    after = [F.max(_stamped(c, True)).alias(f"{len(columns) + i}") for i, c in enumerate(columns)]
+    met = states.repartition(*keys).groupBy(*keys).agg(F.bool_or(fresh).alias("_fresh"), F.bool_or(~F.col(fresh)).alias("_known"), *before, *after).where("_fresh")
+
+    def row(first: int) -> list[Column]:
+        return [F.col(f"`{first + i}`.value").alias(c) for i, c in enumerate(columns)]
+    old, new = F.struct(*row(0)), F.struct(*row(len(columns)))
+    signed = F.array(F.when(F.col("_known"), F.struct(F.lit(-1).alias("sign"), old.alias("r"))), F.struct(F.lit(1).alias("sign"), new.alias("r")))
+    changed = met.where(~F.col("_known") | ~old.eqNullSafe(new)).select(*keys, F.explode(signed).alias("_c")).where("_c is not null")
+    return changed.select(*keys, *[F.col(f"_c.r.{c}").alias(c) for c in columns], F.col("_c.sign").alias("sign"))
+
+
+def _values(states: DataFrame, keys: Sequence[str]) -> list[str]:
+    return [c for c in states.columns if c not in (*keys, AT, OWN)]
+
+
+def _ordered(df: DataFrame, keys: Sequence[str], sequence_by: Sequence[str], columns: Sequence[str], tie: Column | None) -> DataFrame:
+    """Change rows with their order."""
+    tie = F.xxhash64(*df.columns) if tie is None else tie
+    return df.select(*keys, *columns, F.struct(*[F.col(s).alias(f"s{i}") for i, s in enumerate(sequence_by)], tie.alias("tie")).alias(AT))
+
+
+def _stamped(column: str, own: bool) -> Column:
+    order = F.coalesce(F.col(f"{OWN}.{column}"), F.col(AT)) if own else F.col(AT)
+    return F.when(F.col(column).isNotNull(), F.struct(order.alias("order"), F.col(column).alias("value")))
+
+
+def _newest(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], few: bool) -> DataFrame:
+    """Per key and column ``struct(order, value)`` of the newest value. The structs are made after the sort of the aggregation."""
+    rows = rows.repartition(*keys) if few else rows
+    return rows.groupBy(*keys).agg(*[F.max(_stamped(c, OWN in rows.columns)).alias(c) for c in columns])
+
+
+def _compact(newest: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    orders = [F.col(f"{c}.order") for c in columns]
+    at = newest.withColumn(AT, F.greatest(*orders) if len(orders) > 1 else orders[0])
+    older = [F.when(order < F.col(AT), order).alias(c) for c, order in zip(columns, orders, strict=True)]
+    own = F.when(F.coalesce(*older).isNotNull(), F.struct(*older))
+    return at.select(*keys, *[F.col(f"{c}.value").alias(c) for c in columns], AT, own.alias(OWN))

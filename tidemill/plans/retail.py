@@ -72,7 +72,7 @@ def stage_stores(bronze: DataFrame) -> DataFrame:
 # Current rows ----------------------------------------------------------------
 
 def current_sales(staged: DataFrame, sequence_by: Sequence[str] = ("ingestion_timestamp",)) -> DataFrame:
-    return scd1(staged, ["transaction_id"], sequence_by)
+    return scd1(staged, ["transaction_id"], sequence_by, few=True)  # A transaction changes a few times.
 
 
 def current_products(staged: DataFrame, sequence_by: Sequence[str] = ("ingestion_timestamp",)) -> DataFrame:
