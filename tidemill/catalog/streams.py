@@ -85,7 +85,7 @@ def scd1_sales(spark, d):
     """The type-1 table built by micro-batches; equal to the batch result."""
     work = scratch_dir(spark, "scd1")
     feed = _landed_sales(spark, d, work).withWatermark("ingestion_timestamp", "1 day")
-    state = stream.StreamedState(spark, f"{work}/state", ["transaction_id"], retail_inputs.SEQUENCE)
+    state = stream.StreamedState(spark, f"{work}/state", ["transaction_id"], retail_inputs.SEQUENCE, few=True)
     state.absorb(r.stage_sales(feed), f"{work}/checkpoint")
     return state.current().select(retail_inputs.STAGED_COLUMNS)
 
@@ -102,7 +102,7 @@ class _Deliveries:
     def __init__(self, spark, d):
         self.spark, self.d, self.store = spark, d, scratch_dir(spark, "gold")
         self.notes = gold.Notes(spark, f"{self.store}/built")
-        self.sales = stream.StreamedState(spark, f"{self.store}/state/sales", ["transaction_id"], retail_inputs.SEQUENCE, r.stage_sales(self._feed()).schema)
+        self.sales = stream.StreamedState(spark, f"{self.store}/state/sales", ["transaction_id"], retail_inputs.SEQUENCE, r.stage_sales(self._feed()).schema, few=True)
         self.stores, self.products = (stream.StreamedState(spark, f"{self.store}/state/{name}", [key], ["ingestion_timestamp"], df.schema) for name, key, df in (
             ("stores", "store_id", self._stores()), ("products", "product_id", self._products())))
         self.sums = gold.SalesSums(self.notes, f"{self.store}/sums", self.sales)

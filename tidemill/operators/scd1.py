@@ -49,24 +49,6 @@ def scd1(df: DataFrame, keys: Sequence[str], sequence_by: Sequence[str],
     return newest.select(*keys, *[F.col(f"{c}.value").alias(c) for c in columns])
 
 
-def changed_rows(states: DataFrame, keys: Sequence[str], fresh: str) -> DataFrame:
-    """Signed rows of the keys that the state rows marked ``fresh`` change: the merged row without them (-1), and with them (+1).
-
-    States are shuffled once for both. A key without fresh rows, or with equal rows, gives none.
-    """
-    columns = [c for c in _values(states, keys) if c != fresh]
-    before = [F.max(F.when(~F.col(fresh), _stamped(c, True))).alias(f"{i}") for i, c in enumerate(columns)]
-    after = [F.max(_stamped(c, True)).alias(f"{len(columns) + i}") for i, c in enumerate(columns)]
-    met = states.repartition(*keys).groupBy(*keys).agg(F.bool_or(fresh).alias("_fresh"), F.bool_or(~F.col(fresh)).alias("_known"), *before, *after).where("_fresh")
-
-    def row(first: int) -> list[Column]:
-        return [F.col(f"`{first + i}`.value").alias(c) for i, c in enumerate(columns)]
-    old, new = F.struct(*row(0)), F.struct(*row(len(columns)))
-    signed = F.array(F.when(F.col("_known"), F.struct(F.lit(-1).alias("sign"), old.alias("r"))), F.struct(F.lit(1).alias("sign"), new.alias("r")))
-    changed = met.where(~F.col("_known") | ~old.eqNullSafe(new)).select(*keys, F.explode(signed).alias("_c")).where("_c is not null")
-    return changed.select(*keys, *[F.col(f"_c.r.{c}").alias(c) for c in columns], F.col("_c.sign").alias("sign"))
-
-
 def _values(states: DataFrame, keys: Sequence[str]) -> list[str]:
     return [c for c in states.columns if c not in (*keys, AT, OWN)]
 

@@ -48,7 +48,7 @@ def run(spark: SparkSession, landing: str, store: str) -> DataFrame:
     notes, silver, states = Notes(spark, f"{store}/built"), {}, []
     for bronze, (name, key, stage) in SILVER.items():
         changes = stage(_bronze_stream(spark, store, bronze))
-        states.append(StreamedState(spark, f"{store}/state/{name}", [key], ["ingestion_timestamp"], changes.schema))
+        states.append(StreamedState(spark, f"{store}/state/{name}", [key], ["ingestion_timestamp"], changes.schema, few=True))
         states[-1].absorb(changes, f"{store}/checkpoints/{name}")
         states[-1].advance()
         silver[name] = silver_table(notes, store, f"silver/{name}", states[-1])

@@ -24,6 +24,8 @@ def drop_replayed(bronze: DataFrame, keys: Sequence[str], time: str = "ingestion
 
 
 _LOG = "step int, version int, generation int, deltas array<string>"
+#: So many state rows may send their keys to all tasks.
+_SMALL = 1 << 20
 
 
 class StreamedState:
@@ -36,14 +38,16 @@ class StreamedState:
     deltas reads as an empty table.
 
     ``advance`` turns the deltas that came since the last version into the next one and stores what it changed as signed
-    rows: the old and the new row of every key that is not what it was. Only changed keys are merged; the whole state is folded
-    into one delta, the first of a new generation, once the others have grown to a good part of it, or by ``compact``.
+    rows: the old and the new row of every key that is not what it was. Only changed keys are merged, and the
+    keys of small news go to all tasks, so that the rest is not shuffled. The whole state is folded into one delta, the first of a
+    new generation, once the others have grown to a good part of the largest, or by ``compact``. A delta alone is not merged.
     One row of the log, written last, makes a version or a generation count; what broke off before is done again.
+    ``few`` says that keys have few changes each, see ``operators.scd1``.
     """
 
     def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], sequence_by: Sequence[str],
-                 shape: T.StructType | None = None):
-        self.spark, self.root, self.shape = spark, root.rstrip("/"), shape
+                 shape: T.StructType | None = None, few: bool = False):
+        self.spark, self.root, self.shape, self.few = spark, root.rstrip("/"), shape, few
         self.keys, self.sequence_by = list(keys), list(sequence_by)
 
     def absorb(self, changes: DataFrame, checkpoint: str) -> StreamingQuery:
@@ -58,13 +62,13 @@ class StreamedState:
 
     def put(self, changes: DataFrame, feed: str, number: int) -> None:
         """Store one batch of changes; the same feed and number again replace it."""
-        fold_changes(changes, self.keys, self.sequence_by).write.mode("overwrite").parquet(
+        fold_changes(changes, self.keys, self.sequence_by, few=self.few).write.mode("overwrite").parquet(
             f"{self._folder(self._last())}/feed={feed}/batch={number}")
 
     def current(self, where: Column | None = None) -> DataFrame:
         """The rows of all deltas; ``where`` is a condition on keys, met before they are merged."""
-        deltas = self._deltas(self._last()).drop("delta")
-        return current_rows(merge_changes(deltas if where is None else deltas.where(where), self.keys), self.keys)
+        deltas = self._deltas(self._last())
+        return current_rows(self._merged(deltas if where is None else deltas.where(where)), self.keys)
 
     def version(self) -> int:
         """How often ``advance`` has found news."""
@@ -79,19 +83,22 @@ class StreamedState:
         """Make a version of the deltas that came since the last one, if any; the version."""
         last = self._last()
         deltas = self._deltas(last)
-        done = F.col("delta").isin(last["deltas"])
-        waiting = sorted(r["delta"] for r in deltas.where(~done).select("delta").distinct().collect())  # One per micro-batch.
+        sizes = {r["delta"]: r["count"] for r in deltas.groupBy("delta").count().collect()}  # One per micro-batch.
+        waiting = sorted(set(sizes) - set(last["deltas"]))
         if not waiting:
             return last["version"]
-        number = last["version"] + 1
-        fresh = deltas.where(F.col("delta").isin(waiting)).drop("delta")
-        keys = stored(fresh.select(*self.keys).distinct(), "changed-keys")
-        old = of_keys(deltas.where(done).drop("delta"), keys)
-        rows = [current_rows(merge_changes(df, self.keys), self.keys) for df in (old, old.unionByName(fresh))]
-        signed_changes(*rows).write.mode("overwrite").parquet(f"{self.root}/changes/version={number}")
+        number, fresh = last["version"] + 1, F.col("delta").isin(waiting)
+        if last["deltas"]:
+            news = deltas.where(fresh).drop("delta")
+            keys = stored(news.select(*self.keys).distinct(), "changed-keys")
+            old = of_keys(deltas.where(~fresh).drop("delta"), F.broadcast(keys) if sum(sizes[d] for d in waiting) <= _SMALL else keys)
+            rows = signed_changes(*[current_rows(merge_changes(df, self.keys, self.few), self.keys) for df in (old, old.unionByName(news))])
+        else:
+            rows = current_rows(self._merged(deltas), self.keys).withColumn("sign", F.lit(1))
+        rows.write.mode("overwrite").parquet(f"{self.root}/changes/version={number}")
         self._note({**last, "version": number, "deltas": [*last["deltas"], *waiting]})
-        sizes = deltas.agg(F.count_if(F.col("delta").startswith("folded/")).alias("folded"), F.count("*").alias("all")).first()
-        if last["deltas"] and 2 * (sizes["all"] - sizes["folded"]) > sizes["folded"]:
+        largest = max(sizes.values())
+        if last["deltas"] and 2 * (sum(sizes.values()) - largest) > largest:
             self._fold()
         return number
 
@@ -106,7 +113,7 @@ class StreamedState:
         # The generation before stays for those who still read it.
         last = self._last()
         number = last["generation"] + 1
-        merge_changes(self._deltas(last).drop("delta"), self.keys).write.mode("overwrite").parquet(f"{self._folder({'generation': number})}/feed=folded/batch=0")
+        self._merged(self._deltas(last)).write.mode("overwrite").parquet(f"{self._folder({'generation': number})}/feed=folded/batch=0")
         self._note({**last, "generation": number, "deltas": ["folded/0"]})
         remove_folder(self.spark, self._folder({"generation": number - 2}))
 
@@ -124,6 +131,11 @@ class StreamedState:
             return fold_changes(self.spark.createDataFrame([], self.shape), self.keys, self.sequence_by).withColumn("delta", F.lit(""))
         return deltas.withColumn("delta", F.concat_ws("/", "feed", "batch")).drop("feed", "batch")
 
+    def _merged(self, deltas: DataFrame) -> DataFrame:
+        """One state row per key; a single delta has that already."""
+        alone = len({path.rsplit("/", 1)[0] for path in deltas.inputFiles()}) == 1
+        return deltas.drop("delta") if alone else merge_changes(deltas.drop("delta"), self.keys, self.few)
+
     def _last(self) -> dict:
         try:
             return self.spark.read.schema(_LOG).parquet(f"{self.root}/log").orderBy(F.desc("step")).first().asDict()
