@@ -134,3 +134,12 @@ def test_preview_limit(spark):
 def test_scratch_lies_in_the_shared_folder(spark):
     a, b = scratch_dir(spark, "x"), scratch_dir(spark, "x")
     assert a != b and a.startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_scd1_ties_moves_each_line_once_and_as_it_is(spark):
+    """Lines of a part lie in any task, so what a task combines of a large table is hardly less than its lines."""
+    from tidemill.catalog import files
+    got = files.scd1_ties(spark, "/root/testdata/sf0.001")
+    assert got.count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_partkey").distinct().count()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange") == 1 and plan.index("partial_max") < plan.index("Exchange hashpartitioning(part")

@@ -52,7 +52,8 @@ def scd1_ties(spark, d):
         F.when(F.col("l_returnflag") != "R", F.col("l_quantity")).alias("quantity"),
         F.when(F.col("l_discount") > 0.05, F.concat("l_returnflag", "l_linestatus")).alias("status"),
         F.col("l_extendedprice").alias("price"))
-    return scd1(rows, ["part"], ["year"], ["year", "quantity", "status", "price"], F.col("line"))
+    # A part has some thirty lines, however many there are in all, and they lie anywhere: combining them ahead of the shuffle sorts all lines for little.
+    return scd1(rows, ["part"], ["year"], ["year", "quantity", "status", "price"], F.col("line"), few=True)
 
 
 _LINE = ["l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
