@@ -93,3 +93,16 @@ def test_a_large_array_is_read_by_many_tasks(spark, tmp_path):
     assert len(tasks) >= 8 and sum(r["count"] for r in tasks) == 300_000
     found = rows.agg(F.count_distinct("order_id"), F.count_if(F.col("quantity") == F.concat("order_id", F.lit(".50"))), F.sum(F.length("status"))).first()
     assert tuple(found) == (300_000, 300_000, sum(len('a "quoted" [text], {no} object ') + i % 50 for i in range(300_000)))
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """Three hundred files of some bytes are read by one task, beside a large one that is split."""
+    for i in range(300):
+        (tmp_path / f"s{i}.json").write_text(json.dumps([{"order_id": f"{i}"}]))
+    (tmp_path / "big.json").write_text(json.dumps([{"order_id": "big", "status": "x" * 1000}] * 40_000))
+    small = json_array_records(spark, str(tmp_path), schemas.ORDER_FILE, files=F.col("_metadata.file_path").contains("/s"))
+    assert small.rdd.getNumPartitions() <= 2 and sorted(int(r["order_id"]) for r in small.collect()) == list(range(300))
+    rows = json_array_records(spark, str(tmp_path), schemas.ORDER_FILE)
+    assert 3 <= rows.rdd.getNumPartitions() <= 6 and rows.count() == 40_300
+    tasks = rows.where("order_id = 'big'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) == 3

@@ -53,6 +53,22 @@ def test_json_shape_is_decided_for_each_file(spark, tmp_path):
     assert sorted(r.order_id for r in got.collect()) == [f"O{i}" for i in range(1, 7)] and got.count() == 6
 
 
+@pytest.mark.parametrize("many", ["a", "b", "c"])
+def test_json_files_are_picked_by_the_shorter_list_of_names(spark, tmp_path, many):
+    """Files of odd names and of blanks beside many of one shape; names of many files are in no plan."""
+    shapes = {"a": '[{{"order_id": "{0}"}},\n {{"order_id": "{0}+"}}]', "b": '{{"order_id": "{0}"}}\n \n{{"order_id": "{0}+"}}\n', "c": '{{\n "order_id": "{0}"\n}}\n'}
+    want = []
+    for shape, text in shapes.items():
+        for i in range(30 if shape == many else 2):
+            (tmp_path / f"{shape} {i}%20[x]{{1}}.json").write_text(text.format(f"{shape}{i}"))
+            want += [f"{shape}{i}"] + ([f"{shape}{i}+"] if shape != "c" else [])
+    (tmp_path / "none.json").write_text("")
+    (tmp_path / "blank.json").write_text(" \n\n ")
+    got = sources.json_records(spark, str(tmp_path), schemas.ORDER_FILE)
+    assert sorted(r.order_id for r in got.collect()) == sorted(want)
+    assert got._jdf.queryExecution().analyzed().toString().count("[x]") < 30
+
+
 def test_json_keeps_numbers_as_written(spark, tmp_path):
     path = tmp_path / "o.json"
     path.write_text(ARRAY)

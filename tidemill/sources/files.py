@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,26 +54,32 @@ def json_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     The shape is decided for each file. A file whose lines with content are all whole objects is read by line, split among
     tasks. Of the others, one that begins with a bracket must hold one array of objects and is split as well, between objects; any
     other must hold one object and is read by one task, fractions as doubles. Everything else raises, so no record
-    is lost. Names of files that are not read by line go to the driver, as any listing of files does.
+    is lost. Names of files go to the driver, as any listing of files does.
     """
     text = T.StructType([T.StructField(n, T.StringType()) for n in schema.names])
     file, strict = F.col("_metadata.file_path"), {"mode": "FAILFAST"}
     lines = spark.read.text(path).select(file.alias("file"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place"), "value")
-    shapes = lines.where(F.col("value").rlike(r"\S")).groupBy("file").agg(
-        F.bool_and(F.coalesce(_only(F.col("value")).startswith("{"), F.lit(False))).alias("by_line"),
-        F.min_by(F.regexp_extract("value", r"\S", 0), "place").alias("first"))
-    other = shapes.where("NOT by_line").collect()
-    whole, arrays = [r["file"] for r in other], [unquote(r["file"]) for r in other if r["first"] == "["]
-    # The reader keeps numbers as written; the filter on file names drops whole files from its listing.
-    records = spark.read.schema(text).options(**strict).json(path)
-    if whole:
-        records = records.where(~file.isin(whole))
-    if arrays:
-        records = records.union(json_array_records(spark, arrays, schema))
-    single = [r["file"] for r in other if r["first"] != "["]
-    if single:
+    full = F.col("value").rlike(r"\S")
+    # A file of blanks alone counts as lines, of which it has none.
+    shapes = lines.groupBy("file").agg(
+        F.bool_and(F.when(full, F.coalesce(_only(F.col("value")).startswith("{"), F.lit(False)))).alias("by_line"),
+        F.min_by(F.when(full, F.regexp_extract("value", r"\S", 0)), F.when(full, F.col("place"))).alias("first"))
+    named: dict[str, list[str]] = {"lines": [], "array": [], "object": []}
+    for r in shapes.collect():
+        named["array" if r["by_line"] is False and r["first"] == "[" else "object" if r["by_line"] is False else "lines"].append(r["file"])
+
+    def are(shape: str) -> Column:
+        """Files of a shape, by the shorter list of names; the reader drops the others from its listing."""
+        others = [name for other, names in named.items() if other != shape for name in names]
+        return file.isin(named[shape]) if len(named[shape]) <= len(others) else ~file.isin(others)
+
+    # The reader keeps numbers as written.
+    records = spark.read.schema(text).options(**strict).json(path).where(are("lines"))
+    if named["array"]:
+        records = records.union(json_array_records(spark, path, schema, files=are("array")))
+    if named["object"]:
         value, one = F.col("value"), _only(F.col("value"))
-        held = spark.read.text(path, wholetext=True).where(file.isin(single)).select(file.alias("file"), "value", one.alias("one"))
+        held = spark.read.text(path, wholetext=True).where(are("object") & full).select(file.alias("file"), "value", one.alias("one"))
         bad = F.raise_error(F.concat(F.lit("neither one object, one array of objects, nor an object per line: "), F.col("file")))
         found = F.when(F.col("one").startswith("{"), F.from_json(value, text, strict)).otherwise(bad.cast(text))
         records = records.union(held.select(found.alias("r")).select("r.*"))

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,8 @@ for _pair in ("\x01[", "[{", "[]", "{}", "},", "}]", ",{", "]\x02"):
 _BACK = 64
 #: Bytes of objects that a task hands on at a time.
 _HELD = 4 << 20
+#: Bytes that opening a file counts as, when ranges are dealt to tasks.
+_OPENING = 64 << 10
 
 
 def _escapes_before(file: pa.NativeFile, start: int) -> int:
@@ -113,21 +115,25 @@ def _quoted_numbers(texts: list[bytes]) -> list[bytes]:
     return [whole[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-def array_texts(spark: SparkSession, path: str | list[str], width: int = 16 << 20, quote_numbers: bool = False) -> DataFrame:
-    """(file, value): the text of every object of the JSON arrays at ``path``, each range of ``width`` bytes read by a task of its own.
+def array_texts(spark: SparkSession, path: str | list[str], width: int = 16 << 20, quote_numbers: bool = False, files: Column | None = None) -> DataFrame:
+    """(file, value): the text of every object of the JSON arrays at ``path``, read in ranges of ``width`` bytes.
 
-    ``quote_numbers`` turns the numbers of an object's own fields into strings.
+    A task reads about one whole range, or some hundreds of small files. ``quote_numbers`` turns the numbers of an object's own
+    fields into strings; ``files`` is a condition on ``_metadata.file_path`` that picks files.
 
     The files are UTF-8 and not compressed. What is not one array of objects, unbalanced, or with wrong commas raises. A task
     holds some twenty bytes per byte of its range, and the longest object. An empty array and a file without a byte give no rows.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), "length")
-    ranges = files.select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(width).cast("long"))).alias("start"))
-    count = files.agg(F.coalesce(F.sum(F.ceil(F.greatest("length", F.lit(1)) / width)), F.lit(1)).cast("int")).first()[0]
+    listed = spark.read.format("binaryFile").load(path)
+    listed = (listed if files is None else listed.where(files)).select(F.col("_metadata.file_path").alias("file"), "length")
+    ranges = listed.select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(width).cast("long"))).alias("start"))
+    # Small files share a task: opening one counts as some of its bytes.
+    weight = F.least(F.lit(width), F.col("length") - F.col("start") + _OPENING)
+    count = ranges.agg(F.coalesce(F.ceil(F.sum(weight) / width), F.lit(1)).cast("int")).first()[0]
 
     def spread(df: DataFrame) -> DataFrame:
-        # A stated number of partitions is not merged, however few bytes the ranges themselves have.
-        return df.repartitionByRange(max(count, 1), "file", "start")
+        # A stated number of partitions is not merged, however few bytes the ranges themselves have. By hash, the ranges of a large file lie apart.
+        return df.repartitionByRange(max(count, 1), F.xxhash64("file", "start"))
 
     def opened(address: str) -> pa.NativeFile:
         fs, name = pafs.FileSystem.from_uri(address.replace("s3a://", "s3://", 1) if address.startswith("s3a://") else address)
@@ -176,8 +182,8 @@ def array_texts(spark: SparkSession, path: str | list[str], width: int = 16 << 2
     return spread(states.select("file", "start", "inside", "depth")).mapInArrow(cut, "file string, value string")
 
 
-def json_array_records(spark: SparkSession, path: str | list[str], schema: T.StructType, width: int = 16 << 20) -> DataFrame:
+def json_array_records(spark: SparkSession, path: str | list[str], schema: T.StructType, width: int = 16 << 20, files: Column | None = None) -> DataFrame:
     """The flat objects of JSON arrays as text columns, numbers as they are written; see ``array_texts``."""
     text = T.StructType([T.StructField(n, T.StringType()) for n in schema.names])
-    rows = array_texts(spark, path, width, quote_numbers=True)
+    rows = array_texts(spark, path, width, quote_numbers=True, files=files)
     return rows.select(F.from_json("value", text, {"mode": "FAILFAST"}).alias("r")).select("r.*")
