@@ -84,3 +84,35 @@ def test_odd_files(spark, tmp_path):
     got = feed.run()
     assert [tuple(r) for r in got.collect()] == [(1, 2, 3, 4, None)]
     assert got.columns == ["a", "a_1", "_rescued_2", "batch_3", "_rescued"]
+
+
+def test_typing_reads_each_value_once_in_generated_code(spark, tmp_path):
+    """No rescue map for rows without a misfit: it stands behind a condition, above values that generated code has made."""
+    text = "day string, n string, amount string, seen string, ok string, note string, _corrupt_line string"
+    types = {"day": "date", "n": "bigint", "amount": "decimal(38,10)", "seen": "timestamp", "ok": "boolean", "note": "string", "late": "date"}
+    data = [("2025-01-01", "-7", "1.50", "2025-01-01T01:02:03.123456Z", "true", "x", None), (None,) * 7,
+            ("2025-02-30", "99999999999999999999", "-" + "9" * 28 + "." + "9" * 10, "2025-01-01 01:02:03", "false", "", None),
+            ("2025-01-01\n", "-9223372036854775808\r\n", "0." + "1" * 11, "2025-01-01", "TRUE", "z", None), ("", "0", "-0", "now", "tru", None, "a,b")]
+    rows = spark.createDataFrame(data, text).repartition(2)
+    got = {r["n"]: r for r in drift.typed(rows, types).collect()}
+    assert [c for c, _ in drift.typed(rows, types).dtypes] == [*types, "_rescued"]
+    assert str(got[-7]["amount"]) == "1.5000000000" and got[-7]["seen"].microsecond == 123456 and got[-7]["_rescued"] is None
+    assert got[-(1 << 63)]["day"].isoformat() == "2025-01-01"
+    rescued = [json.loads(r["_rescued"]) for r in drift.typed(rows, types).collect() if r["_rescued"]]
+    assert sorted(rescued, key=str) == sorted([
+        {"day": "2025-02-30", "n": "99999999999999999999"}, {"amount": "0." + "1" * 11, "seen": "2025-01-01", "ok": "TRUE"},
+        {"day": "", "amount": "-0", "seen": "now", "ok": "tru", "_line": "a,b"}], key=str)
+    # Two projections: the map cannot be part of generated code, so the patterns are not in its projection.
+    plan = drift.typed(rows, types)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    upper, lower = (i for i, x in enumerate(plan.splitlines()) if "Project [" in x)
+    assert upper < lower and "value0" in plan.splitlines()[upper] and "text0" in plan.splitlines()[lower]
+
+
+@pytest.mark.parametrize("kind, least, most", [
+    ("boolean", "true", "false"), ("bigint", "0", "-9223372036854775808"), ("decimal(38,10)", "5", "-" + "9" * 28 + "." + "9" * 10),
+    ("date", "2025-01-01", "2025-01-01"), ("timestamp", "2025-01-01 01:02:03", "2025-01-01T01:02:03.123456Z")])
+def test_length_refuses_no_value(spark, kind, least, most):
+    ends = ["", "\n", "\r\n", "\u2028", "\u0085"]
+    rows = spark.createDataFrame([(x + end,) for x in (least, most) for end in ends], "x string")
+    assert rows.where(F.col("x").rlike(drift._LOOKS[kind]) & ~drift._looks(F.col("x"), kind)).count() == 0
+    assert rows.where(drift._looks(F.col("x"), kind)).count() >= 2

@@ -37,11 +37,22 @@ _LOOKS = {
 }
 
 
+#: Bytes of the shortest and the longest such text; a line's end may follow, which a pattern's end allows.
+_BYTES = {"boolean": (4, 5), "bigint": (1, 20), "decimal(38,10)": (1, 40), "date": (10, 10), "timestamp": (19, 27)}
+_LINE_END = 3
+
+
+def _looks(text: Column, kind: str) -> Column:
+    """Whether text is written like a value of a type. The length, which costs little, refuses most of what is not."""
+    least, most = _BYTES[kind]
+    return F.octet_length(text).between(least, most + _LINE_END) & text.rlike(_LOOKS[kind])
+
+
 def fits(text: Column, kind: str) -> Column:
     """Whether text is a value of a type, null being one of any."""
     if kind == "string":
         return F.lit(True)
-    return text.isNull() | (text.rlike(_LOOKS[kind]) & text.try_cast(kind).isNotNull())
+    return text.isNull() | (_looks(text, kind) & text.try_cast(kind).isNotNull())
 
 
 def infer_types(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
@@ -118,12 +129,21 @@ def _texts(spark: SparkSession, files: Sequence[str], header: Sequence[str], kno
 
 def typed(rows: DataFrame, types: dict[str, str]) -> DataFrame:
     """Text rows in the types of the log; misfits, and lines with fields too many or too few, go to the rescue column as JSON."""
-    raw = {c: F.col(f"`{c}`") if c in rows.columns else F.lit(None).cast("string") for c in types}
-    entries = [(F.lit(c), F.when(~fits(raw[c], kind), raw[c])) for c, kind in types.items() if c in rows.columns]
+    here = [(i, c, kind) for i, (c, kind) in enumerate(types.items()) if c in rows.columns]
+
+    def value(text: Column, kind: str) -> Column:
+        return text if kind == "string" else F.when(_looks(text, kind), text.try_cast(kind))
+
+    # Values come first, each once; the few rows with a misfit alone pay for the map.
+    read = rows.select(_CORRUPT, *[F.col(f"`{c}`").alias(f"text{i}") for i, c, _ in here], *[value(F.col(f"`{c}`"), kind).alias(f"value{i}") for i, c, kind in here])
+    misfit = {c: F.col(f"text{i}").isNotNull() & F.col(f"value{i}").isNull() for i, c, kind in here if kind != "string"}
+    entries = [(F.lit(c), F.when(misfit[c], F.col(f"text{i}"))) for i, c, _ in here if c in misfit]
     entries.append((F.lit(LINE), F.col(_CORRUPT)))
     kept = F.map_filter(F.create_map(*[x for pair in entries for x in pair]), lambda _, text: text.isNotNull())
-    values = [F.when(fits(raw[c], kind), raw[c].try_cast(kind)).alias(c) for c, kind in types.items()]
-    return rows.select(*values, F.when(F.size(kept) > 0, F.to_json(kept)).alias(RESCUED))
+    some = reduce(Column.__or__, misfit.values(), F.col(_CORRUPT).isNotNull())
+    known = {c: F.col(f"value{i}") for i, c, _ in here}
+    values = [known.get(c, F.lit(None).cast(kind)).alias(c) for c, kind in types.items()]
+    return read.select(*values, F.when(some, F.to_json(kept)).alias(RESCUED))
 
 
 def ingest_drifting(spark: SparkSession, landing: str, bronze: str, log: str, checkpoint: str, files_per_batch: int = 1000) -> StreamingQuery:
