@@ -464,6 +464,42 @@ def test_windows_of_repeated_tokens_are_compared_together(monkeypatch):
     assert found > 20
 
 
+def test_copies_are_compared_once(spark, documents, monkeypatch):
+    """Texts that stand under many ids are fetched and compared once, and every id has its passage."""
+    kept, store = {}, passages.stored
+
+    def seen(df, name):
+        kept.setdefault(name, []).append(store(df, name))
+        return kept[name][-1]
+    monkeypatch.setattr(passages, "stored", seen)
+    passage = prose(78, 60, 10 ** 6)
+    texts = [" ".join([*prose(510 + i, 30, 10 ** 6), *passage, *prose(610 + i, 30, 10 ** 6)]) for i in range(3)]
+    rows = [(20 * i + k, t) for i, t in enumerate(texts) for k in range(12)] + [(None, texts[0]), (5, texts[0])]
+    got = [(r.doc_id, r.class_id, r.n_words, r.spans) for r in passages.shared_passages(documents(rows)).collect()]
+    assert len(got) == 37 and {g[1] for g in got} == {0}
+    assert {g[0] for g in got} == {20 * i + k for i in range(3) for k in range(12)} | {None}
+    # A copy has its whole text, and each text the passage at least.
+    assert all(g[2] >= 60 for g in got)
+    assert {a.count() for a in kept["asked"]} == {3}
+
+
+def test_scattered_tokens_are_not_slid(monkeypatch):
+    """Equal tokens that lie dense in one text and apart in the other cost no comparison for each distance."""
+    calls, per_window = [], passages._per_window
+
+    def counted(*args):
+        calls.append(1)
+        return per_window(*args)
+    monkeypatch.setattr(passages, "_per_window", counted)
+    common = np.arange(400, dtype=np.uint64)
+    a, b = common, np.arange(1000, 2600, dtype=np.uint64)
+    # Every 4th place of b holds a token of a, and 30 at a stretch are 4 times in it: no window has enough different ones.
+    b[::4] = common
+    for start in range(101, 1500, 350):
+        b[start:start + 30] = common[start // 5:start // 5 + 30]
+    assert passages.common_passages(a, b) == [] and len(calls) < 12
+
+
 def test_texts_with_one_common_line_are_no_candidates(spark, documents, monkeypatch):
     """Texts that share a few signatures, yet too few functions of them, stay out of the join that lists all signatures of a pair."""
     kept, store = {}, passages.stored
