@@ -516,3 +516,59 @@ def test_texts_with_one_common_line_are_no_candidates(spark, documents, monkeypa
     shared = kept["windows"].where("hash is not null").groupBy("value").agg(F.count_distinct("id").alias("n")).agg(F.max("n")).first()[0]
     assert shared >= 10  # the line is a signature of many texts
     assert kept["apart"].where("a.id < 100 and b.id < 100").count() <= 60
+
+
+def test_many_texts_with_one_common_line_make_no_pairs(spark, documents, monkeypatch):
+    """A line that more components hold than COMMON joins no two texts that have no more in common, copies of them included."""
+    kept, store = {}, passages.stored
+
+    def seen(df, name):
+        kept[name] = store(df, name)
+        return kept[name]
+    monkeypatch.setattr(passages, "stored", seen)
+    line = prose(1200, 34, 10 ** 6)
+    texts = [" ".join([*prose(1300 + i, 60, 10 ** 6), *line, *prose(1400 + i, 60, 10 ** 6)]) for i in range(40)]
+    rows = list(enumerate(texts)) + [(100 + i, t) for i, t in enumerate(texts[:20])]
+    # Texts with the line whose passage stands apart from it, and one that has it alone.
+    passage = prose(1500, 60, 10 ** 6)
+    rows += [(200 + i, " ".join([*passage, *prose(1600 + i, 50, 10 ** 6), *line, *prose(1700 + i, 60, 10 ** 6)])) for i in range(2)] + [(300, " ".join(passage))]
+    pairs = {}
+    for limit in (10 ** 6, 16):
+        monkeypatch.setattr(passages, "COMMON", limit)
+        got = {r.doc_id: r.class_id for r in passages.shared_passages(documents(rows)).collect()}
+        assert got == {**{i: i for i in range(20)}, **{100 + i: i for i in range(20)}, 200: 200, 201: 200, 300: 200}
+        pairs[limit] = kept["apart"].where("a.id < 200 and b.id < 200").count()
+    assert kept["common"].count() and 8 * pairs[16] < pairs[10 ** 6]
+
+
+def test_places_of_passages():
+    """Every passage lies where its hits are dense, tokens that stand in a text several times included."""
+    rng = np.random.default_rng(9)
+    some = 0
+    for turn in range(60):
+        base = rng.integers(0, (40, 10 ** 6)[turn % 2], 100).astype(np.uint64)
+        a, b = (np.concatenate([rng.integers(10 ** 7, 10 ** 8, 70), base, rng.integers(10 ** 7, 10 ** 8, 20)]).astype(np.uint64) for _ in range(2))
+        b[rng.integers(70, 170, turn % 12)] = 1
+        x, y = passages._dense(a, np.isin(a, b))
+        inside = np.zeros(len(a), bool)
+        for f, t in zip(x, y):
+            inside[f:t] = True
+        found = passages.common_passages(a, b)
+        some += bool(found)
+        assert all(inside[f[0]:f[1]].all() for f in found) and not inside[:30].any()
+    assert some > 30
+
+
+def test_blocks_of_a_component_meet(spark, documents, monkeypatch):
+    """Near copies and copies give the same rows whether a component is one block or many; nothing of the shuffles stays."""
+    base = prose(1800, 260, 10 ** 6)
+    rows = []
+    for i in range(14):
+        text = list(base)
+        for k in range(i % 5, 260, 40 + 3 * (i % 4)):
+            text[k] = f"x{i}k{k}"
+        rows += [(i, " ".join(text))] + [(100 + i, " ".join(text)), (None, " ".join(text))][:i % 3]
+    want = sorted(map(repr, passages.shared_passages(documents(rows)).collect()))
+    monkeypatch.setattr(passages, "BLOCK_TEXTS", 3)
+    assert sorted(map(repr, passages.shared_passages(documents(rows)).collect())) == want and len(want) == len(rows)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
